@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 from wattshare.catalog.sql import with_tables
 
 
+# Lifts exact halves off the rounding boundary, where one engine rounds the decimal text of a number
+# and the other its binary value; far below the digits kept.
+NUDGE = 1 + 1e-12
+
+
 @dataclass
 class Query:
     name: str
@@ -62,7 +67,7 @@ def _spark_column(name: str, kind: str):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     if kind == "d":
         return F.date_format(c, "yyyy-MM-dd")
-    return F.round(c.cast("double"), int(kind[1:]))
+    return F.round(c.cast("double") * NUDGE, int(kind[1:]))
 
 
 def _sql_column(name: str, kind: str) -> str:
@@ -74,5 +79,5 @@ def _sql_column(name: str, kind: str) -> str:
         return f"strftime(CAST({name} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
     if kind == "d":
         return f"strftime(CAST({name} AS DATE), '%Y-%m-%d')"
-    rounded = f"round(CAST({name} AS DOUBLE), {int(kind[1:])})"
+    rounded = f"round(CAST({name} AS DOUBLE) * {NUDGE!r}, {int(kind[1:])})"
     return f"CASE WHEN {rounded} = 0 THEN 0.0::DOUBLE ELSE {rounded} END"

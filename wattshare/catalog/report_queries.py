@@ -95,8 +95,8 @@ def _(spark, sf):
 _PROFILED = ["y", *features.FEATURES]
 
 
-@query("null_profile_a10_q6", "column:s, n_nulls:i, null_pct:f6", "A10 Q6",
-       " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) - count({c}) AS n_nulls, 100.0e0 * (count(*) - count({c})) / count(*) "
+@query("null_profile_a10_q6", "feature:s, n_nulls:i, null_pct:f6", "A10 Q6",
+       " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS n_nulls, 100.0e0 * (count(*) - count({c})) / count(*) "
                           "AS null_pct FROM x" for c in _PROFILED))
 def _(spark, sf):
     return Q.null_profile(dataset(spark, sf), _PROFILED)

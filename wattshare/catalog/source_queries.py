@@ -105,11 +105,11 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("project_alias_p1", "community:s, at:t, load_kw:f2, clients:i", "P1",
-       "SELECT community_code AS community, datetime_utc AS at, total_kw AS load_kw, n_clients AS clients FROM panel")
+@query("project_alias_p1", "community:s, slot_utc:t, load_kw:f2, clients:i", "P1",
+       "SELECT community_code AS community, datetime_utc AS slot_utc, total_kw AS load_kw, n_clients AS clients FROM panel")
 def _(spark, sf):
     return panel(spark, sf).select(
-        F.col("community_code").alias("community"), F.col("datetime_utc").alias("at"),
+        F.col("community_code").alias("community"), F.col("datetime_utc").alias("slot_utc"),
         F.col("total_kw").alias("load_kw"), F.col("n_clients").alias("clients"))
 
 
@@ -180,13 +180,13 @@ def _(spark, sf):
     return with_alpha(panel(spark, sf), Meter(spark, sf).demand).dropna(subset=["alpha", "std_kw"])
 
 
-@query("clip_p11", f"{SLOT}, low:f2, high:f2, both:f2", "P11 F7",
+@query("clip_p11", f"{SLOT}, low:f2, high:f2, bounded:f2", "P11 F7",
        f"SELECT community_code, datetime_utc, {floor_at('total_kw', '10.0')} AS low, "
        "CASE WHEN total_kw IS NOT NULL THEN least(total_kw, 60.0) END AS high, "
-       "CASE WHEN total_kw IS NOT NULL THEN least(greatest(total_kw, 10.0), 60.0) END AS both FROM panel")
+       "CASE WHEN total_kw IS NOT NULL THEN least(greatest(total_kw, 10.0), 60.0) END AS bounded FROM panel")
 def _(spark, sf):
     return panel(spark, sf).withColumns({
-        "low": clip("total_kw", lower=10.0), "high": clip("total_kw", upper=60.0), "both": clip("total_kw", 10.0, 60.0)})
+        "low": clip("total_kw", lower=10.0), "high": clip("total_kw", upper=60.0), "bounded": clip("total_kw", 10.0, 60.0)})
 
 
 @query("fill_nulls_p12", f"{SLOT}, total_kw:f2, std_kw:f6", "P12",
@@ -218,16 +218,16 @@ def _(spark, sf):
         "per_mw": ratio("total_kw", "D_mw"), "per_reporting": ratio("total_kw", "n_reporting")})
 
 
-@query("cell_residual_by_slot_p12_o25", "community_code:s, qhour:i, level:i, n:i, med:f4", "P12 O25",
-       "SELECT community_code, hour(datetime_local) * 4 + minute(datetime_local) // 15 AS qhour, 1 AS level, "
-       "count(*) AS n, median(alpha_d) AS med FROM (SELECT b.*, b.total_kw - l7.alpha * l2.n_clients * b.D_mw AS alpha_d "
+@query("cell_residual_by_slot_p12_o25", "community_code:s, qhour:i, coarse:f4", "P12 O25",
+       "SELECT community_code, hour(datetime_local) * 4 + minute(datetime_local) // 15 AS qhour, "
+       "median(alpha_d) AS coarse FROM (SELECT b.*, b.total_kw - l7.alpha * l2.n_clients * b.D_mw AS alpha_d "
        "FROM base b JOIN base l7 ON l7.community_code = b.community_code AND l7.datetime_utc = b.datetime_utc - INTERVAL '7' DAY "
        "JOIN base l2 ON l2.community_code = b.community_code AND l2.datetime_utc = b.datetime_utc - INTERVAL '2' DAY) "
        "WHERE alpha_d IS NOT NULL GROUP BY 1, 2")
 def _(spark, sf):
     from wattshare.operators.baseline import with_baseline_d2
     rows = with_calendar(with_residual(with_baseline_d2(base(spark, sf)), "kw"), "cyclic")
-    return fit_cell_median(rows, "residual", slot="qhour").table.filter(F.col("level") == 1)
+    return fit_cell_median(rows, "residual", slot="qhour").table
 
 
 @query("entity_rename_f8", "client_id:s, community_code:s, n_rows:i", "F8 P9",

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattshare.functions.rowwise import flag
+from wattshare.session import staged
 
 
 @dataclass
 class CellMedianModel:
-    """Corrections per (scope, slot, weekday), per (scope, slot), and the rows seen per scope."""
+    """One row per (scope, slot): ``coarse`` median, ``cells`` medians by weekday, rows ``seen`` in the scope."""
 
     table: DataFrame
     scope: list[str]
@@ -30,21 +31,12 @@ class CellMedianModel:
     weekday: str
     min_rows: int
 
-    def _level(self, level: int, keys: Sequence[str], name: str) -> DataFrame:
-        return self.table.filter(F.col("level") == level).select(*keys, F.col("med").alias(name))
-
     def predict(self, df: DataFrame, name: str = "correction") -> DataFrame:
-        """Add the correction: full cell, else slot, else 0; 0 where the scope had too few rows."""
-        fine, coarse = [*self.scope, self.slot, self.weekday], [*self.scope, self.slot]
-        rows_seen = (self.table.filter(F.col("level") == 1).groupBy(*self.scope)
-                     .agg(F.sum("n").alias("_seen")))
-        scored = (
-            df.join(self._level(0, fine, "_fine"), fine, "left")
-            .join(self._level(1, coarse, "_coarse"), coarse, "left")
-            .join(rows_seen, self.scope, "left")
-        )
-        value = F.when(F.col("_seen") >= self.min_rows, F.coalesce("_fine", "_coarse", F.lit(0.0)))
-        return scored.select(*df.columns, F.coalesce(value, F.lit(0.0)).alias(name))
+        """Add the correction: weekday cell, else slot, else 0; 0 where the scope had too few rows."""
+        scored = df.join(self.table, [*self.scope, self.slot], "left")
+        learned = F.coalesce(F.try_element_at("cells", F.col(self.weekday)), "coarse", F.lit(0.0))
+        value = F.when(F.col("seen") >= self.min_rows, learned).otherwise(0.0)
+        return scored.select(*df.columns, value.alias(name))
 
 
 def fit_cell_median(
@@ -56,17 +48,24 @@ def fit_cell_median(
     Add ``fold`` to ``scope`` to fit every fold in the same pass.  With the entity in ``scope`` a cell
     gathers one value per week (per day at the slot level), so the exact median holds little.  A
     model pooled over entities has no such bound: ``exact=False`` uses the mergeable sketch.
+    Both levels come from one grouping-sets pass, and a prediction needs one join.
     """
-    median = F.median(target) if exact else F.percentile_approx(target, 0.5, 10_000)
     scope = list(scope)
     keys = [*scope, slot, weekday]
-    table = (
+    median = F.median(target) if exact else F.percentile_approx(target, 0.5, 10_000)
+    levels = (
         train.filter(F.col(target).isNotNull())
         .groupingSets([keys, [*scope, slot]], *keys)
-        .agg(F.grouping(weekday).cast("int").alias("level"),
-             median.alias("med"), F.count(F.lit(1)).alias("n"))
+        .agg(F.grouping(weekday).alias("_whole"), median.alias("_med"), F.count(F.lit(1)).alias("_n"))
     )
-    return CellMedianModel(table, scope, slot, weekday, min_rows)
+    by_slot = F.col("_whole") == 1
+    table = levels.groupBy(*scope, slot).agg(
+        F.max(F.when(by_slot, F.col("_med"))).alias("coarse"),
+        F.sum(F.when(by_slot, F.col("_n"))).alias("n"),
+        # Seven weekdays at most.
+        F.map_from_entries(F.collect_list(F.when(~by_slot, F.struct(weekday, "_med")))).alias("cells"),
+    ).withColumn("seen", F.sum("n").over(Window.partitionBy(*scope)))
+    return CellMedianModel(table.drop("n"), scope, slot, weekday, min_rows)
 
 
 @dataclass
@@ -132,14 +131,18 @@ def fit_gbt(
     train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),
     weight: str | None = None, trees: int = 20, depth: int = 5, step: float = 0.1,
     min_instances: int = 200, subsample: float = 0.85, features: str = "0.85", stop_date: str | None = None,
-    seed: int = 42,
+    seed: int = 42, stage: bool = True,
 ) -> BoostedModel:
     """One pooled absolute-error tree ensemble; pass the entity among ``categorical``.
 
     ``weight`` (the baseline in kW) makes a log-ratio loss behave like error in kW.  ``stop_date``
     holds back the latest train days for early stopping, never the fold being reported.
     """
-    rows = train.filter(F.col(target).isNotNull())
+    used = dict.fromkeys([*numeric, *categorical, target, *([weight] if weight else []), *(["target_date"] if stop_date else [])])
+    rows = train.filter(F.col(target).isNotNull()).select(*used)
+    if stage:
+        # Indexing, imputing and boosting each pass over the rows.
+        rows = staged(rows, "boosting")
     matrix = fit_feature_matrix(rows, numeric, categorical)
     vectors = matrix.transform(rows)
     # Bins must cover the widest category, plus the bucket for unseen values.

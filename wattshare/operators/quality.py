@@ -77,9 +77,9 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls per column, counted in one pass over the table, worst first."""
     wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     return (
-        wide.unpivot(["_rows"], list(columns), "column", "n_nulls")
-        .select("column", "n_nulls", ratio(100 * F.col("n_nulls"), "_rows").alias("null_pct"))
-        .orderBy(F.desc("null_pct"), "column")
+        wide.unpivot(["_rows"], list(columns), "feature", "n_nulls")
+        .select("feature", "n_nulls", ratio(100 * F.col("n_nulls"), "_rows").alias("null_pct"))
+        .orderBy(F.desc("null_pct"), "feature")
     )
 
 
