@@ -19,6 +19,7 @@ from wattshare.operators import weather as W
 from wattshare.operators.panel import reclassify_large_clients
 from wattshare.plans import evaluation
 from wattshare.plans.dataset import build_alpha_dataset, build_short_dataset, history_filter
+from wattshare.session import staged
 from wattshare.sources.fixtures import Daily, Meter
 
 SLOT = "community_code:s, datetime_utc:t"
@@ -368,7 +369,6 @@ _ENTITY_NUM = ["alpha_lag_7d", "mod", "dow", "temperature_2m"]
 
 def _per_entity(spark, sf):
     # Written once: each entity's fit would otherwise rebuild the table.
-    from wattshare.session import staged
     rows = staged(B.training_rows(dataset(spark, sf)).filter(F.col("baseline_kw").isNotNull()), "per-entity")
     train = rows.filter(F.col("target_date") < F.lit(FOLDS[-1][0]).cast("date"))
     models = M.fit_gbt_per_entity(train, "y_log", _ENTITY_NUM, min_rows=METER_MIN_ROWS, weight="baseline_kw", trees=2, depth=3,
@@ -403,7 +403,7 @@ _WEIGHTS = [0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0]
        "sum(w.weight * a.pred_kw + (1 - w.weight) * b.pred_kw) AS pred FROM oof a JOIN oof_pooled b USING (fold, community_code, "
        f"datetime_utc) CROSS JOIN (SELECT unnest({_WEIGHTS})::DOUBLE AS weight) w GROUP BY 1, 2, 3) GROUP BY weight")
 def _(spark, sf):
-    rows = dataset(spark, sf)
+    rows = staged(dataset(spark, sf), "features")
     own = evaluation.walk_forward(rows, FOLDS, False, METER_MIN_ROWS)
     pooled = evaluation.walk_forward(rows, FOLDS, True, METER_MIN_ROWS)
     return M.blend_sweep(own, pooled, _WEIGHTS)

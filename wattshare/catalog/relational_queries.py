@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from wattshare.catalog.base import query
 from wattshare.catalog.shared import WEEK, base, base_daily, dataset, oof, panel
-from wattshare.catalog.sql import FOLDS, floor_at
+from wattshare.catalog.sql import FOLDS, METER_MIN_ROWS, floor_at
 from wattshare.functions.rowwise import safe_log
-from wattshare.functions.timegrid import days_later, epoch_seconds, hour_start, second_of_day
+from wattshare.functions.timegrid import days_later, epoch_seconds, hour_start, second_of_day, slot_start
 from wattshare.operators import alpha as A
 from wattshare.operators import diagnostics, holidays, quality
 from wattshare.operators.panel import client_energy, null_rate, reclassify_large_clients, top_clients, with_new_flag
 from wattshare.operators.validation import assign_folds
 from wattshare.operators.weather import attach_weather
-from wattshare.plans.dataset import first_date
+from wattshare.plans.dataset import first_date, history_filter
+from wattshare.plans.evaluation import walk_forward
+from wattshare.session import staged
 from wattshare.sources.fixtures import Daily, Meter
 
 SLOT = "community_code:s, datetime_utc:t"
@@ -79,7 +81,6 @@ def _(spark, sf):
        "SELECT b.community_code, b.datetime_utc, b.target_date, b.target_date - f.first_date AS age_days FROM base b "
        "JOIN first_dates f USING (community_code) WHERE b.target_date - f.first_date >= 7 AND b.alpha IS NOT NULL")
 def _(spark, sf):
-    from wattshare.plans.dataset import history_filter
     rows = base(spark, sf)
     firsts = first_date(rows)
     aged = rows.join(firsts, "community_code").withColumn("age_days", F.datediff("target_date", "first_date"))
@@ -116,9 +117,7 @@ def _(spark, sf):
        "SELECT a.fold, a.community_code, a.datetime_utc, a.pred_kw AS p_entity, b.pred_kw AS p_pooled FROM oof a "
        "JOIN oof_pooled b USING (fold, community_code, datetime_utc)")
 def _(spark, sf):
-    from wattshare.catalog.sql import METER_MIN_ROWS
-    from wattshare.plans.evaluation import walk_forward
-    rows = dataset(spark, sf)
+    rows = staged(dataset(spark, sf), "features")
     keys = ["fold", "community_code", "datetime_utc"]
     own = walk_forward(rows, FOLDS, False, METER_MIN_ROWS).select(*keys, F.col("pred_kw").alias("p_entity"))
     pooled = walk_forward(rows, FOLDS, True, METER_MIN_ROWS).select(*keys, F.col("pred_kw").alias("p_pooled"))
@@ -348,7 +347,6 @@ def _(spark, sf):
        "seconds, CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS slot_second, CAST(strftime(ts, '%Y-%m-%d') || ' 06:00:00' AS TIMESTAMP) "
        "AS parsed FROM events")
 def _(spark, sf):
-    from wattshare.functions.timegrid import slot_start
     return Meter(spark, sf).events.select(
         "event_id", days_later(slot_start("ts"), 7).alias("later"), epoch_seconds("ts").alias("seconds"),
         second_of_day("ts").alias("slot_second"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wattshare import features
 from wattshare.catalog.base import query
 from wattshare.catalog.shared import WEEK, base, base_daily, dataset, oof, panel
-from wattshare.catalog.sql import FOLDS, share
+from wattshare.catalog.sql import FOLDS, METER_MIN_ROWS, share
+from wattshare.functions.timegrid import slot_start
 from wattshare.operators import diagnostics as D
 from wattshare.operators import quality as Q
 from wattshare.operators.baseline import portfolio, with_baseline_d2
@@ -17,6 +18,8 @@ from wattshare.operators.panel import (
 )
 from wattshare.operators.validation import holdout
 from wattshare.plans.dataset import shares
+from wattshare.plans.evaluation import walk_forward
+from wattshare.session import staged
 from wattshare.sources.fixtures import Daily, Meter
 
 SLOT = "community_code:s, datetime_utc:t"
@@ -190,9 +193,7 @@ def _(spark, sf):
        _lift_sql("is_hol", "(SELECT *, CASE WHEN CAST(datetime_utc AS DATE) IN (SELECT target_date FROM x WHERE is_holiday = 1) "
                            "THEN 1 ELSE 0 END AS is_hol FROM oof)"))
 def _(spark, sf):
-    from wattshare.catalog.sql import METER_MIN_ROWS
-    from wattshare.plans.evaluation import walk_forward
-    rows = dataset(spark, sf)
+    rows = staged(dataset(spark, sf), "features")
     return D.holiday_error(walk_forward(rows, FOLDS, False, METER_MIN_ROWS), daily_holidays(rows))
 
 
@@ -347,7 +348,6 @@ def _(spark, sf):
        "SELECT CAST(user_id AS VARCHAR) AS client_id, event_type AS community_code, time_bucket(INTERVAL '15 minutes', ts) AS "
        "datetime_utc, count(*) AS n_rows FROM events GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def _(spark, sf):
-    from wattshare.functions.timegrid import slot_start
     raw = Meter(spark, sf).events.select(
         F.col("user_id").cast("string").alias("client_id"), F.col("event_type").alias("community_code"),
         slot_start("ts").alias("datetime_utc"))

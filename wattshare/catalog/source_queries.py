@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattshare import features, schemas
@@ -10,7 +12,8 @@ from wattshare.catalog.shared import base, dataset, panel
 from wattshare.catalog.sql import CLOCK, FOLDS, floor_at
 from wattshare.functions.rowwise import clip, flag, ratio
 from wattshare.functions.timegrid import is_clock
-from wattshare.operators.baseline import portfolio_forecast, with_baseline, with_residual
+from wattshare.operators.alpha import with_alpha, with_demand
+from wattshare.operators.baseline import portfolio_forecast, with_baseline, with_baseline_d2, with_residual
 from wattshare.operators.calendar import with_calendar
 from wattshare.operators.model import fit_cell_median
 from wattshare.operators.panel import reclassify_large_clients
@@ -25,7 +28,6 @@ SLOT = "community_code:s, datetime_utc:t"
 
 
 def _scratch(spark, label: str) -> str:
-    import uuid
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -176,7 +178,6 @@ def _(spark, sf):
 
 @query("null_filter_p10", f"{SLOT}, alpha:f9", "P10", "SELECT * FROM base WHERE alpha IS NOT NULL AND std_kw IS NOT NULL")
 def _(spark, sf):
-    from wattshare.operators.alpha import with_alpha
     return with_alpha(panel(spark, sf), Meter(spark, sf).demand).dropna(subset=["alpha", "std_kw"])
 
 
@@ -213,7 +214,6 @@ def _(spark, sf):
        "SELECT community_code, datetime_utc, CASE WHEN D_mw > 0 THEN total_kw / D_mw END AS per_mw, "
        "CASE WHEN n_reporting > 0 THEN total_kw / n_reporting END AS per_reporting FROM base")
 def _(spark, sf):
-    from wattshare.operators.alpha import with_demand
     return with_demand(panel(spark, sf), Meter(spark, sf).demand).withColumns({
         "per_mw": ratio("total_kw", "D_mw"), "per_reporting": ratio("total_kw", "n_reporting")})
 
@@ -225,7 +225,6 @@ def _(spark, sf):
        "JOIN base l2 ON l2.community_code = b.community_code AND l2.datetime_utc = b.datetime_utc - INTERVAL '2' DAY) "
        "WHERE alpha_d IS NOT NULL GROUP BY 1, 2")
 def _(spark, sf):
-    from wattshare.operators.baseline import with_baseline_d2
     rows = with_calendar(with_residual(with_baseline_d2(base(spark, sf)), "kw"), "cyclic")
     return fit_cell_median(rows, "residual", slot="qhour").table
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattshare.features import LAG_DAYS
@@ -120,42 +120,42 @@ def same_dow_mean(df: DataFrame, column: str, name: str, days: int = 28, entity:
     return keyed.withColumn(name, F.avg(column).over(w)).drop("_day", "_tod", "_dow")
 
 
-def _cutoff_rows(df: DataFrame, cutoff_hour: int, *values: Column) -> DataFrame:
-    """The last slot published before the cutoff, per entity and local day.
+def _cutoff_rows(df: DataFrame, cutoff_hour: int, **values: str) -> DataFrame:
+    """The last slot published before the cutoff, per entity and local day: ``new name = column``.
 
     Should the local clock show that slot twice in one day, the later one counts.
     """
     at_cutoff = df.filter(is_clock("datetime_local", cutoff_hour - 1, 45))
-    return (
-        at_cutoff.groupBy("community_code", F.date_add(F.to_date("datetime_local"), 1).alias("target_date"))
-        .agg(F.max(F.struct(F.col("datetime_utc").alias("cutoff_utc"), *values)).alias("s"))
-        .select("community_code", "target_date", "s.*")
-    )
+    return at_cutoff.groupBy(
+        "community_code", F.date_add(F.to_date("datetime_local"), 1).alias("target_date")
+    ).agg(F.max("datetime_utc").alias("cutoff_utc"),
+          *[F.max_by(src, "datetime_utc").alias(name) for name, src in values.items()])
 
 
 def client_count_snapshot(df: DataFrame, cutoff_hour: int = 12) -> DataFrame:
     """Client count at the cutoff of the day before, per (community, target date)."""
-    return _cutoff_rows(df, cutoff_hour, F.col("n_clients").alias("n_clients_at_cutoff")).drop("cutoff_utc")
+    return _cutoff_rows(df, cutoff_hour, n_clients_at_cutoff="n_clients").drop("cutoff_utc")
 
 
 def cutoff_snapshot(df: DataFrame, cutoff_hour: int = 12) -> DataFrame:
     """What is known at the cutoff of day D-1, one row per (community, target date D).
 
     Last share, trailing 24 h mean, trailing 7 d mean and standard deviation, client count.  Only one
-    slot a day needs the trailing statistics, so instead of sliding a window over every slot each
-    row is sent to the (at most eight) cutoff days whose 7 d frame can hold it and
-    aggregated there: a combinable groupBy that spreads over days as well as communities.
+    slot a day needs the trailing statistics, so no window slides over every slot.  Each cutoff (one
+    row in 96) is repeated for the eight UTC days its 7 d frame touches and meets the history of those days
+    by equality on (community, day); the groupBy after it combines within tasks.  Work spreads over days
+    as well as communities, and the history itself is shuffled once, never multiplied.
     """
-    cutoffs = _cutoff_rows(
-        df, cutoff_hour, F.col("alpha").alias("sn_alpha_last"), F.col("n_clients").alias("n_clients_at_cutoff"))
-    cutoffs = cutoffs.withColumn("_day", epoch_day("cutoff_utc"))
+    cutoffs = _cutoff_rows(df, cutoff_hour, sn_alpha_last="alpha", n_clients_at_cutoff="n_clients")
+    last_day = epoch_day("cutoff_utc")
+    reach = cutoffs.select(
+        "community_code", "target_date", epoch_seconds("cutoff_utc").alias("_cut"),
+        F.explode(F.sequence(last_day - 7, last_day)).alias("_day"))
     history = df.filter(F.col("alpha").isNotNull()).select(
-        "community_code", "alpha", epoch_seconds("datetime_utc").alias("_sec"),
-        F.explode(F.sequence(epoch_day("datetime_utc"), epoch_day("datetime_utc") + 7)).alias("_day"))
-    age = epoch_seconds("cutoff_utc") - F.col("_sec")
+        "community_code", "alpha", epoch_seconds("datetime_utc").alias("_sec"), epoch_day("datetime_utc").alias("_day"))
     week = (
-        history.join(cutoffs.select("community_code", "_day", "target_date", "cutoff_utc"), ["community_code", "_day"])
-        .withColumn("_age", age)
+        history.join(reach, ["community_code", "_day"])
+        .withColumn("_age", F.col("_cut") - F.col("_sec"))
         .filter(F.col("_age").between(0, 7 * DAY_SECONDS - 1))
         .groupBy("community_code", "target_date")
         .agg(

@@ -36,12 +36,11 @@ def new_clients(readings: DataFrame, unique_readings: bool = False) -> DataFrame
     across communities.  A client holding a third of all readings costs nothing extra.
     """
     if unique_readings:
-        earliest = readings.groupBy("client_id", "community_code").agg(
-            F.min(F.struct("datetime_utc", F.lit(1).cast("bigint").alias("n_rows"))).alias("e"))
+        rows, count_at_first = readings, F.lit(1)
     else:
-        earliest = client_slots(readings).groupBy("client_id", "community_code").agg(
-            F.min(F.struct("datetime_utc", "n_rows")).alias("e"))
-    earliest = earliest.select("client_id", "community_code", "e.datetime_utc", "e.n_rows")
+        rows, count_at_first = client_slots(readings), F.min_by("n_rows", "datetime_utc")
+    earliest = rows.groupBy("client_id", "community_code").agg(
+        F.min("datetime_utc").alias("datetime_utc"), count_at_first.alias("n_rows"))
     # At most one row per community in a client's window, whatever its number of readings.
     overall = F.min("datetime_utc").over(Window.partitionBy("client_id"))
     return (
