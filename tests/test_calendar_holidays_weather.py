@@ -91,6 +91,12 @@ def test_holiday_flag_never_repeats_rows(spark, daily):
     assert H.with_holiday_flag(daily.drop("is_holiday"), None).agg(F.sum("is_holiday")).collect()[0][0] == 0
 
 
+def test_regional_holidays_stay_regional(spark, daily):
+    listed = spark.createDataFrame([("N", date(2025, 1, 6))], "community_code string, date date")
+    out = H.with_holiday_flag(daily.drop("is_holiday"), listed, regional=True).filter("is_holiday = 1")
+    assert [(r.community_code, r.target_date) for r in out.collect()] == [("N", date(2025, 1, 6))]
+
+
 def test_degree_days_keep_unknown_temperature_unknown(spark):
     df = spark.createDataFrame([(10.0, 20, 1), (25.0, 10, 0), (None, 20, 1)], "temperature_2m double, hour int, is_weekend int")
     out = W.with_temp_interactions(W.with_degree_days(df)).collect()

@@ -76,7 +76,9 @@ def test_reclassified_client_in_two_communities_keeps_each_reading_once(readings
     df = readings_of([("a", "N", T0, 9.0), ("a", "S", T0, 9.0), ("b", "N", T0, 1.0)])
     out = P.reclassify_large_clients(df, 1)
     assert sorted(r.community_code for r in out.collect()) == ["BIG_a", "BIG_a", "N"]
-    assert by_key(P.build_panel_min(out), "community_code")["BIG_a"].n_clients == 1
+    for unique in (True, False):
+        assert by_key(P.build_panel_min(out, unique), "community_code")["BIG_a"].n_clients == 1
+        assert by_key(P.build_panel(out, unique), "community_code")["BIG_a"].n_clients == 1
 
 
 def test_ranking_ignores_readings_from_the_horizon(readings_of):
@@ -111,3 +113,10 @@ def test_unique_panel_moves_only_combined_rows(readings):
     for line in plan.splitlines():
         if "Exchange hashpartitioning" in line:
             assert not ("client_id" in line and "datetime_utc" in line), line
+
+
+def test_counting_clients_and_new_ones_shares_one_shuffle(readings):
+    df = P.build_panel(readings)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final

@@ -18,7 +18,9 @@ from wattshare.operators import validation as V
 from wattshare.operators import weather as W
 from wattshare.operators.panel import reclassify_large_clients
 from wattshare.plans import evaluation
-from wattshare.plans.dataset import build_alpha_dataset, build_short_dataset, history_filter
+from wattshare.plans.dataset import (
+    build_alpha_dataset, build_short_dataset, compact_features, history_filter, rich_features,
+)
 from wattshare.session import staged
 from wattshare.sources.fixtures import Daily, Meter
 
@@ -145,7 +147,7 @@ def _(spark, sf):
        "ON f.community_code = b.community_code WHERE b.alpha IS NOT NULL AND b.target_date - f.f >= 7")
 def _(spark, sf):
     m = Meter(spark, sf)
-    return build_short_dataset(m.readings, m.demand, m.holidays, min_history_days=WEEK, top_n=10)
+    return build_short_dataset(m.readings, m.demand, m.holidays, min_history_days=WEEK, top_n=10, unique_readings=True)
 
 
 @query("baseline_cutoff_o10", f"{SLOT}, baseline_kw:f4", "O10",
@@ -250,12 +252,36 @@ def _(spark, sf):
     return H.holiday_proximity(dataset(spark, sf))
 
 
-def _compact(df):
-    """Rows and columns of the small pooled feature set."""
-    rows = B.with_log_context(B.training_rows(df))
-    rows = A.robust_lag(rows, [f"alpha_lag_{n}d" for n in (7, 14, 21, 28)])
-    rows = C.with_fourier(C.with_week_bins(rows), (1,))
-    return H.with_holiday_context(W.with_degree_days(rows))
+_RICH = [c for c in features.RICH_FEATURES if c not in features.FEATURES]
+_WHOLE = {"hour_of_week", "qhour_of_week", "hol_prev", "hol_next", "hol_2prev", "hol_2next", "is_bridge"}
+
+
+@query("rich_features_o21", f"{SLOT}, baseline_kw:f4, y_log:f6, " + ", ".join(f"{c}:{'i' if c in _WHOLE else 'f6'}" for c in _RICH),
+       "O21 O13 O14 O15 O18 O6c",
+       f"SELECT r.*, h.* EXCLUDE (community_code, target_date, is_holiday), dow * 24 + hour AS hour_of_week, dow * 96 + mod AS qhour_of_week, "
+       f"{_YEAR}, ln({floor_at('n_clients_at_cutoff', '1')}) AS log_clients, ln({floor_at('D_mw', '1.0')}) AS log_dmw, ln(baseline_kw) AS "
+       "baseline_log, 24 * acos(greatest(-1.0, least(1.0, -tan(radians(40.0)) * tan(0.4093e0 * sin(2 * pi() * (doy - 81) / 365.25e0))))) "
+       "/ pi() AS daylight_h, CASE WHEN t IS NOT NULL THEN greatest(0.0, 15 - t) END AS hdd15, CASE WHEN t IS NOT NULL THEN greatest(0.0, "
+       "18 - t) END AS hdd18, CASE WHEN t IS NOT NULL THEN greatest(0.0, t - 22) END AS cdd22, t * hour AS temp_x_hour, t * is_weekend AS "
+       "temp_x_weekend, CASE WHEN t IS NULL THEN NULL WHEN hour BETWEEN 18 AND 23 THEN greatest(0.0, 18 - t) ELSE 0 END AS hdd_x_evening "
+       "FROM (SELECT *, temperature_2m AS t FROM train_rows) r JOIN holiday_daily_lagged h ON h.community_code = r.community_code "
+       "AND h.target_date = r.target_date")
+def _(spark, sf):
+    return rich_features(dataset(spark, sf))
+
+
+@query("compact_features_o21", f"{SLOT}, alpha_lag_median4:f9, baseline_log:f6, qhour_of_week:i, sin_doy_1:f6, cos_doy_1:f6, hol_type:s, "
+       "hol_mismatch_7d:i, is_bridge:i, days_to_hol:i, days_since_hol:i, hdd18:f6, cdd22:f6", "O21 O16 O17 O19 O20",
+       "SELECT r.community_code, r.datetime_utc, (SELECT median(v) FROM (VALUES (alpha_lag_7d), (alpha_lag_14d), (alpha_lag_21d), "
+       "(alpha_lag_28d)) m(v)) AS alpha_lag_median4, ln(baseline_kw) AS baseline_log, dow * 96 + mod AS qhour_of_week, "
+       "sin(2 * pi() * doy / 365.25e0) AS sin_doy_1, cos(2 * pi() * doy / 365.25e0) AS cos_doy_1, "
+       f"{HOL_TYPE.replace('target_date', 'r.target_date').replace('is_holiday', 'r.is_holiday')} AS hol_type, "
+       "CASE WHEN r.is_holiday <> h.hol_7d_ago THEN 1 ELSE 0 END AS hol_mismatch_7d, h.is_bridge, h.days_to_hol, h.days_since_hol, "
+       "CASE WHEN t IS NOT NULL THEN greatest(0.0, 18 - t) END AS hdd18, CASE WHEN t IS NOT NULL THEN greatest(0.0, t - 22) END AS cdd22 "
+       "FROM (SELECT *, temperature_2m AS t FROM train_rows) r JOIN holiday_daily_lagged h ON h.community_code = r.community_code "
+       "AND h.target_date = r.target_date")
+def _(spark, sf):
+    return compact_features(dataset(spark, sf))
 
 
 _COMPACT_NUM = [c for c in features.COMPACT_FEATURES if c not in features.COMPACT_CATEGORICAL]
@@ -266,7 +292,7 @@ _COMPACT_CAT = [c for c in features.COMPACT_CATEGORICAL if c != "qhour_of_week"]
 
 @query("feature_matrix_o21", f"{SLOT}, width:i, missing:f2", "O21")
 def _(spark, sf):
-    rows = _compact(dataset(spark, sf))
+    rows = compact_features(dataset(spark, sf))
     matrix = M.fit_feature_matrix(rows, _COMPACT_NUM, _COMPACT_CAT)
     flags = [i + 1 for i, n in enumerate(matrix.names) if n.endswith("_missing")]
     vectors = M.feature_rows(matrix, rows, ["community_code", "datetime_utc"])
@@ -358,7 +384,7 @@ def _boosted(df, **extra):
 
 @query("boosted_pooled_o26", _SCORED, "O26")
 def _(spark, sf):
-    rows = V.assign_folds(_compact(dataset(spark, sf)), FOLDS[-1:])
+    rows = V.assign_folds(compact_features(dataset(spark, sf)), FOLDS[-1:])
     rows = rows.filter(F.col("baseline_kw").isNotNull())
     model = _boosted(rows.filter(F.col("role") == "train"), stop_date="2024-01-20")
     return B.from_residual(model.predict(rows.filter(F.col("role") == "valid")), "log", bound=0.5)
@@ -385,7 +411,7 @@ def _(spark, sf):
 
 @query("feature_importance_o31", "feature:s, weight:f6", "O31")
 def _(spark, sf):
-    rows = _compact(dataset(spark, sf)).filter(F.col("baseline_kw").isNotNull())
+    rows = compact_features(dataset(spark, sf)).filter(F.col("baseline_kw").isNotNull())
     return _boosted(rows).importance(spark)
 
 
@@ -430,7 +456,8 @@ def _score_sql(start: str, end: str) -> str:
 def _(spark, sf):
     m = Meter(spark, sf)
     return evaluation.score(
-        m.readings, m.demand, "2024-01-22", "2024-01-29", m.weather, top_n=10, min_rows=METER_MIN_ROWS)
+        m.readings, m.demand, "2024-01-22", "2024-01-29", m.weather, top_n=10, min_rows=METER_MIN_ROWS,
+        unique_readings=True)
 
 
 def _cv_sql(splits: int, gap: int, top_n: int, min_rows: int) -> str:

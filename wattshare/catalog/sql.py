@@ -184,6 +184,10 @@ FROM oof GROUP BY fold, datetime_utc""",
     "holiday_numbered": """SELECT community_code, target_date, max(is_holiday) AS is_holiday,
   row_number() OVER (PARTITION BY community_code ORDER BY target_date) AS i FROM x GROUP BY community_code, target_date""",
     "holiday_daily": holiday_days("holiday_numbered"),
+    # Days that have a weekly lag, as the training rows do.
+    "holiday_numbered_lagged": """SELECT community_code, target_date, max(is_holiday) AS is_holiday,
+  row_number() OVER (PARTITION BY community_code ORDER BY target_date) AS i FROM train_rows GROUP BY 1, 2""",
+    "holiday_daily_lagged": holiday_days("holiday_numbered_lagged"),
     # Daily portfolio.
     "readings_d": """SELECT CAST(o_custkey AS VARCHAR) AS client_id, c_mktsegment AS community_code,
   o_orderdate AS datetime_utc, o_orderdate AS datetime_local,

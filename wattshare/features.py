@@ -15,6 +15,17 @@ CATEGORICAL = ["community_code", "hour", "qhour", "dow", "month", "is_weekend",
 # Share-only variant: two lags, the client count, calendar and holiday flag.
 SHORT_FEATURES = ["alpha_lag_2d", "alpha_lag_7d", "n_clients_at_cutoff", "D_mw"] + CALENDAR + ["is_holiday"]
 
+# Full set for one model per entity; add the entity for a pooled model.
+RICH_FEATURES = (
+    LAGS + ["alpha_lag_mean"] + SNAPSHOT + ["D_mw", "log_clients", "log_dmw", "baseline_log"] + CALENDAR
+    + [f"{fn}_doy_{k}" for k in (1, 2, 3, 4) for fn in ("sin", "cos")]
+    + ["hour_of_week", "qhour_of_week", "daylight_h"]
+    + ["is_holiday", "hol_prev", "hol_next", "hol_2prev", "hol_2next", "is_bridge"]
+    + WEATHER_MEASURES
+    + ["hdd15", "hdd18", "cdd22", "temp_x_hour", "temp_x_weekend", "hdd_x_evening"]
+)
+RICH_CATEGORICAL = ["hour", "qhour", "dow", "month", "is_weekend", "is_day", "is_holiday", "hour_of_week", "qhour_of_week", "is_bridge"]
+
 # Small set for one pooled model.
 COMPACT_FEATURES = [
     "alpha_lag_median4", "sn_alpha_last", "sn_alpha_mean_7d", "baseline_log", "qhour_of_week", "sin_doy_1",

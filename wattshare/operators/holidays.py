@@ -15,13 +15,22 @@ from wattshare.sources.tables import distinct_dates
 DAY = ["community_code", "target_date"]
 
 
-def with_holiday_flag(df: DataFrame, holidays: DataFrame | None, date: str = "target_date") -> DataFrame:
-    """``is_holiday`` = 1 when the local date is listed.  Without a list every day is ordinary."""
+def with_holiday_flag(
+    df: DataFrame, holidays: DataFrame | None, date: str = "target_date", regional: bool = False,
+) -> DataFrame:
+    """``is_holiday`` = 1 when the local date is listed.  Without a list every day is ordinary.
+
+    Every listed date counts everywhere, unless ``regional`` asks that ``community_code`` match too.
+    """
     if holidays is None:
         return df.withColumn("is_holiday", F.lit(0))
-    listed = distinct_dates(holidays).withColumnRenamed("date", "_date")
-    return df.join(listed, F.col(date) == F.col("_date"), "left").select(
-        *df.columns, flag(F.col("_date").isNotNull()).alias("is_holiday"))
+    listed = holidays.select("community_code", "date").distinct() if regional else distinct_dates(holidays)
+    listed = listed.withColumnRenamed("date", "_date")
+    match = F.col(date) == F.col("_date")
+    if regional:
+        listed = listed.withColumnRenamed("community_code", "_region")
+        match = match & (F.col("community_code") == F.col("_region"))
+    return df.join(listed, match, "left").select(*df.columns, flag(F.col("_date").isNotNull()).alias("is_holiday"))
 
 
 def with_holiday_type(df: DataFrame, date: str = "target_date") -> DataFrame:

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattshare.functions.rowwise import flag, ratio
 
 KEYS = ["community_code", "datetime_utc"]
 
+# Community of a client modelled alone is this prefix and the client id.
+PROMOTED_PREFIX = "BIG_"
+
+
+def _clients_in_unique_rows(n_rows: str) -> Column:
+    """Clients behind ``n_rows`` readings of a slot, one per client and original community.
+
+    A promoted client may read in several communities at once and still is one client.
+    """
+    promoted = F.col("community_code").startswith(PROMOTED_PREFIX)
+    return F.when(promoted, F.least(n_rows, F.lit(1).cast("bigint"))).otherwise(F.col(n_rows))
+
+
+def _count_clients(readings: DataFrame) -> DataFrame:
+    # Reads n_rows on purpose: the same shuffle of client slots then serves new_clients as well.
+    return client_slots(readings).groupBy(*KEYS).agg(F.count_if(F.col("n_rows") > 0).alias("n_clients"))
+
 
 def first_seen(readings: DataFrame) -> DataFrame:
     """First stamp of every client."""
@@ -56,7 +73,7 @@ def build_panel(readings: DataFrame, unique_readings: bool = False, median_accur
     Null readings are counted, never imputed.  All slot statistics combine map-side.  Counting
     distinct clients is the one thing that cannot, so it runs as its own branch that shuffles three
     thin columns instead of carrying every aggregate buffer per client; a source known to hold
-    one reading per client and slot skips it with ``unique_readings=True``.
+    one reading per client, community and slot skips it with ``unique_readings=True``.
     """
     stats = readings.groupBy(*KEYS).agg(
         F.min("datetime_local").alias("datetime_local"),
@@ -70,11 +87,10 @@ def build_panel(readings: DataFrame, unique_readings: bool = False, median_accur
         F.max("active_kw").alias("max_kw"),
     )
     if unique_readings:
-        counted = stats.withColumnRenamed("n_rows", "n_clients")
+        counted = stats.withColumn("n_clients", _clients_in_unique_rows("n_rows"))
     else:
-        clients = client_slots(readings).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clients"))
-        counted = (stats.drop("n_rows").join(clients, KEYS, "left")
-                   .withColumn("n_clients", F.coalesce("n_clients", F.lit(0))))
+        counted = stats.join(_count_clients(readings), KEYS, "left").withColumn(
+            "n_clients", F.coalesce("n_clients", F.lit(0)))
     joined = counted.join(new_clients(readings, unique_readings), KEYS, "left")
     reporting = F.col("n_clients") - F.col("n_missing")
     return joined.select(
@@ -92,13 +108,12 @@ def build_panel_min(readings: DataFrame, unique_readings: bool = False) -> DataF
     stats = readings.groupBy(*KEYS).agg(
         F.min("datetime_local").alias("datetime_local"),
         F.sum("active_kw").alias("total_kw"),
-        F.count("client_id").alias("n_clients"),
+        F.count("client_id").alias("n_rows"),
     )
     if unique_readings:
-        return stats
-    clients = client_slots(readings).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_clients"))
-    return (stats.drop("n_clients").join(clients, KEYS, "left")
-            .withColumn("n_clients", F.coalesce("n_clients", F.lit(0))))
+        return stats.withColumn("n_clients", _clients_in_unique_rows("n_rows")).drop("n_rows")
+    return stats.drop("n_rows").join(_count_clients(readings), KEYS, "left").withColumn(
+        "n_clients", F.coalesce("n_clients", F.lit(0)))
 
 
 def client_energy(readings: DataFrame, by: tuple[str, ...] = ("client_id",)) -> DataFrame:
@@ -123,7 +138,7 @@ BROADCAST_ROWS = 10_000
 def reclassify_large_clients(readings: DataFrame, top_n: int = 30, fit_until: str | None = None) -> DataFrame:
     """Give each of the largest clients a community of its own, ``BIG_<client_id>``."""
     promoted = top_clients(readings, top_n, fit_until).select(
-        "client_id", F.concat(F.lit("BIG_"), F.col("client_id")).alias("_own"))
+        "client_id", F.concat(F.lit(PROMOTED_PREFIX), F.col("client_id")).alias("_own"))
     # At most top_n rows by construction, so the hint is bounded; beyond that Spark sizes the join.
     if top_n <= BROADCAST_ROWS:
         promoted = F.broadcast(promoted)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from wattshare import features
 from wattshare.operators.alpha import (
-    attach_snapshot, check_lag_days, client_count_snapshot, cutoff_snapshot, with_alpha, with_alpha_lags,
+    attach_snapshot, check_lag_days, client_count_snapshot, cutoff_snapshot, robust_lag, with_alpha, with_alpha_lags,
 )
-from wattshare.operators.calendar import with_calendar
-from wattshare.operators.holidays import with_holiday_flag
+from wattshare.operators.baseline import training_rows, with_log_context
+from wattshare.operators.calendar import with_calendar, with_daylight, with_fourier, with_week_bins
+from wattshare.operators.holidays import with_holiday_context, with_holiday_flag
 from wattshare.operators.panel import build_panel, build_panel_min, reclassify_large_clients
-from wattshare.operators.weather import attach_weather
+from wattshare.operators.weather import attach_weather, with_degree_days, with_temp_interactions
 from wattshare.session import staged
 
 
@@ -71,10 +72,24 @@ def build_short_dataset(
 ) -> DataFrame:
     """The reduced table: large clients apart, two lags, client count at the cutoff, no weather."""
     split = reclassify_large_clients(readings, top_n, fit_until)
-    # A promoted client may read in several communities at once, so its rows are no longer unique.
-    base = shares(split, demand, unique_readings=False, stage=stage)
+    base = shares(split, demand, unique_readings=unique_readings, stage=stage)
     rows = with_alpha_lags(base, (2, 7))
     rows = attach_snapshot(rows, client_count_snapshot(base, cutoff_hour))
     rows = history_filter(rows.withColumn("y", F.col("alpha")), min_history_days, first_date(base))
     rows = with_calendar(with_holiday_flag(rows, holidays))
     return rows.select(*features.BOOKKEEPING, "y", *features.SHORT_FEATURES)
+
+
+def rich_features(dataset: DataFrame) -> DataFrame:
+    """Training rows with every derived feature: logs, yearly harmonics, week bins, daylight, holidays, temperature."""
+    rows = with_log_context(training_rows(dataset))
+    rows = with_daylight(with_week_bins(with_fourier(rows)))
+    return with_holiday_context(with_temp_interactions(with_degree_days(rows)))
+
+
+def compact_features(dataset: DataFrame) -> DataFrame:
+    """Training rows with the small feature set: robust lag, one yearly harmonic, holiday context, degree days."""
+    rows = with_log_context(training_rows(dataset))
+    rows = robust_lag(rows, [f"alpha_lag_{n}d" for n in (7, 14, 21, 28)])
+    rows = with_fourier(with_week_bins(rows), (1,))
+    return with_holiday_context(with_degree_days(rows))

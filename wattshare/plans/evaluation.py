@@ -14,7 +14,7 @@ from wattshare.operators.baseline import (
 from wattshare.operators.calendar import with_calendar
 from wattshare.operators.diagnostics import top_per_group
 from wattshare.operators.model import fit_cell_median
-from wattshare.operators.panel import BROADCAST_ROWS, build_panel_min, reclassify_large_clients
+from wattshare.operators.panel import BROADCAST_ROWS, PROMOTED_PREFIX, build_panel_min, reclassify_large_clients
 from wattshare.operators.validation import assign_folds, day_folds, fold_bounds
 from wattshare.operators.weather import attach_weather
 from wattshare.schemas import WEATHER_MEASURES_D2
@@ -51,11 +51,11 @@ def single_fold(
 
 def entity_rows(
     readings: DataFrame, demand: DataFrame, weather: DataFrame | None = None, top_n: int = 30,
-    fit_until: str | None = None, stage: bool = True,
+    fit_until: str | None = None, unique_readings: bool = False, stage: bool = True,
 ) -> DataFrame:
     """Entities with their D-2 baseline, kW residual, issued weather and cyclic calendar."""
     split = reclassify_large_clients(readings, top_n, fit_until)
-    panel = with_alpha(build_panel_min(split), demand)
+    panel = with_alpha(build_panel_min(split, unique_readings), demand)
     if stage:
         panel = staged(panel, "entities")
     rows = with_residual(with_baseline_d2(panel), "kw")
@@ -64,14 +64,14 @@ def entity_rows(
 
 def score(
     readings: DataFrame, demand: DataFrame, start: str, end: str, weather: DataFrame | None = None,
-    top_n: int = 30, min_rows: int = 500, stage: bool = True,
+    top_n: int = 30, min_rows: int = 500, unique_readings: bool = False, stage: bool = True,
 ) -> DataFrame:
     """Forecast [start, end) from what precedes ``start``; returns (datetime_15min, prediction).
 
     Large clients are ranked, and corrections fitted, on rows before ``start``.  Entities are summed
     per UTC slot, so an hour repeated on the local clock is not added up.
     """
-    rows = entity_rows(readings, demand, weather, top_n, fit_until=start, stage=stage)
+    rows = entity_rows(readings, demand, weather, top_n, fit_until=start, unique_readings=unique_readings, stage=stage)
     begin, stop = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     local = F.col("datetime_local")
     model = fit_cell_median(rows.filter(local < begin), "residual", slot="qhour", min_rows=min_rows)
@@ -109,7 +109,7 @@ def _fold_entities(
     apart = F.coalesce(F.array_contains("in_folds", F.col("fold")), F.lit(False))
     named = cell.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds]))).withColumns({
         "apart": apart,
-        "entity": F.when(apart, F.concat(F.lit("BIG_"), F.col("_large"))).otherwise(F.col("community_code"))})
+        "entity": F.when(apart, F.concat(F.lit(PROMOTED_PREFIX), F.col("_large"))).otherwise(F.col("community_code"))})
     # A promoted client is one client even where it reads in several communities.
     clients = F.when(F.max("apart"), F.max("n")).otherwise(F.sum("n"))
     return named.groupBy("fold", F.col("entity").alias("community_code"), "datetime_utc").agg(

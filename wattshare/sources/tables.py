@@ -63,8 +63,8 @@ def normalise_weather(weather: DataFrame) -> DataFrame:
 
 def save_features(df: DataFrame, target: str) -> None:
     """Write a feature table partitioned by target date, to a path or a catalogue name."""
-    # Cluster by day first: without it every task would open a file for every day.
-    writer = df.repartition("target_date").write.mode("overwrite").partitionBy("target_date")
+    # Rebalanced by day: tasks then hold few days each, and a day too large for one task is split.
+    writer = df.hint("rebalance", "target_date").write.mode("overwrite").partitionBy("target_date")
     writer.parquet(target) if "/" in target else writer.saveAsTable(target)
 
 
