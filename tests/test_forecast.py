@@ -263,15 +263,21 @@ def test_cross_validation_against_plain_python(portfolio):
             assert (got[fold].valid_start, got[fold].valid_end) == (first, last)
 
 
+def test_too_few_days_for_a_fold(readings_of, demand_of):
+    with pytest.raises(ValueError, match="too few days"):
+        evaluation.cross_validate(readings_of([("a", "N", "2025-01-01 00:00", 1.0)]), demand_of([("2025-01-01 00:00", 1.0)]))
+
+
 def test_large_clients_differ_between_folds(spark, readings_of):
     """A client that grows later is apart only in the folds whose train days show it."""
     rows = [("a", "N", f"2025-01-{d:02d} 10:00", 10.0) for d in range(1, 21)]
     rows += [("b", "N", f"2025-01-{d:02d} 10:00", 1.0 if d < 8 else 99.0) for d in range(1, 21)]
     readings = readings_of(rows)
     folds = V.day_folds(readings.select(F.to_date("datetime_local").alias("target_date")), 3, 1)
-    large = evaluation._large_clients_per_fold(readings, folds, 1)
+    bounds = V.fold_bounds(folds).orderBy("fold").collect()
+    large = evaluation._large_clients_per_fold(readings, bounds, 1)
     assert {r.client_id: r.in_folds for r in large.collect()} == {"a": [0], "b": [1, 2]}
-    panel = by_key(evaluation._fold_entities(readings, large, range(3)), "fold", "community_code", "datetime_utc")
+    panel = by_key(evaluation._fold_entities(readings, large, bounds), "fold", "community_code", "datetime_utc")
     t = at("2025-01-09 10:00")
     assert panel[0, "BIG_a", t].total_kw == 10.0 and panel[0, "N", t].total_kw == 99.0
     assert panel[2, "BIG_b", t].total_kw == 99.0 and panel[2, "N", t].n_clients == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wattshare.operators.alpha import with_alpha
@@ -80,36 +80,56 @@ def score(
     return total.select(F.col("datetime_local").alias("datetime_15min"), "prediction")
 
 
-def _large_clients_per_fold(readings: DataFrame, folds: DataFrame, top_n: int) -> DataFrame:
+def _by_fold(bounds: Sequence[Row], value, otherwise=None) -> Column:
+    """``value(bounds of the row's fold)``: the few folds as one CASE expression."""
+    chosen = F.lit(otherwise)
+    for b in bounds:
+        chosen = F.when(F.col("fold") == b.fold, value(b)).otherwise(chosen)
+    return chosen
+
+
+def _large_clients_per_fold(readings: DataFrame, bounds: Sequence[Row], top_n: int) -> DataFrame:
     """(client_id, in_folds): the folds in which a client ranks among the largest on train days.
 
-    Readings shrink to one total per client and day before they meet the folds.
+    One sum per fold in a single pass: whatever the number of folds and days, a client is one row in the
+    shuffle, and no more than ``top_n`` rows per task enter the ranking of a fold.
     """
-    daily = readings.groupBy("client_id", F.to_date("datetime_local").alias("target_date")).agg(
-        F.sum("active_kw").alias("kw"))
-    train = folds.filter(F.col("role") == "train").select("fold", "target_date")
-    totals = daily.join(train, "target_date").groupBy("fold", "client_id").agg(F.sum("kw").alias("kw"))
-    ranked = top_per_group(totals, ["fold"], [F.desc_nulls_last("kw"), F.asc("client_id")], top_n)
+    day = F.to_date("datetime_local")
+    sums = [F.sum(F.when(day <= F.lit(b.train_end), F.col("active_kw"))).alias(f"_{b.fold}") for b in bounds]
+    seen = readings.filter(day <= F.lit(max(b.train_end for b in bounds)))
+    totals = seen.groupBy("client_id").agg(*sums)
+    per_fold = totals.select("client_id", F.explode(F.array(*[
+        F.struct(F.lit(b.fold).alias("fold"), F.col(f"_{b.fold}").alias("kw")) for b in bounds])).alias("e"))
+    ranked = top_per_group(
+        per_fold.select("client_id", "e.*").filter(F.col("kw").isNotNull()), ["fold"],
+        [F.desc("kw"), F.asc("client_id")], top_n)
     return ranked.groupBy("client_id").agg(F.sort_array(F.collect_set("fold")).alias("in_folds"))
 
 
 def _fold_entities(
-    readings: DataFrame, large: DataFrame, folds: Sequence[int], unique_readings: bool = False,
+    readings: DataFrame, large: DataFrame, bounds: Sequence[Row], unique_readings: bool = False,
 ) -> DataFrame:
     """Panel of every fold's own entities from one pass over the readings.
 
     Readings are reduced once to (community, slot, client if it is ever large).  What a large
-    client is called differs between folds, so only that small table is repeated per fold.
+    client is called differs between folds, so only that small table is repeated per fold, up to the
+    fold's last validation day.
     """
-    tagged = readings.join(large, "client_id", "left").withColumn(
-        "_large", F.when(F.col("in_folds").isNotNull(), F.col("client_id")))
-    cell = tagged.groupBy("community_code", "datetime_utc", "_large", "in_folds").agg(
+    day = F.to_date("datetime_local")
+    seen = readings.filter(day <= F.lit(max(b.valid_end for b in bounds)))
+    ever = large.select("client_id", F.col("client_id").alias("_large"))
+    cell = seen.join(ever, "client_id", "left").groupBy("community_code", "datetime_utc", "_large").agg(
         F.min("datetime_local").alias("datetime_local"), F.sum("active_kw").alias("kw"),
         (F.count("client_id") if unique_readings else F.countDistinct("client_id")).alias("n"))
     apart = F.coalesce(F.array_contains("in_folds", F.col("fold")), F.lit(False))
-    named = cell.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds]))).withColumns({
-        "apart": apart,
-        "entity": F.when(apart, F.concat(F.lit(PROMOTED_PREFIX), F.col("_large"))).otherwise(F.col("community_code"))})
+    named = (
+        cell.join(large.withColumnRenamed("client_id", "_large"), "_large", "left")
+        .withColumn("fold", F.explode(F.array(*[F.lit(b.fold) for b in bounds])))
+        .filter(day <= _by_fold(bounds, lambda b: F.lit(b.valid_end)))
+        .withColumns({
+            "apart": apart,
+            "entity": F.when(apart, F.concat(F.lit(PROMOTED_PREFIX), F.col("_large"))).otherwise(F.col("community_code"))})
+    )
     # A promoted client is one client even where it reads in several communities.
     clients = F.when(F.max("apart"), F.max("n")).otherwise(F.sum("n"))
     return named.groupBy("fold", F.col("entity").alias("community_code"), "datetime_utc").agg(
@@ -122,29 +142,36 @@ def cross_validate(
 ) -> DataFrame:
     """Walk-forward report per fold: bounds, portfolio error in kW, points.
 
-    Large clients and corrections are recomputed from each fold's train days.  The readings are read a
-    fixed number of times, however many folds there are: ``fold`` is a column.
+    Large clients and corrections are recomputed from each fold's train days.  The readings are read
+    three times (days, ranking, panel), however many folds there are: ``fold`` is a column.  Of the folds
+    only their bounds, at most ``n_splits`` rows, reach the driver; as constants they prune scans.
     """
     days = readings.select(F.to_date("datetime_local").alias("target_date"))
     folds = day_folds(days, n_splits, gap_days)
+    bounds = fold_bounds(folds).orderBy("fold").collect()
+    if not bounds:
+        raise ValueError("too few days for one fold")
+    large = _large_clients_per_fold(readings, bounds, top_n)
     if stage:
-        folds = staged(folds, "folds")
-    large = _large_clients_per_fold(readings, folds, top_n)
+        large = staged(large, "large-clients")
     # At most n_splits × top_n rows, so the hint is bounded; beyond that Spark sizes the join.
     if n_splits * top_n <= BROADCAST_ROWS:
         large = F.broadcast(large)
-    panel = with_alpha(_fold_entities(readings, large, range(n_splits), unique_readings), demand)
+    panel = with_alpha(_fold_entities(readings, large, bounds, unique_readings), demand)
     if stage:
         panel = staged(panel, "fold-entities")
     rows = with_residual(with_baseline_d2(panel, entity=("fold", "community_code")), "kw")
-    rows = with_calendar(rows, "cyclic").withColumn("target_date", F.to_date("datetime_local"))
-    placed = rows.join(folds.select("fold", "target_date", "role"), ["fold", "target_date"])
+    day = F.to_date("datetime_local")
+    placed = with_calendar(rows, "cyclic").withColumn("role", _by_fold(bounds, lambda b: F.when(
+        day <= F.lit(b.train_end), "train").when(day.between(F.lit(b.valid_start), F.lit(b.valid_end)), "valid")))
     model = fit_cell_median(
         placed.filter(F.col("role") == "train"), "residual", ["fold", "community_code"], "qhour", min_rows=min_rows)
     scored = model.predict(placed.filter(F.col("role") == "valid"))
     slots = scored.withColumn(
         "pred_kw", F.coalesce("baseline_kw", F.lit(0.0)) + F.col("correction")
     ).groupBy("fold", "datetime_utc").agg(F.sum("total_kw").alias("actual"), F.sum("pred_kw").alias("pred"))
+    edges = {name: _by_fold(bounds, lambda b, name=name: F.lit(b[name]))
+             for name in ("train_start", "train_end", "valid_start", "valid_end")}
     report = slots.groupBy("fold").agg(
         F.avg(F.abs(F.col("actual") - F.col("pred"))).alias("mae_kw"), F.count(F.lit(1)).alias("n_points"))
-    return fold_bounds(folds).join(report, "fold")
+    return report.withColumns(edges).select("fold", *edges, "mae_kw", "n_points")

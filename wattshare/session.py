@@ -15,6 +15,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Percentile sketches stay hash-aggregated while a task holds up to this many groups; the stock limit of
+    # 128 makes every task of a panel sort its readings instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     "spark.ui.showConsoleProgress": "false",
     # Recording a Python call site for every column costs more than planning does.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
