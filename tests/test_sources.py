@@ -106,3 +106,25 @@ def test_shared_dir_is_never_local_on_a_cluster(tmp_path, monkeypatch):
 def test_rows_as_table_keys(spark):
     out = by_key(tables.rows_as_table(spark, [(0, "a"), (1, "b")], "fold int, name string"), "fold")
     assert out[1].name == "b"
+
+
+def test_ranking_scan_is_pruned_and_filtered(spark, tmp_path, readings_of):
+    """Only three columns are read, and the time limit reaches the Parquet reader."""
+    from wattshare.operators.panel import build_panel_min, top_clients
+    path = str(tmp_path / "readings")
+    readings_of([("a", "N", "2025-01-01 00:00", 1.0)]).write.parquet(path)
+    df = tables.load_readings(spark, path)
+    scan = next(p for p in top_clients(df, 5, "2025-01-02")._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in p)
+    assert "LessThan(datetime_local" in scan and "community_code" not in scan.split("ReadSchema")[1]
+    plan = build_panel_min(df, unique_readings=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fold_limits_reach_the_scan(spark, tmp_path, readings_of):
+    from datetime import date as day
+    from wattshare.plans.evaluation import _through
+    path = str(tmp_path / "readings")
+    readings_of([("a", "N", t, 1.0) for t in ("2025-01-01 22:45", "2025-01-01 23:00")]).write.parquet(path)
+    df = _through(tables.load_readings(spark, path), day(2025, 1, 1))
+    assert [r.datetime_local for r in df.collect()] == [at("2025-01-01 23:45")]
+    assert "LessThan(datetime_local" in df._jdf.queryExecution().executedPlan().toString()

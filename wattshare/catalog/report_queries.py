@@ -11,7 +11,9 @@ from wattshare.catalog.sql import FOLDS, METER_MIN_ROWS, share
 from wattshare.functions.timegrid import slot_start
 from wattshare.operators import diagnostics as D
 from wattshare.operators import quality as Q
+from wattshare.operators.alpha import with_alpha_lags
 from wattshare.operators.baseline import portfolio, with_baseline_d2
+from wattshare.operators.calendar import with_calendar
 from wattshare.operators.holidays import daily_holidays
 from wattshare.operators.panel import (
     build_panel, build_panel_min, client_energy, duplicate_readings, first_seen, null_rate, reclassify_large_clients,
@@ -337,6 +339,65 @@ def _(spark, sf):
     return Q.check_leakage(dataset(spark, sf), Meter(spark, sf).readings, WEEK)
 
 
+@query("panel_check_altered_q1", CHECK, "Q1",
+       "SELECT rule, sum(bad) AS violations FROM (SELECT unnest(['row_missing', 'n_clients', 'n_missing', 'total_kw', 'mean_kw', "
+       "'n_reporting']) AS rule, unnest([CASE WHEN n_clients > 2 THEN 1 ELSE 0 END, CASE WHEN n_clients > 2 THEN 1 ELSE 0 END, CASE WHEN "
+       "n_clients > 2 THEN 1 ELSE 0 END, CASE WHEN total_kw IS NOT NULL AND (n_clients > 2 OR n_missing > 0) THEN 1 ELSE 0 END, CASE WHEN "
+       "total_kw IS NOT NULL AND n_clients > 2 THEN 1 ELSE 0 END, 0]) AS bad FROM panel) GROUP BY rule")
+def _(spark, sf):
+    """Slots above two clients are lost, and a total is off by one where a reading is missing."""
+    readings = Meter(spark, sf).readings
+    intact = build_panel(readings, unique_readings=True)
+    total = F.col("total_kw") + F.when(F.col("n_missing") > 0, 1.0).otherwise(0.0)
+    return Q.check_panel(readings, intact.filter(F.col("n_clients") <= 2).withColumn("total_kw", total))
+
+
+@query("alpha_check_altered_q2", CHECK, "Q2",
+       "SELECT 'alpha' AS rule, count(*) AS violations FROM x WHERE community_code = 'view' AND y > 1e-5")
+def _(spark, sf):
+    """One community's label is doubled."""
+    factor = F.when(F.col("community_code") == "view", 2.0).otherwise(1.0)
+    return Q.check_alpha(dataset(spark, sf).withColumn("y", F.col("y") * factor))
+
+
+@query("lag_check_altered_q3", CHECK, "Q3",
+       "SELECT rule, count(*) FILTER (bad) AS violations FROM (SELECT unnest(['alpha_lag_2d', 'alpha_lag_7d']) AS rule, "
+       "unnest([COALESCE(abs(alpha - alpha_lag_2d) > 1e-6, (alpha IS NULL) <> (alpha_lag_2d IS NULL)), alpha_lag_7d IS NOT NULL]) AS bad "
+       "FROM lagged) GROUP BY rule")
+def _(spark, sf):
+    """The two-day lag shows today's share, the weekly lag is blank."""
+    rows = base(spark, sf, stage=True)
+    wrong = with_alpha_lags(rows, (2, 7)).withColumns({
+        "alpha_lag_2d": F.col("alpha"), "alpha_lag_7d": F.lit(None).cast("double")})
+    return Q.check_lags(wrong, rows, (2, 7))
+
+
+@query("snapshot_check_altered_q4", CHECK, "Q4",
+       "SELECT unnest(['sn_alpha_last', 'n_clients_at_cutoff']) AS rule, unnest([0, count(DISTINCT (community_code, target_date)) FILTER "
+       "(n_clients_at_cutoff >= 2)]) AS violations FROM x")
+def _(spark, sf):
+    """Client counts of two and more are one too high."""
+    n = F.col("n_clients_at_cutoff")
+    wrong = dataset(spark, sf).withColumn("n_clients_at_cutoff", n + F.when(n >= 2, 1).otherwise(0))
+    return Q.check_snapshot(wrong, base(spark, sf))
+
+
+@query("calendar_check_altered_q5", CHECK, "Q5",
+       "SELECT unnest(['hour', 'dow', 'is_weekend']) AS rule, unnest([count(*), count(*) FILTER (hour(datetime_local) = 0), count(*) FILTER "
+       "(hour(datetime_local) = 0 AND isodow(datetime_local) IN (6, 1))]) AS violations FROM x")
+def _(spark, sf):
+    """Calendar taken from UTC where the local clock was meant."""
+    utc = with_calendar(dataset(spark, sf), ts="datetime_utc")
+    return Q.check_calendar(utc).filter(F.col("rule").isin("hour", "dow", "is_weekend"))
+
+
+@query("leakage_check_longer_history_q7", CHECK, "Q7",
+       "SELECT unnest(['label_null', 'short_history']) AS rule, unnest([0, count(*) FILTER (age_days < 14)]) AS violations FROM x")
+def _(spark, sf):
+    """One week of history was required, two are asked for."""
+    return Q.check_leakage(dataset(spark, sf), Meter(spark, sf).readings, 14)
+
+
 @query("grid_fill_q11", "n_communities:i, n_slots:i, n_rows:i, n_cells:i", "Q11 A6",
        "SELECT *, n_communities * n_slots AS n_cells FROM (SELECT count(DISTINCT community_code) AS n_communities, "
        "count(DISTINCT datetime_utc) AS n_slots, count(*) AS n_rows FROM panel)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ def walk_forward(
 ) -> DataFrame:
     """Out-of-fold predictions: log-ratio cell medians fitted for all folds in one pass.
 
-    ``pooled`` fits one model per fold for all entities; otherwise one per fold and entity.
+    ``pooled`` fits one model per fold for all entities; otherwise one per fold and entity.  Train and
+    validation rows are two reads of ``dataset``: pass a stored table (``save_features``) where it is large.
     """
     rows = assign_folds(training_rows(dataset), folds).filter(F.col("baseline_kw").isNotNull())
     scope = ["fold"] if pooled else ["fold", "community_code"]
@@ -80,6 +82,11 @@ def score(
     return total.select(F.col("datetime_local").alias("datetime_15min"), "prediction")
 
 
+def _through(readings: DataFrame, day: date) -> DataFrame:
+    """Readings up to the end of a local day, as a comparison that reaches the scan."""
+    return readings.filter(F.col("datetime_local") < F.lit(day + timedelta(days=1)).cast("timestamp_ntz"))
+
+
 def _by_fold(bounds: Sequence[Row], value, otherwise=None) -> Column:
     """``value(bounds of the row's fold)``: the few folds as one CASE expression."""
     chosen = F.lit(otherwise)
@@ -96,7 +103,7 @@ def _large_clients_per_fold(readings: DataFrame, bounds: Sequence[Row], top_n: i
     """
     day = F.to_date("datetime_local")
     sums = [F.sum(F.when(day <= F.lit(b.train_end), F.col("active_kw"))).alias(f"_{b.fold}") for b in bounds]
-    seen = readings.filter(day <= F.lit(max(b.train_end for b in bounds)))
+    seen = _through(readings, max(b.train_end for b in bounds))
     totals = seen.groupBy("client_id").agg(*sums)
     per_fold = totals.select("client_id", F.explode(F.array(*[
         F.struct(F.lit(b.fold).alias("fold"), F.col(f"_{b.fold}").alias("kw")) for b in bounds])).alias("e"))
@@ -116,7 +123,7 @@ def _fold_entities(
     fold's last validation day.
     """
     day = F.to_date("datetime_local")
-    seen = readings.filter(day <= F.lit(max(b.valid_end for b in bounds)))
+    seen = _through(readings, max(b.valid_end for b in bounds))
     ever = large.select("client_id", F.col("client_id").alias("_large"))
     cell = seen.join(ever, "client_id", "left").groupBy("community_code", "datetime_utc", "_large").agg(
         F.min("datetime_local").alias("datetime_local"), F.sum("active_kw").alias("kw"),
