@@ -314,6 +314,22 @@ def test_boosted_trees_learn_and_repeat(spark):
     assert top[0].feature == "x" and sum(r.weight for r in top) == pytest.approx(1.0)
 
 
+def test_column_without_values_becomes_constant(spark):
+    df = spark.createDataFrame([(1.0, None, "a"), (None, None, "b"), (3.0, None, "a")], "x double, y double, c string")
+    matrix = M.fit_feature_matrix(df, ["x", "y"], ["c"])
+    assert matrix.names == ["x", "y", "x_missing", "y_missing", "c"]
+    rows = [r.features for r in M.feature_rows(matrix, df, ["x"]).collect()]
+    assert [r[1:4] for r in rows] == [[0.0, 0.0, 1.0], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0]]
+    assert rows[1][0] in (1.0, 3.0) and [r[4] for r in rows] == [0.0, 1.0, 0.0]
+
+
+def test_week_windows_may_overlap(spark):
+    schema = "community_code string, datetime_utc timestamp_ntz, total_kw double, baseline_kw double, pred_kw double"
+    df = spark.createDataFrame([("N", at(f"2025-01-{d:02d}"), 1.0, 2.0, 1.0) for d in range(1, 20)], schema)
+    got = by_key(D.week_error(df, ["2025-01-02", "2025-01-05"]), "week_start")
+    assert {k.day: v.n_points for k, v in got.items()} == {2: 8, 5: 8}
+
+
 def test_per_entity_models_skip_small_entities(spark):
     rows = [("N", float(i % 2), float(i % 2)) for i in range(200)] + [("S", 1.0, 1.0)] * 3
     df = spark.createDataFrame(rows, "community_code string, x double, y double").cache()

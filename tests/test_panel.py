@@ -120,3 +120,9 @@ def test_counting_clients_and_new_ones_shares_one_shuffle(readings):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in final
+
+
+def test_row_flags_do_not_gather_a_client_in_one_task(readings):
+    plan = P.with_new_flag(readings)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+    assert "client_id" in join and "datetime_utc" in join

@@ -292,7 +292,7 @@ _COMPACT_CAT = [c for c in features.COMPACT_CATEGORICAL if c != "qhour_of_week"]
 
 @query("feature_matrix_o21", f"{SLOT}, width:i, missing:f2", "O21")
 def _(spark, sf):
-    rows = compact_features(dataset(spark, sf))
+    rows = staged(compact_features(dataset(spark, sf)), "compact")
     matrix = M.fit_feature_matrix(rows, _COMPACT_NUM, _COMPACT_CAT)
     flags = [i + 1 for i, n in enumerate(matrix.names) if n.endswith("_missing")]
     vectors = M.feature_rows(matrix, rows, ["community_code", "datetime_utc"])

@@ -143,12 +143,13 @@ def _(spark, sf):
         F.min(F.datediff("target_date", "first_date")).alias("min_age"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("holiday_lookup_j15", "client_id:s, community_code:s, datetime_utc:t, is_hol:i", "J15",
-       "SELECT client_id, community_code, datetime_utc, CASE WHEN CAST(datetime_utc AS DATE) IN (SELECT target_date FROM base_d "
-       "WHERE is_holiday = 1) THEN 1 ELSE 0 END AS is_hol FROM readings_d")
+@query("holiday_lookup_j15", f"{SLOT}, total_kw:f2, is_hol:i", "J15",
+       "SELECT community_code, datetime_utc, total_kw, CASE WHEN CAST(datetime_utc AS DATE) IN (SELECT target_date FROM base_d "
+       "WHERE is_holiday = 1) THEN 1 ELSE 0 END AS is_hol FROM base_d")
 def _(spark, sf):
-    flags = base_daily(spark, sf).groupBy(F.col("target_date").alias("_d")).agg(F.max("is_holiday").alias("h"))
-    return Daily(spark, sf).readings.join(flags, F.to_date("datetime_utc") == F.col("_d"), "left").withColumn(
+    rows = base_daily(spark, sf)
+    flags = rows.groupBy(F.col("target_date").alias("_d")).agg(F.max("is_holiday").alias("h"))
+    return rows.join(flags, F.to_date("datetime_utc") == F.col("_d"), "left").withColumn(
         "is_hol", F.coalesce("h", F.lit(0)))
 
 

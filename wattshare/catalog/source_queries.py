@@ -169,11 +169,11 @@ def _(spark, sf):
     return panel(spark, sf).withColumn("dow", F.dayofweek("datetime_local")).filter(F.col("dow").isin(1, 7))
 
 
-@query("membership_semi_join_p9", READING, "P9",
-       "SELECT * FROM readings WHERE CAST(datetime_local AS DATE) IN (SELECT date FROM holidays)")
+@query("membership_semi_join_p9", f"{SLOT}, target_date:d, total_kw:f2", "P9",
+       "SELECT * FROM base WHERE target_date IN (SELECT date FROM holidays)")
 def _(spark, sf):
-    m = Meter(spark, sf)
-    return m.readings.join(tables.distinct_dates(m.holidays), F.to_date("datetime_local") == F.col("date"), "left_semi")
+    listed = tables.distinct_dates(Meter(spark, sf).holidays).withColumnRenamed("date", "target_date")
+    return base(spark, sf).join(listed, "target_date", "left_semi")
 
 
 @query("null_filter_p10", f"{SLOT}, alpha:f9", "P10", "SELECT * FROM base WHERE alpha IS NOT NULL AND std_kw IS NOT NULL")

@@ -95,10 +95,10 @@ def date_list_error(df: DataFrame, dates: Sequence[str]) -> DataFrame:
 
 def week_error(df: DataFrame, starts: Sequence[str], days: int = 7) -> DataFrame:
     """Portfolio error over ``days`` days from each start, both ends included."""
-    first = F.explode(F.array(*[F.lit(s).cast("timestamp_ntz") for s in starts]))
-    weeks = df.withColumn("week_start", first).filter(
-        (F.col("datetime_utc") >= F.col("week_start"))
-        & (F.col("datetime_utc") <= F.col("week_start") + F.expr(f"INTERVAL '{int(days)}' DAY")))
+    t, span = F.col("datetime_utc"), F.expr(f"INTERVAL '{int(days)}' DAY")
+    listed = F.array(*[F.lit(s).cast("timestamp_ntz") for s in starts])
+    own = F.filter(listed, lambda s: (t >= s) & (t <= s + span))
+    weeks = df.withColumn("week_start", F.explode(own))
     return mae(weeks, by=["week_start"])
 
 

@@ -148,10 +148,14 @@ def reclassify_large_clients(readings: DataFrame, top_n: int = 30, fit_until: st
 
 
 def with_new_flag(readings: DataFrame) -> DataFrame:
-    """Row-level flags: first reading of its client, reading missing."""
-    return readings.join(first_seen(readings), "client_id", "left").select(
+    """Row-level flags: first reading of its client, reading missing.
+
+    Matched on client and stamp together, so a client with very many readings is spread over its stamps.
+    """
+    firsts = first_seen(readings).select("client_id", F.col("first_utc").alias("datetime_utc"), F.lit(1).alias("_first"))
+    return readings.join(firsts, ["client_id", "datetime_utc"], "left").select(
         *readings.columns,
-        flag(F.col("datetime_utc") == F.col("first_utc")).alias("is_new"),
+        flag(F.col("_first").isNotNull()).alias("is_new"),
         flag(F.col("active_kw").isNull()).alias("is_missing"),
     )
 
