@@ -421,18 +421,17 @@ def _(spark, sf):
     return M.top_features(M.importance_table(spark, models), 3)
 
 
-_WEIGHTS = [0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0]
 
 
 @query("blend_sweep_o27", "weight:f2, mae_kw:f4", "O27 J12",
        "SELECT weight, avg(abs(actual - pred)) AS mae_kw FROM (SELECT w.weight, a.fold, a.datetime_utc, sum(a.total_kw) AS actual, "
        "sum(w.weight * a.pred_kw + (1 - w.weight) * b.pred_kw) AS pred FROM oof a JOIN oof_pooled b USING (fold, community_code, "
-       f"datetime_utc) CROSS JOIN (SELECT unnest({_WEIGHTS})::DOUBLE AS weight) w GROUP BY 1, 2, 3) GROUP BY weight")
+       f"datetime_utc) CROSS JOIN (SELECT unnest({list(M.BLEND_WEIGHTS)})::DOUBLE AS weight) w GROUP BY 1, 2, 3) GROUP BY weight")
 def _(spark, sf):
     rows = staged(dataset(spark, sf), "features")
     own = evaluation.walk_forward(rows, FOLDS, False, METER_MIN_ROWS)
     pooled = evaluation.walk_forward(rows, FOLDS, True, METER_MIN_ROWS)
-    return M.blend_sweep(own, pooled, _WEIGHTS)
+    return M.blend_sweep(own, pooled)
 
 
 @query("portfolio_forecast_o28", "datetime_utc:t, prediction:f4", "O28 P12 A13",

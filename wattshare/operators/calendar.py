@@ -12,6 +12,15 @@ from wattshare.functions.rowwise import clip, flag
 
 TAU = 2 * math.pi
 
+# Slots per day, days per week, the two year lengths in use, and the solar declination
+# (amplitude in radians, day of the spring equinox).
+SLOTS_PER_DAY = 96
+DAYS_PER_WEEK = 7
+LEAP_YEAR_DAYS = 366
+MEAN_YEAR_DAYS = 365.25
+DECLINATION_AMPLITUDE = 0.4093
+EQUINOX_DAY = 81
+
 
 def _circle(phase: Column, period: float) -> tuple[Column, Column]:
     angle = phase * F.lit(TAU / period)
@@ -29,8 +38,8 @@ def with_calendar(df: DataFrame, style: str = "clock", ts: str = "datetime_local
     slot = F.hour(t) * 4 + quarter
     if style == "clock":
         dow = F.dayofweek(t)
-        sin_mod, cos_mod = _circle(slot, 96)
-        sin_dow, cos_dow = _circle(dow, 7)
+        sin_mod, cos_mod = _circle(slot, SLOTS_PER_DAY)
+        sin_dow, cos_dow = _circle(dow, DAYS_PER_WEEK)
         return df.withColumns({
             "hour": F.hour(t), "qhour": quarter, "mod": slot, "dow": dow,
             "month": F.month(t), "doy": F.dayofyear(t), "is_weekend": flag(dow.isin(1, 7)),
@@ -38,7 +47,7 @@ def with_calendar(df: DataFrame, style: str = "clock", ts: str = "datetime_local
         })
     if style == "cyclic":
         dow, doy = F.weekday(t), F.dayofyear(t)
-        circles = {"qhour": _circle(slot, 96), "dow": _circle(dow, 7), "doy": _circle(doy, 366)}
+        circles = {"qhour": _circle(slot, SLOTS_PER_DAY), "dow": _circle(dow, DAYS_PER_WEEK), "doy": _circle(doy, LEAP_YEAR_DAYS)}
         return df.withColumns({
             "qhour": slot, "dow": dow, "dom": F.dayofmonth(t), "doy": doy, "month": F.month(t),
             "is_weekend": flag(dow >= 5),
@@ -48,7 +57,7 @@ def with_calendar(df: DataFrame, style: str = "clock", ts: str = "datetime_local
     raise ValueError(f"unknown calendar style: {style}")
 
 
-def with_fourier(df: DataFrame, harmonics: Sequence[int] = (1, 2, 3, 4), period: float = 365.25) -> DataFrame:
+def with_fourier(df: DataFrame, harmonics: Sequence[int] = (1, 2, 3, 4), period: float = MEAN_YEAR_DAYS) -> DataFrame:
     """Yearly harmonics ``sin_doy_k`` and ``cos_doy_k``."""
     pairs = {k: _circle(F.col("doy") * k, period) for k in harmonics}
     return df.withColumns({
@@ -58,11 +67,11 @@ def with_fourier(df: DataFrame, harmonics: Sequence[int] = (1, 2, 3, 4), period:
 def with_week_bins(df: DataFrame) -> DataFrame:
     """Hour and quarter hour counted through the week."""
     return df.withColumns({
-        "hour_of_week": F.col("dow") * 24 + F.col("hour"), "qhour_of_week": F.col("dow") * 96 + F.col("mod")})
+        "hour_of_week": F.col("dow") * 24 + F.col("hour"), "qhour_of_week": F.col("dow") * SLOTS_PER_DAY + F.col("mod")})
 
 
 def with_daylight(df: DataFrame, latitude: float = 40.0) -> DataFrame:
     """Hours between sunrise and sunset at ``latitude``, from the day of year."""
-    declination = F.lit(0.4093) * F.sin((F.col("doy") - 81) * F.lit(TAU / 365.25))
+    declination = F.lit(DECLINATION_AMPLITUDE) * F.sin((F.col("doy") - EQUINOX_DAY) * F.lit(TAU / MEAN_YEAR_DAYS))
     cosine = clip(F.lit(-math.tan(math.radians(latitude))) * F.tan(declination), -1.0, 1.0)
     return df.withColumn("daylight_h", F.lit(24.0) * F.acos(cosine) / F.pi())

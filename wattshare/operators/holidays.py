@@ -59,7 +59,9 @@ def holiday_days(daily: DataFrame, cap: int = 30, mismatch_days: int = 7) -> Dat
     Offsets count the days present, as a gap-free daily table makes natural.
     """
     w = Window.partitionBy("community_code").orderBy("target_date")
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    # Running backwards keeps the frame growing row by row; a frame shrinking forwards is rescanned at each row.
+    ahead = Window.partitionBy("community_code").orderBy(F.desc("target_date")).rowsBetween(Window.unboundedPreceding, 0)
     holiday_at = F.when(F.col("is_holiday") == 1, F.col("_i"))
 
     def near(offset: int):

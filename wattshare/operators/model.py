@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from wattshare.functions.rowwise import flag
 from wattshare.session import staged
 
+# The shares of the first model tried when two are mixed.
+BLEND_WEIGHTS = (0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0)
+
 
 @dataclass
 class CellMedianModel:
@@ -200,7 +203,7 @@ def predict_per_entity(
 
 
 def blend_sweep(
-    first: DataFrame, second: DataFrame, weights: Sequence[float] = (0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0),
+    first: DataFrame, second: DataFrame, weights: Sequence[float] = BLEND_WEIGHTS,
 ) -> DataFrame:
     """Portfolio error of ``w·first + (1 − w)·second`` for every weight, in one job.
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAYS_IN_WEEK = 7
-
 
 def _date(value) -> F.Column:
     return F.lit(str(value)).cast("date")

@@ -11,6 +11,11 @@ from wattshare.functions.rowwise import clip, flag
 from wattshare.schemas import WEATHER_MEASURES
 from wattshare.sources.tables import normalise_weather
 
+# Comfort limits in degrees Celsius and the evening hours, both ends included.
+HEATING_MILD, HEATING = 15.0, 18.0
+COOLING = 22.0
+EVENING = (18, 23)
+
 
 def attach_weather(
     panel: DataFrame, weather: DataFrame | None, measures: Sequence[str] = tuple(WEATHER_MEASURES),
@@ -29,14 +34,14 @@ def with_degree_days(df: DataFrame) -> DataFrame:
     """Heating need below 15 and 18 degrees, cooling need above 22."""
     t = F.col("temperature_2m")
     return df.withColumns({
-        "hdd15": clip(F.lit(15.0) - t, lower=0.0),
-        "hdd18": clip(F.lit(18.0) - t, lower=0.0),
-        "cdd22": clip(t - F.lit(22.0), lower=0.0),
+        "hdd15": clip(F.lit(HEATING_MILD) - t, lower=0.0),
+        "hdd18": clip(F.lit(HEATING) - t, lower=0.0),
+        "cdd22": clip(t - F.lit(COOLING), lower=0.0),
     })
 
 
 def with_temp_interactions(df: DataFrame) -> DataFrame:
-    evening = flag(F.col("hour").between(18, 23))
+    evening = flag(F.col("hour").between(*EVENING))
     return df.withColumns({
         "temp_x_hour": F.col("temperature_2m") * F.col("hour"),
         "temp_x_weekend": F.col("temperature_2m") * F.col("is_weekend"),
