@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +13,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Percentile sketches stay hash-aggregated while a task holds up to this many groups; the stock limit of
-    # 128 makes every task of a panel sort its readings instead.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     "spark.ui.showConsoleProgress": "false",
     # Recording a Python call site for every column costs more than planning does.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -41,19 +36,19 @@ def get_session(app_name: str = "wattshare", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one inside ``spark.sql.warehouse.dir``.
 
-    A cluster must name one.  Only a session running in local mode may fall back to a
-    fresh temporary folder, which is then remembered in the session's configuration.
+    Outside local mode a folder without a scheme or with ``file:`` is used only if it was named by
+    ``spark.checkpoint.dir``, which vouches for its being shared.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("wattshare.scratch", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if local and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="wattshare-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("wattshare.scratch", fallback)
-    return fallback
+    return f"{warehouse.rstrip('/')}/_staged"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
