@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattshare.llm import sql as oracles
 from wattshare.llm.exact_dedup import exact_duplicates, text_digests
+from wattshare.llm.jaccard_join import near_duplicates
 from wattshare.llm.mixing import mixture
 from wattshare.llm.packing import packed_pieces
 from wattshare.llm.secret_scan import secrets
@@ -61,6 +62,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(text_digests(docs), "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query()
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
