@@ -45,8 +45,8 @@ def exact_duplicates(
         rows = scan.join(F.broadcast(keys), ["_len", "_pre"], "left").select(
             "_id", "_len", F.when(F.col("_open"), F.unhex(F.sha2("_t", 256))).alias("_whole"))
     else:
-        hashed = scan.select("_id", "_len", "_pre", F.unhex(F.sha2("_t", 256)).alias("_hash"))
-        rows = hashed.join(keys, ["_len", "_pre"], "left").select(
+        every = scan.select("_id", "_len", "_pre", F.unhex(F.sha2("_t", 256)).alias("_hash"))
+        rows = every.join(keys, ["_len", "_pre"], "left").select(
             "_id", "_len", F.when(F.col("_open"), F.col("_hash")).alias("_whole"))
     # Rows get a number once they are stored: ties on the id are broken by it.
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "exact-rows")
@@ -54,7 +54,11 @@ def exact_duplicates(
         F.count(F.lit(1)).alias("_size"), F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
     # Most hashes occur once: only groups of several take part in the join.
     several = groups.filter("_size > 1")
-    out = rows.join(several, "_whole", "left").join(same_length, "_len", "left")
+    # Rows that an earlier sieve decided have no hash and skip the join: their nulls would meet in one task.
+    alone = rows.filter(F.col("_whole").isNull()).withColumns({
+        "_size": F.lit(None).cast("long"), "_first": F.lit(None).cast(several.schema["_first"].dataType)})
+    hashed = rows.filter(F.col("_whole").isNotNull()).join(several, "_whole", "left")
+    out = hashed.unionByName(alone).join(same_length, "_len", "left")
     grouped = F.col("_size").isNotNull()
     return out.select(
         F.col("_id").alias(id_col),
