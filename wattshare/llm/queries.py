@@ -13,6 +13,7 @@ from wattshare.llm.jaccard_join import near_duplicates
 from wattshare.llm.mixing import mixture
 from wattshare.llm.packing import packed_pieces
 from wattshare.llm.secret_scan import secrets
+from wattshare.llm.toxicity import fit_lexicon, held_out, score_toxicity, training_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,6 +73,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = fit_lexicon(training_rows(docs, table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, lexicon).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
