@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +17,15 @@ from wattshare.session import staged
 
 END_ID = 1
 #: Most word forms whose ids a worker remembers before it starts anew.
-MEMORY_WORDS = 150_000
+MEMORY_WORDS = 500_000
 #: Rows numbered by one task of a bucket.
 BUCKET_ROWS = 100_000
 
 _ASCII_WORDS = re.compile(WORD).findall
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+#: Capitals whose lower case depends on their place or takes two characters.
+_CASES = re.compile("[\u03a3\u0130]").search
+_STOPS = re.compile(r"(?<=[^\W_])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)").sub
 
 PIECES = "_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -32,10 +38,12 @@ def piece_lengths(tokens: int, longest: int = 2048) -> list[int]:
 
 
 class WordIds:
-    """Token ids of a text, word by word.
+    """Token ids of a text, word by word, as little-endian 32-bit numbers.
 
     The vocabulary's own splitter never crosses white space and its normalisation works within words, so the ids of a
-    text are those of its words in turn; every form is encoded once and remembered (a bounded number of them).
+    text are those of its words in turn; every form is encoded once and remembered (a bounded number of them).  To meet
+    fewer forms, text is lower-cased as the vocabulary would, and signs that end a word become
+    a word: the splitter parts them from letters and digits anyway.
     """
 
     def __init__(self, path: str, memory: int = MEMORY_WORDS):
@@ -43,38 +51,57 @@ class WordIds:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, tuple[int, ...]] = {}
+        vocabulary = self._tokenizer.get_vocab(False)
+        # One token ends every piece that the splitter makes.
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._known: dict[str, bytes] = {}
         self._memory = memory
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> bytes:
+        if text.isascii() or unicodedata.is_normalized("NFC", text) and not _CASES(text):
+            text = text.lower()
+        text = _STOPS(r" \1", text)
         # Python takes four separators for white space that the vocabulary's splitter does not.
-        words = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else _ASCII_WORDS(text)
+        words = text.split() if not _SEPARATORS(text) else _ASCII_WORDS(text)
         known = self._known
         if len(known) > self._memory:
             known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = [w for w in set(words) if w not in known]
         if new:
-            for word, got in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = tuple(got.ids)
-        out: list[int] = []
-        for ids in map(known.__getitem__, words):
-            out += ids
-        return out
+            self._learn(new)
+        return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words of plain letters in one go, told apart by the ends of their pieces; others one by one."""
+        rest = new
+        plain = [w for w in new if w.isalpha()]
+        if plain:
+            ids = np.array(self._ids([" ".join(plain)])[0], dtype="<u4")
+            stops = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(stops) == len(plain) and stops[-1] == 4 * len(ids):
+                data, start = ids.tobytes(), 0
+                for word, stop in zip(plain, stops.tolist()):
+                    self._known[word] = data[start:stop]
+                    start = stop
+                rest = [w for w in new if w not in self._known]
+        for word, ids in zip(rest, self._ids(rest)):
+            self._known[word] = np.array(ids, dtype="<u4").tobytes()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _pieces(tokenizer_path: str, longest: int, end_id: int):
-    import zlib
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = WordIds(tokenizer_path)
+        ids_of, end = WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for key, text in zip(batch["_id"].tolist(), batch["_text"].tolist()):
-                ids = ids_of(text)
-                ids.append(end_id)
-                data, start = np.array(ids, dtype="<u4"), 0
-                for length in piece_lengths(len(ids), longest):
-                    rows.append((key, start, length, zlib.crc32(data[start:start + length].tobytes()), len(ids)))
+                data, start = memoryview(ids_of(text) + end), 0
+                tokens = len(data) // 4
+                for length in piece_lengths(tokens, longest):
+                    rows.append((key, start, length, zlib.crc32(data[4 * start:4 * (start + length)]), tokens))
                     start += length
             yield pd.DataFrame(rows, columns=["_id", "start", "length", "ids_crc32", "doc_tokens"])
     return run
