@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from wattshare.llm import sql as oracles
 from wattshare.llm.exact_dedup import exact_duplicates, text_digests
 from wattshare.llm.jaccard_join import near_duplicates
+from wattshare.llm.licenses import license_passages
 from wattshare.llm.mixing import mixture
 from wattshare.llm.packing import packed_pieces
+from wattshare.llm.personal_data import BASE_KINDS, fit_on, personal_data
 from wattshare.llm.secret_scan import secrets
 from wattshare.llm.toxicity import fit_lexicon, held_out, score_toxicity, training_rows
 
@@ -63,6 +65,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(text_digests(docs), "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_passages(table(spark, sf_dir, "documents"))
+    shown = F.transform("passages", lambda p: F.concat_ws(":", p["licence"], p["dice"], p["start"], p["end"]))
+    return found.select(
+        "doc_id", F.size("passages").cast("long").alias("n_passages"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["licence"]))), ",").alias("licences"),
+        F.array_join(shown, ",").alias("passages"))
+
+
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _span_digest(personal_data(docs, fit_on(docs)), BASE_KINDS)
+
+
 @query()
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
