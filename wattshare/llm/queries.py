@@ -16,6 +16,7 @@ from wattshare.llm.packing import packed_pieces
 from wattshare.llm.personal_data import BASE_KINDS, fit_on, personal_data
 from wattshare.llm.secret_scan import secrets
 from wattshare.llm.toxicity import fit_lexicon, held_out, score_toxicity, training_rows
+from wattshare.llm.vector_dedup import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,3 +109,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), "kept")
