@@ -11,10 +11,11 @@ the hash leaves with too few non-empty segments meet over single shingles as wel
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattshare.llm.common import BROADCAST_ROWS
@@ -24,10 +25,11 @@ from wattshare.session import staged
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 75
 #: Bands grow by this factor; segments are this share of a band's upper size.
 BAND_FACTOR, SEGMENT_SHARE = 3, 0.45
-#: Bits of the narrow sketch compared before sets are; one bit per shingle.
-NARROW_BITS = 1024
-#: Rounds that test one partner per document; a last round tests all pairs still open, so this bounds no result.
-STAR_ROUNDS = 4
+#: Words of 64 bits of the narrow sketch compared before sets are; a shingle flips one bit.
+NARROW_WORDS = 8
+#: Rounds that test few partners per document, and partners; a last round tests all pairs still open, so neither
+#: bounds a result.
+STAR_ROUNDS, STAR_TESTS = 5, 2
 #: Word hashes a worker remembers before it starts anew, and sets it remembers having sent.
 MEMORY_WORDS, MEMORY_SETS = 300_000, 200_000
 
@@ -168,7 +170,8 @@ def _full_sets(words: int):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_text")).cast(pa.binary())
             sets = [shingle_set(t.as_py(), known, words) for t in texts]
-            bits = [np.packbits(np.bincount((s % np.uint64(NARROW_BITS)).astype(np.int64), minlength=NARROW_BITS) & 1)
+            width = 64 * NARROW_WORDS
+            bits = [np.packbits((np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(bool))
                     .view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_class_of(_digest(s)) for s in sets], pa.int64()),
@@ -212,34 +215,45 @@ def _rarest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_rank", rank).filter(F.col("_rank") > F.col("_slack")).drop("_rank")
 
 
+def _apart(left: str, right: str) -> Column:
+    """Bits in which two narrow sketches differ: at most the symmetric difference of the sets."""
+    words = [F.bit_count(F.get(left, i).bitwiseXOR(F.get(right, i))) for i in range(NARROW_WORDS)]
+    return reduce(lambda x, y: x + y, words)
+
+
+def _may_link(left: str, right: str, percent: int) -> Column:
+    """Sizes and narrow sketches of ``_n<left>, _b<left>`` and ``_n<right>, _b<right>`` allow a link."""
+    a, b = F.col(f"_n{left}"), F.col(f"_n{right}")
+    sized = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return sized & (_apart(f"_b{left}", f"_b{right}") * F.lit(100 + percent) <= F.lit(100 - percent) * (a + b))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are linked: sizes, then the narrow sketches, then the sets themselves."""
+    """The pairs ``a, b`` that are linked: sizes and narrow sketches first, then the sets themselves."""
     left = sets.select(F.col("_cls").alias("a"), F.col("_n").alias("_na"), F.col("_hashes").alias("_ha"), F.col("_bits").alias("_ba"))
     right = sets.select(F.col("_cls").alias("b"), F.col("_n").alias("_nb"), F.col("_hashes").alias("_hb"), F.col("_bits").alias("_bb"))
     met = pairs.join(left, "a").join(right, "b")
-    total = F.col("_na") + F.col("_nb")
-    apart = F.floor(F.lit(100 - percent) * total / F.lit(100 + percent))
-    hamming = F.aggregate(F.zip_with("_ba", "_bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sized = (100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (hamming <= apart)
-    same = F.when(sized, F.size(F.array_intersect("_ha", "_hb"))).otherwise(0)
+    fits = _may_link("a", "b", percent)
+    same = F.when(fits, F.size(F.array_intersect("_ha", "_hb"))).otherwise(0)
     return met.withColumn("_same", same).filter(
-        sized & (F.lit(100) * F.col("_same") >= F.lit(percent) * (total - F.col("_same")))).select("a", "b")
+        fits & (F.lit(100) * F.col("_same") >= F.lit(percent) * (F.col("_na") + F.col("_nb") - F.col("_same")))).select("a", "b")
 
 
 def _links(shared: DataFrame, sets: DataFrame, percent: int, rounds: int = STAR_ROUNDS) -> DataFrame:
     """Links that join all classes which any links join.
 
-    Star rounds test each class against one other per round, from a key where labels still differ, and let a link hand
-    on the label: groups of many near copies collapse after few tests.  Equal labels mean connected.  The last
-    round tests every pair that shares a key and differs in label, so whatever the rounds left is settled.
+    Star rounds test each class against few others, one from each of its keys where labels still differ (first the
+    one that shares most, then any), and each link makes two labels one: groups of many near copies collapse after
+    few tests.  Equal labels mean connected.  The last round tests every pair that shares a key and differs in
+    label, so whatever the rounds left is settled; narrow sketches are compared inside that join, before it yields a row.
     """
     # rows: one per key and class; labels ride along.
-    rows = staged(shared.select("_key", F.col("_own").bitwiseAND(F.lit(~1)).alias("_cls"), "_n"), "near-keys")
-    labels = staged(rows.select("_cls").distinct().withColumn("_lab", F.col("_cls")), "near-labels")
+    rows = staged(shared.select("_key", F.col("_own").bitwiseAND(F.lit(~1)).alias("_cls"), "_n", "_freq"), "near-keys")
+    labels = staged(rows.groupBy("_cls").agg(F.sum("_freq").alias("_deg")).withColumn("_lab", F.col("_cls")), "near-labels")
     found: list[DataFrame] = []
     for turn in range(rounds):
         named = rows.join(labels, "_cls")
-        order = F.xxhash64("_cls", F.lit(turn))
+        order = F.xxhash64("_cls", F.lit(turn)) if turn else -F.col("_deg")
         stars = named.groupBy("_key").agg(
             F.min("_lab").alias("_lo"), F.max("_lab").alias("_hi"),
             F.min(F.struct(order.alias("o"), F.col("_cls").alias("c"), F.col("_lab").alias("l"), F.col("_n").alias("n"))).alias("_star"),
@@ -247,34 +261,37 @@ def _links(shared: DataFrame, sets: DataFrame, percent: int, rounds: int = STAR_
         options = named.join(stars.select("_key", "_star"), "_key").filter(
             (F.col("_lab") != F.col("_star.l"))
             & (100 * F.least("_n", "_star.n") >= percent * F.greatest("_n", "_star.n")))
-        shares = options.groupBy("_cls", "_star.c", "_star.l").agg(F.count(F.lit(1)).alias("_k"))
-        best = shares.groupBy("_cls").agg(F.max(F.struct("_k", "c", "l")).alias("_best"))
-        tests = staged(best.select(F.col("_best.c").alias("a"), F.col("_cls").alias("b"), F.col("_best.l").alias("_lab")), "near-tests")
+        shares = options.groupBy("_cls", "_lab", "_star.c", "_star.l").agg(F.count(F.lit(1)).alias("_k"))
+        # A class has no more options than its document has keys.
+        rank = F.row_number().over(Window.partitionBy("_cls").orderBy(F.desc("_k"), "c"))
+        tests = staged(shares.withColumn("_rank", rank).filter(F.col("_rank") <= STAR_TESTS).select(
+            F.col("c").alias("a"), F.col("_cls").alias("b"), F.col("l").alias("_la"), F.col("_lab").alias("_lb")), "near-tests")
         good = staged(_verified(tests.select("a", "b"), sets, percent), "near-links")
         if good.isEmpty():
             break
         found.append(good)
-        handed = good.join(tests, ["a", "b"]).select(F.col("b").alias("_cls"), F.col("_lab").alias("_new"))
-        labels = staged(labels.join(handed, "_cls", "left").select(
-            "_cls", F.coalesce("_new", "_lab").alias("_lab")), "near-labels")
+        # Every label goes over to the least one that a link ties it to.
+        moves = good.join(tests, ["a", "b"]).groupBy(F.greatest("_la", "_lb").alias("_lab")).agg(
+            F.min(F.least("_la", "_lb")).alias("_new"))
+        labels = staged(labels.join(moves, "_lab", "left").select(
+            "_cls", "_deg", F.coalesce("_new", "_lab").alias("_lab")), "near-labels")
     # What is still open: pairs on a key, one of them outside the key's main label.
-    named = staged(rows.join(labels, "_cls"), "near-named")
+    named = staged(rows.drop("_freq").join(labels.drop("_deg"), "_cls"), "near-named")
     tally = named.groupBy("_key", "_lab").agg(F.count(F.lit(1)).alias("_k"))
     main = tally.groupBy("_key").agg(
         F.max(F.struct("_k", "_lab")).alias("_m"), F.count(F.lit(1)).alias("_labs")).filter("_labs > 1").select(
         "_key", F.col("_m._lab").alias("_main"))
-    open_rows = named.join(main, "_key")
-    apart = open_rows.filter("_lab <> _main").select(
-        "_key", F.col("_cls").alias("x"), F.col("_lab").alias("_lx"), F.col("_n").alias("_nx"))
-    pairs = apart.join(open_rows.drop("_main"), "_key").filter(
-        (F.col("_lx") != F.col("_lab"))
-        & (100 * F.least("_n", "_nx") >= percent * F.greatest("_n", "_nx"))).select(
-        F.least("x", "_cls").alias("a"), F.greatest("x", "_cls").alias("b")).distinct()
-    found.append(_verified(pairs, sets, percent))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    open_rows = staged(named.join(main, "_key").join(sets.select("_cls", F.col("_bits").alias("_by")), "_cls").select(
+        "_key", F.col("_cls").alias("y"), F.col("_lab").alias("_ly"), F.col("_n").alias("_ny"), "_by", "_main"), "near-open")
+    apart = open_rows.filter("_ly <> _main").select(
+        F.col("_key").alias("_kx"), F.col("y").alias("x"), F.col("_ly").alias("_lx"), F.col("_ny").alias("_nx"), F.col("_by").alias("_bx"),
+        F.col("_main").alias("_mx"))
+    # Both outside the main label: the pair comes up twice, take the half with x < y.
+    once = (F.col("_ly") == F.col("_mx")) | (F.col("x") < F.col("y"))
+    pairs = apart.join(open_rows.drop("_main"), (F.col("_kx") == F.col("_key")) & (F.col("_lx") != F.col("_ly")) & once
+                       & _may_link("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found.append(staged(_verified(pairs, sets, percent), "near-links"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(
