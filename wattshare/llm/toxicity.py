@@ -9,9 +9,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattshare.llm.common import text_or_empty
 from wattshare.session import staged
 
 # Letters that look like Latin ones, and digits and signs written for letters.
@@ -143,29 +144,30 @@ def _rates(weights: dict[str, float], exceptions: tuple[str, ...], keep: tuple[s
 
 
 def fit_lexicon(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     exceptions: Sequence[str] = EXCEPTIONS, most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN,
     most_terms: int = MOST_TERMS,
 ) -> Lexicon:
     """Learn terms and their weights, then the logistic curve, from a bounded sample of labelled rows.
 
-    The sample takes rows by a hash of their id: ``most_toxic`` and ``most_clean`` at most.  A term is a folded word or
-    the beginning of one; its weight is the log-odds of toxic against clean documents that show it.  Of at most
-    ``most_terms`` candidates those are kept that a greedy cover of the toxic texts needs (``_covering``).  The
-    candidates, their places in sampled texts and one number pair per sampled row reach the driver.  Rows with null label are left
-    out; without both labels the lexicon is empty and every score 0.
+    Held-out rows are never used.  The sample takes distinct texts by a hash of their id: ``most_toxic`` and
+    ``most_clean`` at most.  Only ids, labels and text hashes are shuffled to draw it; the drawn ids, bounded by the two
+    limits, are broadcast to read their texts.  A term is a folded word or the beginning of one; its weight is the
+    log-odds of toxic against clean documents that show it.  Of at most ``most_terms`` candidates those are kept
+    that a greedy cover of the toxic texts needs (``_covering``).  The candidates, their places in sampled texts and one
+    number pair per sampled row reach the driver.  Rows with a null label are left out; without both labels the
+    lexicon is empty and every score next to 0.
     """
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).cast("string").alias("_key"), F.col(label_col).cast("int").alias("_label"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    order = [F.xxhash64("_key"), "_key"]
+    known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(
+        F.col(id_col).cast("string").alias("_key"), F.col(label_col).cast("int").alias("_label")).distinct()
+    rows = docs.select(F.col(id_col).cast("string").alias("_key"), text_or_empty(F.col(text_col)).alias("_text"))
     # Copies would make their chance words look like terms: one row of each text, told by its hash.
-    hashes = staged(rows.groupBy(F.xxhash64("_text").alias("_hash"), "_label").agg(
+    hashes = staged(rows.select("_key", F.xxhash64("_text").alias("_hash")).join(known, "_key").groupBy("_hash", "_label").agg(
         F.min("_key").alias("_key")).drop("_hash"), "toxicity-rows")
+    order = [F.xxhash64("_key"), "_key"]
     drawn = staged(hashes.filter("_label = 1").orderBy(*order).limit(most_toxic).unionByName(
         hashes.filter("_label = 0").orderBy(*order).limit(most_clean)), "toxicity-drawn")
-    # Bounded by the two limits, so the hint is.
-    sample = staged(rows.join(F.broadcast(drawn), ["_key", "_label"]).dropDuplicates(["_key", "_label"]), "toxicity-sample")
+    sample = staged(rows.join(F.broadcast(drawn), "_key").dropDuplicates(["_key", "_label"]), "toxicity-sample")
     sizes = {r["_label"]: r["n"] for r in sample.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     empty = Lexicon({}, tuple(exceptions), 0.0, -50.0)
@@ -181,7 +183,7 @@ def fit_lexicon(
     shown = spread.filter("_label = 1").mapInPandas(
         _shown({r["term"] for r in best}), "terms array<string>").collect()
     weights = _covering([r["terms"] for r in shown], {r["term"]: float(r["w"]) for r in best},
-                        {r["term"]: r["c"] * toxic / clean for r in best})
+                        {r["term"]: r["c"] * toxic / clean for r in best}, 0.8 * math.log(clean + 1))
     if not weights:
         return empty
     pairs = sample.mapInPandas(_rates(weights, tuple(exceptions), ("_label",)), "_label int, _rate double").collect()
@@ -196,11 +198,14 @@ def _shown(candidates: set[str]):
     return run
 
 
-def _covering(shown: Sequence[Sequence[str]], weights: dict[str, float], cost: dict[str, float]) -> dict[str, float]:
+def _covering(
+    shown: Sequence[Sequence[str]], weights: dict[str, float], cost: dict[str, float], strong: float,
+) -> dict[str, float]:
     """Few terms by which every toxic document is met ``COVER`` times, chosen greedily.
 
-    A term gains the documents still to be met, loses twice the clean ones it shows in (scaled to as many), and is taken
-    while it gains more than ``LEAST_DOCS`` less a half: chance words of few documents stay out.
+    A term gains the documents still to be met (less if its weight is below ``strong``), loses twice the clean ones it
+    shows in (scaled to as many), and is taken while it gains ``LEAST_DOCS`` less a half: chance words of few
+    documents stay out.
     """
     import heapq
 
@@ -211,7 +216,7 @@ def _covering(shown: Sequence[Sequence[str]], weights: dict[str, float], cost: d
     need = [COVER] * len(shown)
 
     def gain(term: str) -> float:
-        return sum(need[i] > 0 for i in meets[term]) - 2 * cost[term]
+        return sum(need[i] > 0 for i in meets[term]) * min(1.0, weights[term] / strong) - 2 * cost[term]
 
     # Gains only fall, so a stale value at the top of the heap is an upper bound.
     heap = [(-gain(t), t) for t in sorted(weights)]
@@ -222,7 +227,7 @@ def _covering(shown: Sequence[Sequence[str]], weights: dict[str, float], cost: d
         now = gain(term)
         if heap and now < -heap[0][0]:
             heapq.heappush(heap, (-now, term))
-        elif now <= LEAST_DOCS - 0.5:
+        elif now < LEAST_DOCS - 0.5:
             break
         else:
             chosen[term] = weights[term]
@@ -265,12 +270,20 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     return rates.select(F.col("_id").cast(id_type).alias(id_col), (1 / (1 + F.exp(-z))).alias("score"))
 
 
-def held_out(id_column) -> object:
+def score_column(lexicon: Lexicon, text: Column) -> Column:
+    """The score as a column, for filters that keep all other columns."""
+    exceptions, weights = lexicon.exceptions, lexicon.weights
+
+    def rates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = _automaton(weights, exceptions)
+        for batch in batches:
+            yield pd.Series([hit_rate(t or "", found) for t in batch.tolist()], dtype="float64")
+
+    rate = F.pandas_udf(rates, "double", F.PandasUDFType.SCALAR_ITER)(F.coalesce(text.cast("string"), F.lit("")))
+    return 1 / (1 + F.exp(-(rate * lexicon.slope + lexicon.bias)))
+
+
+def held_out(id_column: Column) -> Column:
     """Rows never used for fitting: CRC-32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
-
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Texts with labels outside the held-out rows.  Labels are few columns; ids of both sides meet in one join."""
-    known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(id_col, label_col)
-    return docs.select(id_col, text_col).join(known, id_col)
