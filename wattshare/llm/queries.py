@@ -11,12 +11,14 @@ from wattshare.llm import sql as oracles
 from wattshare.llm.exact_dedup import exact_duplicates, text_digests
 from wattshare.llm.jaccard_join import near_duplicates
 from wattshare.llm.licenses import license_passages
+from wattshare.llm.line_dedup import repeated_lines, without_lines
 from wattshare.llm.mixing import mixture
 from wattshare.llm.packing import packed_pieces
 from wattshare.llm.personal_data import BASE_KINDS, fit_on, personal_data
 from wattshare.llm.secret_scan import secrets
-from wattshare.llm.toxicity import fit_lexicon, held_out, score_toxicity, training_rows
+from wattshare.llm.toxicity import fit_lexicon, held_out, score_toxicity
 from wattshare.llm.vector_dedup import near_vectors
+from wattshare.session import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,6 +89,20 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dropped = staged(repeated_lines(docs), "op5-dropped")
+    counts = dropped.select(
+        F.col("_id").alias("doc_id"), F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"))
+    cleaned = without_lines(docs.select("doc_id", "text"), dropped)
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    return cleaned.select("doc_id", lines.alias("n_lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).join(
+        counts, "doc_id", "left").select(
+        "doc_id", "n_lines_kept", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "text_sha256")
+
+
 @query()
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -95,7 +111,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lexicon = fit_lexicon(training_rows(docs, table(spark, sf_dir, "labels")))
+    lexicon = fit_lexicon(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, lexicon).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
