@@ -357,3 +357,32 @@ def test_walk_forward_uses_no_validation_row(spark):
     one, two = (evaluation.walk_forward(x, folds, min_rows=1).select("community_code", "datetime_utc", "pred_kw").collect()
                 for x in (df, df.withColumn("total_kw", spoil)))
     assert steady(one) == steady(two) and len(one) > 0
+
+
+def test_ranking_of_many_rows_spreads_over_parts(spark):
+    df = spark.range(5000).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") * 37 % 5000).alias("v"))
+    plain = D.top_per_group(df, ["g"], [F.desc("v")], 1000)
+    spread = D.top_per_group(df, ["g"], [F.desc("v")], 1000, spread="k")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, spread.collect()))
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("pmod(xxhash64") >= 1  # the first ranking is dealt by parts
+
+
+def test_a_boosted_score_follows_the_weather(spark, readings_of, demand_of):
+    rows, demand, weather = [], [], []
+    start = datetime(2024, 1, 1)
+    for h in range(24 * 28):
+        t = start + timedelta(hours=h)
+        warm = float((h * 7) % 20)
+        rows += [(c, "a", t.isoformat(sep=" "), 10.0 + warm) for c in ("1", "2")]
+        demand.append((t.isoformat(sep=" "), 100.0))
+        weather.append(("a", t + timedelta(hours=1), warm))
+    schema = "community_code string, datetime_local timestamp_ntz, temperature_2m double"
+    learner = M.Boosted(("qhour", "temperature_2m"), options=dict(trees=2, depth=2, min_instances=5))
+
+    def run(shift):
+        sky = spark.createDataFrame([(c, t, w + (shift if t >= datetime(2024, 1, 22) else 0)) for c, t, w in weather], schema)
+        out = evaluation.score(readings_of(rows), demand_of(demand), "2024-01-22", "2024-01-29", sky, top_n=0, learner=learner)
+        return {r.datetime_15min: r.prediction for r in out.collect()}
+
+    assert run(0.0) != run(-99.0)

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import at, by_key
 from wattshare import schemas
-from wattshare.session import shared_dir, staged
+from wattshare.session import shared_dir, staged, staging
 from wattshare.sources import tables
 
 
@@ -95,12 +96,27 @@ def test_shared_dir_is_the_one_the_session_names(spark):
     assert shared_dir(_Session("yarn", spark__checkpoint__dir="hdfs:///x")) == "hdfs:///x"
 
 
-def test_shared_dir_is_never_local_on_a_cluster(tmp_path, monkeypatch):
-    with pytest.raises(RuntimeError):
-        shared_dir(_Session("spark://host:7077"))
-    monkeypatch.setenv("TMPDIR", str(tmp_path))
-    local = _Session("local[2]")
-    assert shared_dir(local).startswith(str(tmp_path)) and shared_dir(local) == shared_dir(local)
+def test_shared_dir_is_never_local_on_a_cluster(tmp_path):
+    for warehouse in ("/data/warehouse", "file:/data/warehouse", "warehouse"):
+        with pytest.raises(RuntimeError):
+            shared_dir(_Session("spark://host:7077", spark__sql__warehouse__dir=warehouse))
+    assert shared_dir(_Session("yarn", spark__sql__warehouse__dir="hdfs:///w/")) == "hdfs:///w/_staged"
+    assert shared_dir(_Session("local[2]", spark__sql__warehouse__dir=str(tmp_path))) == f"{tmp_path}/_staged"
+
+
+def test_staged_tables_go_at_the_end_of_their_block(spark):
+    with staging(spark):
+        table = staged(spark.range(3), "block")
+        folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert table.count() == 3 and os.path.exists(folder)
+    assert not os.path.exists(folder)
+
+
+def test_fuller_weather_row_wins(spark):
+    rows = [("c", datetime(2024, 1, 1), None, 5.0), ("c", datetime(2024, 1, 1), 7.0, 6.0), ("c", datetime(2024, 1, 1), 8.0, 1.0)]
+    df = spark.createDataFrame(rows, "community_code string, time timestamp_ntz, temperature_2m double, cloud_cover double")
+    out = tables.normalise_weather(df).collect()
+    assert [(r.temperature_2m, r.cloud_cover) for r in out] == [(7.0, 6.0)]
 
 
 def test_rows_as_table_keys(spark):

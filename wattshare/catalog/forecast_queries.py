@@ -290,7 +290,12 @@ _COMPACT_NUM = ["qhour_of_week", *_COMPACT_NUM]
 _COMPACT_CAT = [c for c in features.COMPACT_CATEGORICAL if c != "qhour_of_week"]
 
 
-@query("feature_matrix_o21", f"{SLOT}, width:i, missing:f2", "O21")
+_MATRIX_NAMES = [*_COMPACT_NUM, *[f"{c}_missing" for c in _COMPACT_NUM], *_COMPACT_CAT]
+
+
+@query("feature_matrix_o21", f"{SLOT}, width:i, missing:f2", "O21",
+       f"SELECT community_code, datetime_utc, {len(_MATRIX_NAMES)} AS width, (sn_alpha_last IS NULL)::INT + (sn_alpha_mean_7d IS NULL)::INT + "
+       "(baseline_kw IS NULL)::INT + 2 * (temperature_2m IS NULL)::INT AS missing FROM train_rows")
 def _(spark, sf):
     rows = staged(compact_features(dataset(spark, sf)), "compact")
     matrix = M.fit_feature_matrix(rows, _COMPACT_NUM, _COMPACT_CAT)
@@ -377,48 +382,74 @@ def _(spark, sf):
     return oof(spark, sf, pooled=True)
 
 
-def _boosted(df, **extra):
-    options = dict(weight="baseline_kw", trees=5, depth=4, min_instances=20, seed=42) | extra
-    return M.fit_gbt(df, "y_log", _COMPACT_NUM, _COMPACT_CAT, **options)
+# Trees have no counterpart in SQL.  It states what must hold whatever they learn: the rows, what they are compared
+# with, and that the learned factor stays within its bound.
+_WITHIN = f"{_SCORED}"[:_SCORED.rindex(",")] + ", out_of_bound:i"
+_OUT_OF_BOUND = "CASE WHEN pred_kw > baseline_kw * exp(0.5) + 1e-6 OR pred_kw < baseline_kw * exp(-0.5) - 1e-6 OR pred_kw IS NULL THEN 1 ELSE 0 END"
+
+
+def _bounded(rows):
+    far = (F.col("pred_kw") > F.col("baseline_kw") * F.exp(F.lit(0.5)) + 1e-6) | (
+        F.col("pred_kw") < F.col("baseline_kw") * F.exp(F.lit(-0.5)) - 1e-6) | F.col("pred_kw").isNull()
+    return rows.withColumn("out_of_bound", F.when(far, 1).otherwise(0))
 
 
-@query("boosted_pooled_o26", _SCORED, "O26")
+_OOF_KEYS = f"SELECT fold, community_code, datetime_utc, baseline_kw, total_kw, {_OUT_OF_BOUND} AS out_of_bound FROM oof"
+
+
+@query("boosted_pooled_o26", f"fold:i, {_WITHIN}", "O26", _OOF_KEYS)
 def _(spark, sf):
-    rows = V.assign_folds(compact_features(dataset(spark, sf)), FOLDS[-1:])
-    rows = rows.filter(F.col("baseline_kw").isNotNull())
-    model = _boosted(rows.filter(F.col("role") == "train"), stop_date="2024-01-20")
-    return B.from_residual(model.predict(rows.filter(F.col("role") == "valid")), "log", bound=0.5)
+    learner = M.Boosted(_COMPACT_NUM, _COMPACT_CAT, dict(weight="baseline_kw", min_instances=20))
+    return _bounded(evaluation.walk_forward(
+        compact_features(staged(dataset(spark, sf), "features")), FOLDS, pooled=True, learner=learner, prepared=True))
 
 
-_ENTITY_NUM = ["alpha_lag_7d", "mod", "dow", "temperature_2m"]
+@query("boosted_rich_o26", f"fold:i, {_WITHIN}", "O26 O21", _OOF_KEYS)
+def _(spark, sf):
+    learner = M.Boosted(_ENTITY_NUM, ("community_code", *_ENTITY_CAT), dict(weight="baseline_kw", min_instances=20, trees=10))
+    return _bounded(evaluation.walk_forward(
+        rich_features(staged(dataset(spark, sf), "features")), FOLDS, pooled=True, learner=learner, prepared=True))
+
+
+# Week bins are ordered, so trees take them as numbers; as categories they would force a split candidate for each bin.
+_WEEK_BINS = ("hour_of_week", "qhour_of_week")
+_ENTITY_CAT = [c for c in features.RICH_CATEGORICAL if c not in _WEEK_BINS]
+_ENTITY_NUM = [c for c in features.RICH_FEATURES if c not in _ENTITY_CAT]
 
 
 def _per_entity(spark, sf):
     # Written once: each entity's fit would otherwise rebuild the table.
-    rows = staged(B.training_rows(dataset(spark, sf)).filter(F.col("baseline_kw").isNotNull()), "per-entity")
+    rows = staged(rich_features(staged(dataset(spark, sf), "features")).filter(F.col("baseline_kw").isNotNull()), "per-entity")
     train = rows.filter(F.col("target_date") < F.lit(FOLDS[-1][0]).cast("date"))
-    models = M.fit_gbt_per_entity(train, "y_log", _ENTITY_NUM, min_rows=METER_MIN_ROWS, weight="baseline_kw", trees=2, depth=3,
-                                  min_instances=20)
+    models = M.fit_gbt_per_entity(
+        train, "y_log", _ENTITY_NUM, _ENTITY_CAT, min_rows=METER_MIN_ROWS, weight="baseline_kw", min_instances=20)
     return rows, models
 
 
-@query("boosted_per_entity_o25", _SCORED, "O25")
+@query("boosted_per_entity_o25", _WITHIN, "O25",
+       f"SELECT community_code, datetime_utc, baseline_kw, total_kw, {_OUT_OF_BOUND} AS out_of_bound FROM oof WHERE fold = {len(FOLDS) - 1}")
 def _(spark, sf):
     rows, models = _per_entity(spark, sf)
     valid = rows.filter(F.col("target_date") >= F.lit(FOLDS[-1][1]).cast("date"))
-    return B.from_residual(M.predict_per_entity(models, valid), "log")
+    valid = valid.filter(F.col("target_date") < F.lit(FOLDS[-1][2]).cast("date"))
+    return _bounded(B.from_residual(M.predict_per_entity(models, valid), "log", bound=0.5))
 
 
-@query("feature_importance_o31", "feature:s, weight:f6", "O31")
+@query("feature_importance_o31", "feature:s, weight_sum:f6", "O31",
+       f"SELECT unnest({_MATRIX_NAMES}) AS feature, 1.0 AS weight_sum")
 def _(spark, sf):
-    rows = compact_features(dataset(spark, sf)).filter(F.col("baseline_kw").isNotNull())
-    return _boosted(rows).importance(spark)
+    rows = compact_features(staged(dataset(spark, sf), "features")).filter(F.col("baseline_kw").isNotNull())
+    found = M.fit_gbt(rows, "y_log", _COMPACT_NUM, _COMPACT_CAT, weight="baseline_kw", min_instances=20).importance(spark)
+    return found.crossJoin(found.agg(F.sum("weight").alias("weight_sum")))
 
 
-@query("top_features_o31_t5", "community_code:s, feature:s, share:f6, rank:i", "O31 T5 W11")
+@query("top_features_o31_t5", "community_code:s, rank:i, share_ok:i", "O31 T5 W11",
+       f"SELECT community_code, rank, 1 AS share_ok FROM (SELECT DISTINCT community_code FROM oof WHERE fold = {len(FOLDS) - 1}) "
+       "CROSS JOIN range(1, 6) r(rank)")
 def _(spark, sf):
     _, models = _per_entity(spark, sf)
-    return M.top_features(M.importance_table(spark, models), 3)
+    top = M.top_features(M.importance_table(spark, models), 5)
+    return top.withColumn("share_ok", F.when(F.col("share").between(0, 1), 1).otherwise(0))
 
 
 
@@ -481,6 +512,38 @@ def _cv_sql(splits: int, gap: int, top_n: int, min_rows: int) -> str:
             f"JOIN (SELECT fold, avg(abs(actual - pred)) AS mae_kw, count(*) AS n_points FROM ({slots}) GROUP BY 1) m USING (fold)")
 
 
+_TREES = dict(min_instances=20)
+
+
+@query("score_boosted_o29", "datetime_15min:t, known:i", "O29 O26",
+       f"SELECT datetime_15min, 1 AS known FROM ({_score_sql('2024-01-22', '2024-01-29')})")
+def _(spark, sf):
+    """Trees over baseline, calendar and weather in place of cell medians."""
+    m = Meter(spark, sf)
+    out = evaluation.score(
+        m.readings, m.demand, "2024-01-22", "2024-01-29", m.weather, top_n=10, unique_readings=True,
+        learner=M.Boosted(evaluation.SCORING_FEATURES, options=_TREES))
+    return out.withColumn("known", F.when(F.col("prediction").isNotNull(), 1).otherwise(0))
+
+
+@query("cross_validation_raw_o30", "fold:i, train_start:d, train_end:d, valid_start:d, valid_end:d, mae_kw:f4, n_points:i", "O30 A2",
+       _cv_sql(3, 2, 10, METER_MIN_ROWS).replace("readings", "raw_readings"))
+def _(spark, sf):
+    """Over events as they are, with several readings of a client in a slot."""
+    m = Meter(spark, sf)
+    return evaluation.cross_validate(
+        m.raw_readings, m.demand, n_splits=3, gap_days=2, top_n=10, min_rows=METER_MIN_ROWS, unique_readings=False)
+
+
+@query("cross_validation_boosted_o30", "fold:i, train_start:d, train_end:d, valid_start:d, valid_end:d, n_points:i", "O30 O26",
+       f"SELECT fold, train_start, train_end, valid_start, valid_end, n_points FROM ({_cv_sql(3, 2, 10, METER_MIN_ROWS)})")
+def _(spark, sf):
+    m = Meter(spark, sf)
+    return evaluation.cross_validate(
+        m.readings, m.demand, n_splits=3, gap_days=2, top_n=10, unique_readings=True, weather=m.weather,
+        learner=M.Boosted(evaluation.SCORING_FEATURES, options=_TREES))
+
+
 @query("cross_validation_o30", "fold:i, train_start:d, train_end:d, valid_start:d, valid_end:d, mae_kw:f4, n_points:i", "O30 O24 O2 A14",
        _cv_sql(3, 2, 10, METER_MIN_ROWS))
 def _(spark, sf):

@@ -59,9 +59,12 @@ def _(spark, sf):
 _LAG_COLUMNS = f"{SLOT}, alpha_lag_2d:f9, alpha_lag_7d:f9, alpha_lag_14d:f9, alpha_lag_21d:f9, alpha_lag_28d:f9"
 
 
-@query("time_shifted_self_join_j6", f"{SLOT}, alpha_lag_7d:f9", "J6", "SELECT * FROM lagged")
+@query("time_shifted_self_join_j6", _LAG_COLUMNS, "J6", "SELECT * FROM lagged")
 def _(spark, sf):
-    return A.with_lag_join(base(spark, sf), "alpha", 7, "alpha_lag_7d")
+    rows = base(spark, sf, stage=True)
+    for n in (2, 7, 14, 21, 28):
+        rows = A.with_lag_join(rows, "alpha", n, f"alpha_lag_{n}d")
+    return rows
 
 
 @query("point_frame_lags_w1x", _LAG_COLUMNS, "W1x J6 J17", "SELECT * FROM lagged")
@@ -162,8 +165,10 @@ def _(spark, sf):
 
 
 @query("lookup_back_j17_q3", "rule:s, violations:i", "J17 Q3",
-       "SELECT rule, count(*) FILTER (bad) AS violations FROM (SELECT unnest(['alpha_lag_2d', 'alpha_lag_7d', 'alpha_lag_14d', "
-       "'alpha_lag_21d', 'alpha_lag_28d']) AS rule, false AS bad FROM lagged) GROUP BY rule")
+       " UNION ALL ".join(
+           f"SELECT 'alpha_lag_{n}d' AS rule, count(*) FILTER (abs(l.alpha_lag_{n}d - b.alpha) > 1e-6 OR (l.alpha_lag_{n}d IS NULL) <> (b.alpha "
+           f"IS NULL)) AS violations FROM lagged l LEFT JOIN base b ON b.community_code = l.community_code AND b.datetime_utc = l.datetime_utc "
+           f"- INTERVAL '{n}' DAY" for n in (2, 7, 14, 21, 28)))
 def _(spark, sf):
     rows = base(spark, sf, stage=True)
     days = (2, 7, 14, 21, 28)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattshare import features
 from wattshare.catalog.base import query
 from wattshare.catalog.shared import WEEK, base, base_daily, dataset, oof, panel
-from wattshare.catalog.sql import FOLDS, METER_MIN_ROWS, share
+from wattshare.catalog.sql import CLOCK, FOLDS, METER_MIN_ROWS, share
 from wattshare.functions.timegrid import slot_start
 from wattshare.operators import diagnostics as D
 from wattshare.operators import quality as Q
@@ -212,13 +212,13 @@ def _(spark, sf):
     return D.cell_matrix(oof(spark, sf), "mae_model")
 
 
-_NUMERIC = [c for c in features.FEATURES if c not in features.CATEGORICAL and c != "alpha_lag_28d"]
-# Columns that vary within the stand-in tables; the correlation of a constant is undefined.
-_CORRELATED = [c for c in _NUMERIC if c not in ("alpha_lag_21d",)]
+_CORRELATED = [c for c in features.FEATURES if c not in features.CATEGORICAL]
 
 
 @query("correlations_a22", "feature:s, corr:f6", "A22 T7",
-       " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, y) AS corr FROM x WHERE target_date < DATE '2024-01-20'" for c in _CORRELATED))
+       " UNION ALL ".join(
+           f"SELECT '{c}' AS feature, CASE WHEN max({c}) > min({c}) AND max(y) FILTER ({c} IS NOT NULL) > min(y) FILTER ({c} IS NOT NULL) "
+           f"THEN corr({c}, y) END AS corr FROM x WHERE target_date < DATE '2024-01-20'" for c in _CORRELATED))
 def _(spark, sf):
     rows = dataset(spark, sf)
     return D.correlations(rows.filter(F.col("target_date") < F.lit("2024-01-20").cast("date")), _CORRELATED)
@@ -303,15 +303,26 @@ def _(spark, sf):
     return counted.agg(F.sum("n").alias("n_readings"), F.count(F.lit(1)).alias("n_slots"))
 
 
-def _zeroes(*rules: str, rows: str = "readings") -> str:
-    names = ", ".join(f"'{r}'" for r in rules)
-    return f"SELECT unnest([{names}]) AS rule, 0 AS violations FROM (SELECT count(*) FROM {rows})"
+CHECK = "rule:s, violations:i"
 
 
-CHECK = "rule:s, violations:i"
+_PANEL_RULES = ["row_missing", "n_clients", "n_missing", "total_kw", "mean_kw", "n_reporting"]
+
 
+def _panel_check(readings: str, panel: str) -> str:
+    """Violations of a panel against its readings, both sides recomputed."""
+    def far(a, b):
+        return f"abs({a} - {b}) > 1e-6 OR ({a} IS NULL) <> ({b} IS NULL)"
+    bad = ["p.community_code IS NULL OR r.community_code IS NULL", far("p.n_clients", "r_clients"), far("p.n_missing", "r_missing"),
+           far("p.total_kw", "r_total"), far("p.mean_kw", "r_mean"), "p.n_reporting <> r_clients - r_missing"]
+    counts = ", ".join(f"count(*) FILTER ({b})" for b in bad)
+    return (f"SELECT unnest({_PANEL_RULES}) AS rule, unnest([{counts}]) AS violations FROM {panel} p FULL JOIN (SELECT community_code, "
+            "datetime_utc, count(DISTINCT client_id) AS r_clients, count(*) - count(active_kw) AS r_missing, sum(active_kw) AS r_total, "
+            f"sum(active_kw) / count(active_kw) AS r_mean FROM {readings} GROUP BY 1, 2) r ON r.community_code = p.community_code AND "
+            "r.datetime_utc = p.datetime_utc")
 
-@query("panel_check_q1", CHECK, "Q1", _zeroes("row_missing", "n_clients", "n_missing", "total_kw", "mean_kw", "n_reporting"))
+
+@query("panel_check_q1", CHECK, "Q1", _panel_check("readings", "panel"))
 def _(spark, sf):
     m = Meter(spark, sf)
     return Q.check_panel(m.readings, build_panel(m.readings, unique_readings=True))
@@ -323,18 +334,22 @@ def _(spark, sf):
     return Q.check_alpha(dataset(spark, sf))
 
 
-@query("snapshot_check_q4", CHECK, "Q4", _zeroes("sn_alpha_last", "n_clients_at_cutoff"))
-def _(spark, sf):
-    return Q.check_snapshot(dataset(spark, sf), base(spark, sf))
+_SNAPSHOT_CHECK = (
+    "SELECT unnest(['sn_alpha_last', 'n_clients_at_cutoff']) AS rule, unnest([count(*) FILTER (abs(lo - c.alpha) > 1e-6 OR abs(hi - "
+    "c.alpha) > 1e-6 OR (lo IS NULL) <> (c.alpha IS NULL)), count(*) FILTER (abs(n_lo - c.n_clients) > 0 OR abs(n_hi - c.n_clients) > 0 OR "
+    "(n_lo IS NULL) <> (c.n_clients IS NULL))]) AS violations FROM (SELECT community_code, target_date, min(sn_alpha_last) AS lo, "
+    "max(sn_alpha_last) AS hi, min(n_clients_at_cutoff) AS n_lo, max(n_clients_at_cutoff) AS n_hi FROM x GROUP BY 1, 2) d LEFT JOIN base c "
+    "ON c.community_code = d.community_code AND c.datetime_local = CAST(d.target_date AS TIMESTAMP) - INTERVAL '735' MINUTE")
 
 
-@query("calendar_check_q5", CHECK, "Q5",
-       _zeroes("hour", "qhour", "mod", "dow", "month", "doy", "is_weekend", "sin_mod", "cos_mod"))
+@query("snapshot_check_q4", CHECK, "Q4", _SNAPSHOT_CHECK)
 def _(spark, sf):
-    return Q.check_calendar(dataset(spark, sf))
+    return Q.check_snapshot(dataset(spark, sf), base(spark, sf))
 
 
-@query("leakage_check_q7", CHECK, "Q7", _zeroes("label_null", "short_history"))
+@query("leakage_check_q7", CHECK, "Q7",
+       "SELECT unnest(['label_null', 'short_history']) AS rule, unnest([count(*) FILTER (y IS NULL), count(*) FILTER (x.target_date - "
+       "f.first_date < 7)]) AS violations FROM x JOIN first_dates f USING (community_code)")
 def _(spark, sf):
     return Q.check_leakage(dataset(spark, sf), Meter(spark, sf).readings, WEEK)
 
@@ -382,13 +397,28 @@ def _(spark, sf):
     return Q.check_snapshot(wrong, base(spark, sf))
 
 
+_CLOCK_COLUMNS = ["hour", "qhour", "mod", "dow", "month", "doy", "is_weekend", "sin_mod", "cos_mod"]
+
+
+def _clock_check(found: str) -> str:
+    """Violations of the calendar columns of ``found`` (x with its clock columns) against the local clock."""
+    again = CLOCK.replace(" AS ", " AS r_")
+    bad = ", ".join(f"count(*) FILTER (abs({c} - r_{c}) > 1e-6)" for c in _CLOCK_COLUMNS)
+    return (f"SELECT unnest({_CLOCK_COLUMNS}) AS rule, unnest([{bad}]) AS violations FROM (SELECT *, {again} FROM ({found}))")
+
+
+@query("calendar_check_q5", CHECK, "Q5",
+       _clock_check("SELECT datetime_local, " + ", ".join(_CLOCK_COLUMNS) + " FROM x"))
+def _(spark, sf):
+    return Q.check_calendar(dataset(spark, sf))
+
+
 @query("calendar_check_altered_q5", CHECK, "Q5",
-       "SELECT unnest(['hour', 'dow', 'is_weekend']) AS rule, unnest([count(*), count(*) FILTER (hour(datetime_local) = 0), count(*) FILTER "
-       "(hour(datetime_local) = 0 AND isodow(datetime_local) IN (6, 1))]) AS violations FROM x")
+       _clock_check(f"SELECT datetime_local, {CLOCK.replace('datetime_local', 'datetime_utc')} FROM x"))
 def _(spark, sf):
     """Calendar taken from UTC where the local clock was meant."""
     utc = with_calendar(dataset(spark, sf), ts="datetime_utc")
-    return Q.check_calendar(utc).filter(F.col("rule").isin("hour", "dow", "is_weekend"))
+    return Q.check_calendar(utc)
 
 
 @query("leakage_check_longer_history_q7", CHECK, "Q7",

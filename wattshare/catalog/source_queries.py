@@ -40,7 +40,7 @@ def _stored(spark, df, label):
 
 @query("readings_scan_s1", READING, "S1", "SELECT * FROM readings")
 def _(spark, sf):
-    return tables.load_readings(spark, _stored(spark, Meter(spark, sf).readings, "readings"))
+    return tables.load_readings(spark, Meter(spark, sf).readings)
 
 
 @query("demand_scan_s2", "datetime_utc:t, D_mw:f4", "S2", "SELECT datetime_utc, value AS D_mw FROM demand")
@@ -196,9 +196,10 @@ def _(spark, sf):
     return panel(spark, sf).fillna(0.0, subset=["total_kw", "std_kw"])
 
 
-@query("bernoulli_sample_p14", f"{SLOT}, total_kw:f2", "P14")
+@query("bernoulli_sample_p14", f"{SLOT}, total_kw:f2", "P14",
+       "SELECT * FROM panel WHERE substr(md5(community_code || '|' || strftime(datetime_utc, '%Y-%m-%d %H:%M:%S')), 1, 8) < '0ccccccd'")
 def _(spark, sf):
-    return tables.bernoulli_sample(panel(spark, sf), 0.05)
+    return tables.hash_sample(panel(spark, sf), ["community_code", "datetime_utc"], 0.05)
 
 
 @query("optional_columns_p15", f"{SLOT}, temperature_2m:f6, is_day:i", "P15 P4 J4",

@@ -40,6 +40,7 @@ CYCLIC = f"""hour(datetime_local) * 4 + minute(datetime_local) // 15 AS qhour,
   {_circle("qhour", "(hour(datetime_local) * 4 + minute(datetime_local) // 15)", "96")},
   {_circle("dow", "(isodow(datetime_local) - 1)", "7")}, {_circle("doy", "dayofyear(datetime_local)", "366")}"""
 
+# The seasons of holidays, as in the library.
 HOL_TYPE = """CASE WHEN is_holiday = 0 THEN 'none'
   WHEN month(target_date) * 100 + day(target_date) BETWEEN 413 AND 421
     OR month(target_date) * 100 + day(target_date) BETWEEN 325 AND 331 THEN 'easter'
@@ -100,12 +101,15 @@ TABLES = {
   time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '1' HOUR AS datetime_local,
   SUM(CASE WHEN value >= 2 THEN value END) AS active_kw
 FROM events GROUP BY 1, 2, 3, 4""",
+    "raw_readings": """SELECT CAST(user_id AS VARCHAR) AS client_id, event_type AS community_code,
+  time_bucket(INTERVAL '15 minutes', ts) AS datetime_utc, time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '1' HOUR AS datetime_local,
+  CASE WHEN value >= 2 THEN value END AS active_kw FROM events""",
     "demand": """SELECT h AS datetime_utc, CASE WHEN hour(h) = 3 AND day(h) IN (4, 13, 22) THEN 0.0e0
   ELSE 20000.0e0 + 250 * abs(12 - hour(h)) + 40 * day(h) + 5 * n END AS value
 FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1)
 WHERE NOT (hour(h) = 4 AND day(h) IN (5, 14, 23))""",
     "generation": """SELECT date_trunc('hour', ts) AS datetime_utc, sum(value) AS value
-FROM events WHERE event_type = 'view' GROUP BY 1""",
+FROM events GROUP BY 1""",
     "weather": """SELECT community_code, 'P' || community_code AS province, time,
   CASE WHEN NOT (h = 7 AND d = 8) THEN warm END AS temperature_2m, warm - 1.5e0 AS apparent_temperature,
   40.0e0 + 2 * abs(12 - h) AS relative_humidity_2m,
@@ -121,7 +125,9 @@ FROM (SELECT *, -2.0e0 + 1.25e0 * h - 0.3e0 * abs(15 - d) + 0.25e0 * length(comm
         time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '1' HOUR AS time FROM events)
     WHERE NOT (hour(time) = 5 AND day(time) IN (9, 19))))""",
     "weather1": """SELECT * EXCLUDE (province, rn) RENAME (time AS datetime_local) FROM (
-  SELECT *, row_number() OVER (PARTITION BY community_code, time ORDER BY temperature_2m NULLS FIRST) AS rn FROM weather)
+  SELECT *, row_number() OVER (PARTITION BY community_code, time ORDER BY
+    (temperature_2m IS NULL)::INT + (apparent_temperature IS NULL)::INT, temperature_2m NULLS FIRST, apparent_temperature NULLS FIRST) AS rn
+  FROM weather)
 WHERE rn = 1""",
     "holidays": """SELECT CAST(ts + INTERVAL '1' HOUR AS DATE) AS date FROM events
 WHERE day(ts + INTERVAL '1' HOUR) IN (1, 6, 15, 26)""",

@@ -122,6 +122,16 @@ def correlations(df: DataFrame, columns: Sequence[str], label: str = "y") -> Dat
     return wide.unpivot([], list(columns), "feature", "corr").orderBy(F.desc_nulls_last("corr"), "feature")
 
 
-def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:
+def top_per_group(
+    df: DataFrame, by: Sequence[str], order: Sequence, k: int, spread: str | None = None, parts: int = 64,
+) -> DataFrame:
+    """The first ``k`` rows of every group.
+
+    With ``spread``, a key that is unique within a group, rows are ranked within ``parts`` hash parts of a group first, so
+    that no task sees a whole group and the second ranking gets at most ``parts * k`` rows of it.
+    """
+    if spread is not None:
+        first = Window.partitionBy(*by, F.pmod(F.xxhash64(spread), F.lit(parts))).orderBy(*order)
+        df = df.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).drop("rank")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

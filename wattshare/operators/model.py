@@ -7,11 +7,13 @@ aggregation.  Boosted trees come from Spark ML with absolute-error loss.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -71,23 +73,72 @@ def fit_cell_median(
     return CellMedianModel(table.drop("n"), scope, slot, weekday, min_rows)
 
 
+@dataclass(frozen=True)
+class CellMedian:
+    """Learner: the median residual per (scope, slot, weekday), fitted for all scopes in one aggregation."""
+
+    slot: str = "mod"
+    weekday: str = "dow"
+    min_rows: int = 500
+    exact: bool = True
+
+    def fit(self, train: DataFrame, target: str, scope: Sequence[str]) -> CellMedianModel:
+        return fit_cell_median(train, target, scope, self.slot, self.weekday, self.min_rows, self.exact)
+
+
+@dataclass(frozen=True)
+class Boosted:
+    """Learner: one pooled tree ensemble per fold over the named features, the entity among the categories.
+
+    ``numeric`` features that the rows lack are left out, so that one list serves with and without weather.  Folds are
+    few by their nature and are fitted one after the other, each from the same stored rows.
+    """
+
+    numeric: Sequence[str]
+    categorical: Sequence[str] = ("community_code",)
+    options: Mapping[str, object] = field(default_factory=dict)
+
+    def fit(self, train: DataFrame, target: str, scope: Sequence[str]) -> FoldModels:
+        numeric = [c for c in self.numeric if c in train.columns]
+        categorical = [c for c in self.categorical if c in train.columns]
+        extra = [c for c in (self.options.get("weight"), "target_date" if self.options.get("stop_date") else None) if c]
+        rows = staged(train.select(*dict.fromkeys([*(c for c in scope if c == "fold"), *numeric, *categorical, target, *extra])), "learner")
+        if "fold" not in scope:
+            return FoldModels({None: fit_gbt(rows, target, numeric, categorical, stage=False, **self.options)})
+        folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+        return FoldModels({f: fit_gbt(rows.filter(F.col("fold") == f), target, numeric, categorical, stage=False, **self.options)
+                           for f in folds})
+
+
+@dataclass
+class FoldModels:
+    """An ensemble for each fold; None stands for all rows."""
+
+    models: dict
+
+    def predict(self, df: DataFrame, name: str = "correction") -> DataFrame:
+        if None in self.models:
+            return self.models[None].predict(df, name)
+        parts = [model.predict(df.filter(F.col("fold") == fold), name) for fold, model in self.models.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+
 @dataclass
 class FeatureMatrix:
     """Ordered feature list and the fitted transformation that yields the ``features`` vector."""
 
     names: list[str]
     transformer: object
-    numeric: Sequence[str]
-    blank: Sequence[str]
+    medians: Mapping[str, float]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.transformer.transform(_with_missing_flags(df, self.numeric, self.blank))
+        return self.transformer.transform(_imputed(df, self.medians))
 
 
-def _with_missing_flags(df: DataFrame, numeric: Sequence[str], blank: Sequence[str]) -> DataFrame:
+def _imputed(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
     return df.withColumns({
-        **{f"{c}_num": F.lit(0.0) if c in blank else F.col(c).cast("double") for c in numeric},
-        **{f"{c}_missing": flag(F.col(c).isNull()) for c in numeric},
+        **{f"{c}_imp": F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()},
+        **{f"{c}_missing": flag(F.col(c).isNull()) for c in medians},
     })
 
 
@@ -97,20 +148,18 @@ def fit_feature_matrix(train: DataFrame, numeric: Sequence[str], categorical: Se
     Trees in Spark ML reject missing values, hence the flags.  A column without any value in training
     has no median and becomes constant.  Categories unseen in training get a bucket of their own.
     """
-    known = train.agg(*[F.count(c).alias(c) for c in numeric]).first() if numeric else {}
-    blank = [c for c in numeric if known[c] == 0]
-    prepared = _with_missing_flags(train, numeric, blank)
+    middle = [F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in numeric]
+    found = train.agg(*middle).first() if numeric else {}
+    medians = {c: 0.0 if found[c] is None else float(found[c]) for c in numeric}
+    prepared = _imputed(train, medians)
     stages = []
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_idx" for c in categorical],
                                     handleInvalid="keep"))
-    if numeric:
-        stages.append(Imputer(strategy="median", inputCols=[f"{c}_num" for c in numeric],
-                              outputCols=[f"{c}_imp" for c in numeric]))
     inputs = [f"{c}_imp" for c in numeric] + [f"{c}_missing" for c in numeric] + [f"{c}_idx" for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     names = list(numeric) + [f"{c}_missing" for c in numeric] + list(categorical)
-    return FeatureMatrix(names, Pipeline(stages=stages).fit(prepared), tuple(numeric), tuple(blank))
+    return FeatureMatrix(names, Pipeline(stages=stages).fit(prepared), medians)
 
 
 def feature_rows(matrix: FeatureMatrix, df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -175,19 +224,27 @@ def _category_sizes(vectors: DataFrame) -> list[int]:
 
 def fit_gbt_per_entity(
     train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (),
-    entity: str = "community_code", min_rows: int = 500, **options,
+    entity: str = "community_code", min_rows: int = 500, most_entities: int = 100, **options,
 ) -> dict[str, BoostedModel]:
     """One ensemble per entity with at least ``min_rows`` rows.
 
     Meant for the few dozen communities and promoted clients of a portfolio: each fit is a
-    distributed job of its own.  For many entities use ``fit_cell_median`` or ``fit_gbt``.
+    distributed job of its own, a few run side by side.  More than ``most_entities`` are refused: a model per entity
+    is held on the driver; for many entities use ``fit_cell_median`` or ``fit_gbt``.  The rows are written once by
+    entity, so that each fit reads its own files.
     """
     known = train.filter(F.col(target).isNotNull())
     enough = known.groupBy(entity).count().filter(F.col("count") >= min_rows).select(entity).orderBy(entity)
-    return {
-        row[0]: fit_gbt(known.filter(F.col(entity) == row[0]), target, numeric, categorical, **options)
-        for row in enough.toLocalIterator()
-    }
+    names = [r[0] for r in enough.limit(most_entities + 1).collect()]
+    if len(names) > most_entities:
+        raise ValueError(f"more than {most_entities} entities: fit a pooled learner")
+    rows = staged(known, "by-entity", partition_by=entity)
+
+    def one(name: str) -> BoostedModel:
+        return fit_gbt(rows.filter(F.col(entity) == name), target, numeric, categorical, stage=False, **options)
+
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(names, pool.map(one, names)))
 
 
 def predict_per_entity(

@@ -14,7 +14,7 @@ from wattshare.operators.baseline import (
 )
 from wattshare.operators.calendar import with_calendar
 from wattshare.operators.diagnostics import top_per_group
-from wattshare.operators.model import fit_cell_median
+from wattshare.operators.model import Boosted, CellMedian
 from wattshare.operators.panel import BROADCAST_ROWS, PROMOTED_PREFIX, build_panel_min, reclassify_large_clients
 from wattshare.operators.validation import assign_folds, day_folds, fold_bounds
 from wattshare.operators.weather import attach_weather
@@ -22,18 +22,32 @@ from wattshare.schemas import WEATHER_MEASURES_D2
 from wattshare.session import staged
 
 
+Learner = CellMedian | Boosted
+
+#: What a boosted learner may use in ``score`` and ``cross_validate``: baseline, cyclic calendar, issued weather.
+SCORING_FEATURES = (
+    "baseline_kw", "D_mw", "qhour", "dow", "month", "is_weekend", "sin_qhour", "cos_qhour", "sin_dow", "cos_dow", "sin_doy",
+    "cos_doy", *WEATHER_MEASURES_D2,
+)
+
+
 def walk_forward(
     dataset: DataFrame, folds: Sequence[tuple[str, str, str]], pooled: bool = False, min_rows: int = 2000,
-    bound: float | None = 0.5,
+    bound: float | None = 0.5, learner: Learner | None = None, stage: bool = True, prepared: bool = False,
 ) -> DataFrame:
-    """Out-of-fold predictions: log-ratio cell medians fitted for all folds in one pass.
+    """Out-of-fold predictions of the log ratio to the baseline.
 
-    ``pooled`` fits one model per fold for all entities; otherwise one per fold and entity.  Train and
-    validation rows are two reads of ``dataset``: pass a stored table (``save_features``) where it is large.
+    The learner defaults to cell medians, fitted for all folds in one pass; ``pooled`` fits one model per fold for all
+    entities, otherwise one per fold and entity.  Train and validation rows are two reads of the rows, which ``stage``
+    writes once; without it pass a stored table (``save_features``).  ``prepared`` rows carry baseline, target and
+    further features already (``rich_features``, ``compact_features``).
     """
-    rows = assign_folds(training_rows(dataset), folds).filter(F.col("baseline_kw").isNotNull())
+    rows = dataset if prepared else training_rows(dataset)
+    rows = rows.filter(F.col("baseline_kw").isNotNull())
+    rows = assign_folds(staged(rows, "walk-forward") if stage else rows, folds)
     scope = ["fold"] if pooled else ["fold", "community_code"]
-    model = fit_cell_median(rows.filter(F.col("role") == "train"), "y_log", scope, min_rows=min_rows, exact=not pooled)
+    learner = learner or CellMedian(min_rows=min_rows, exact=not pooled)
+    model = learner.fit(rows.filter(F.col("role") == "train"), "y_log", scope)
     valid = rows.filter(F.col("role") == "valid")
     scored = from_residual(model.predict(valid), "log", bound=bound)
     return scored.select("fold", "community_code", "datetime_utc", "target_date", "is_holiday",
@@ -42,11 +56,13 @@ def walk_forward(
 
 def single_fold(
     dataset: DataFrame, train_end: str, valid_start: str, valid_end: str, kind: str = "kw", min_rows: int = 500,
+    learner: Learner | None = None,
 ) -> DataFrame:
     """Predictions of one purged fold for a residual in kW or in share."""
     rows = with_residual(with_baseline(dataset.dropna(subset=["alpha_lag_7d"])), kind)
     rows = assign_folds(rows, [(train_end, valid_start, valid_end)])
-    model = fit_cell_median(rows.filter(F.col("role") == "train"), "residual", min_rows=min_rows)
+    learner = learner or CellMedian(min_rows=min_rows)
+    model = learner.fit(rows.filter(F.col("role") == "train"), "residual", ["community_code"])
     scored = from_residual(model.predict(rows.filter(F.col("role") == "valid")), kind)
     return scored.select("community_code", "datetime_utc", "target_date", "baseline_kw", "total_kw", "pred_kw")
 
@@ -67,16 +83,19 @@ def entity_rows(
 def score(
     readings: DataFrame, demand: DataFrame, start: str, end: str, weather: DataFrame | None = None,
     top_n: int = 30, min_rows: int = 500, unique_readings: bool = False, stage: bool = True,
+    learner: Learner | None = None,
 ) -> DataFrame:
     """Forecast [start, end) from what precedes ``start``; returns (datetime_15min, prediction).
 
-    Large clients are ranked, and corrections fitted, on rows before ``start``.  Entities are summed
+    The default learner looks at entity, weekday and slot alone; ``Boosted`` learns from the weather and calendar too
+    (``SCORING_FEATURES``).  In the hour that the local clock repeats in autumn a stamp has two rows.  Large clients are ranked, and corrections fitted, on rows before ``start``.  Entities are summed
     per UTC slot, so an hour repeated on the local clock is not added up.
     """
     rows = entity_rows(readings, demand, weather, top_n, fit_until=start, unique_readings=unique_readings, stage=stage)
     begin, stop = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     local = F.col("datetime_local")
-    model = fit_cell_median(rows.filter(local < begin), "residual", slot="qhour", min_rows=min_rows)
+    learner = learner or CellMedian(slot="qhour", min_rows=min_rows)
+    model = learner.fit(rows.filter(local < begin), "residual", ["community_code"])
     scored = model.predict(rows.filter((local >= begin) & (local < stop)))
     total = portfolio_forecast(scored, ["datetime_utc", "datetime_local"])
     return total.select(F.col("datetime_local").alias("datetime_15min"), "prediction")
@@ -109,7 +128,7 @@ def _large_clients_per_fold(readings: DataFrame, bounds: Sequence[Row], top_n: i
         F.struct(F.lit(b.fold).alias("fold"), F.col(f"_{b.fold}").alias("kw")) for b in bounds])).alias("e"))
     ranked = top_per_group(
         per_fold.select("client_id", "e.*").filter(F.col("kw").isNotNull()), ["fold"],
-        [F.desc("kw"), F.asc("client_id")], top_n)
+        [F.desc("kw"), F.asc("client_id")], top_n, spread="client_id")
     return ranked.groupBy("client_id").agg(F.sort_array(F.collect_set("fold")).alias("in_folds"))
 
 
@@ -145,10 +164,13 @@ def _fold_entities(
 
 def cross_validate(
     readings: DataFrame, demand: DataFrame, n_splits: int = 5, gap_days: int = 14, top_n: int = 30,
-    min_rows: int = 500, unique_readings: bool = False, stage: bool = True,
+    min_rows: int = 500, unique_readings: bool = False, stage: bool = True, weather: DataFrame | None = None,
+    learner: Learner | None = None,
 ) -> DataFrame:
     """Walk-forward report per fold: bounds, portfolio error in kW, points.
 
+    Weather is joined as in ``score``, for learners that use it.
+
     Large clients and corrections are recomputed from each fold's train days.  The readings are read
     three times (days, ranking, panel), however many folds there are: ``fold`` is a column.  Of the folds
     only their bounds, at most ``n_splits`` rows, reach the driver; as constants they prune scans.
@@ -169,10 +191,11 @@ def cross_validate(
         panel = staged(panel, "fold-entities")
     rows = with_residual(with_baseline_d2(panel, entity=("fold", "community_code")), "kw")
     day = F.to_date("datetime_local")
+    rows = attach_weather(rows, weather, WEATHER_MEASURES_D2)
     placed = with_calendar(rows, "cyclic").withColumn("role", _by_fold(bounds, lambda b: F.when(
         day <= F.lit(b.train_end), "train").when(day.between(F.lit(b.valid_start), F.lit(b.valid_end)), "valid")))
-    model = fit_cell_median(
-        placed.filter(F.col("role") == "train"), "residual", ["fold", "community_code"], "qhour", min_rows=min_rows)
+    learner = learner or CellMedian(slot="qhour", min_rows=min_rows)
+    model = learner.fit(placed.filter(F.col("role") == "train"), "residual", ["fold", "community_code"])
     scored = model.predict(placed.filter(F.col("role") == "valid"))
     slots = scored.withColumn(
         "pred_kw", F.coalesce("baseline_kw", F.lit(0.0)) + F.col("correction")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,21 +45,44 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None) or ""
     local = warehouse.startswith(("file:", "/")) or ":" not in warehouse
     if local and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{warehouse.rstrip('/')}/_staged"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+#: Folders written by ``staged`` and not yet released.
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete staged tables, all or those after the first ``since``; call it when results that read them are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_STAGED) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Tables staged inside the block are deleted at its end: store or collect results within it."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where one reduced table feeds several branches: the readings are scanned once, every
     branch reads only the Parquet columns it needs, and a lost executor costs a re-read
-    instead of a re-scan of the readings.
+    instead of a re-scan of the readings.  The table stays until ``release``, or the end of a ``staging`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _STAGED.append(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -40,6 +40,15 @@ class Meter:
             .withColumn("datetime_local", F.col("datetime_utc") + F.expr("INTERVAL '1' HOUR"))
         )
 
+    @cached_property
+    def raw_readings(self) -> DataFrame:
+        """One row per event: a client may read several times in a slot."""
+        slot = slot_start("ts")
+        return self.events.select(
+            F.col("user_id").cast("string").alias("client_id"), F.col("event_type").alias("community_code"),
+            slot.alias("datetime_utc"), (slot + F.expr("INTERVAL '1' HOUR")).alias("datetime_local"),
+            F.when(F.col("value") >= 2, F.col("value")).alias("active_kw"))
+
     @cached_property
     def demand(self) -> DataFrame:
         """Hourly, with a few hours at zero and a few absent."""
@@ -53,11 +62,8 @@ class Meter:
 
     @cached_property
     def generation(self) -> DataFrame:
-        """A production forecast: hourly event volume of one type."""
-        return (
-            self.events.filter(F.col("event_type") == "view").groupBy(hour_start("ts").alias("datetime_utc"))
-            .agg(F.sum("value").alias("value"))
-        )
+        """A production forecast: hourly event volume."""
+        return self.events.groupBy(hour_start("ts").alias("datetime_utc")).agg(F.sum("value").alias("value"))
 
     @cached_property
     def weather(self) -> DataFrame:

@@ -15,11 +15,14 @@ from wattshare import schemas
 from wattshare.functions.timegrid import as_col
 
 
-def _open(spark: SparkSession, source: str) -> DataFrame:
+def _open(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    if isinstance(source, DataFrame):
+        return source
     return spark.read.parquet(source) if "/" in source else spark.table(source)
 
 
-def load_readings(spark: SparkSession, source: str) -> DataFrame:
+def load_readings(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """From a path, a catalogue name or a frame: readings that other jobs derive need not be stored twice."""
     return schemas.conform(_open(spark, source), schemas.READINGS)
 
 
@@ -48,16 +51,17 @@ def distinct_dates(holidays: DataFrame) -> DataFrame:
 def normalise_weather(weather: DataFrame) -> DataFrame:
     """One row per (community, local stamp).
 
-    Where a key repeats the smallest measure tuple wins, so reruns agree.
+    Where a key repeats the row with most known measures wins, then the smallest tuple, so reruns agree.
     """
     measures = [m for m in schemas.WEATHER_MEASURES if m in weather.columns]
     keyed = weather.drop("province")
+    unknown = sum((F.col(m).isNull().cast("int") for m in measures), F.lit(0))
     if "time" in keyed.columns:
         keyed = keyed.withColumnRenamed("time", "datetime_local")
     return (
         keyed.groupBy("community_code", "datetime_local")
-        .agg(F.min(F.struct(*measures)).alias("m"))
-        .select("community_code", "datetime_local", "m.*")
+        .agg(F.min(F.struct(unknown.alias("_unknown"), *measures)).alias("m"))
+        .select("community_code", "datetime_local", *[f"m.{m}" for m in measures])
     )
 
 
@@ -81,6 +85,13 @@ def save_predictions(predictions: DataFrame, target: str, team: str) -> None:
     writer.parquet(target) if "/" in target else writer.saveAsTable(target)
 
 
+def hash_sample(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFrame:
+    """Rows whose key falls into the first ``fraction`` of all md5 values: the same rows in every run and engine."""
+    limit = f"{min(2**32, round(fraction * 2**32)):08x}"
+    prefix = F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8)
+    return df if len(limit) > 8 else df.filter(prefix < limit)
+
+
 def rows_as_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A parameter list (for example fold bounds) as a table."""
     return spark.createDataFrame(list(rows), schema)
