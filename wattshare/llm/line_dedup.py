@@ -22,10 +22,6 @@ MAX_EDITS, MIN_CHARS, COPY_SHARE = 1, 24, 0.5
 SMALL_KEY, MOST_SPLITS = 32, 4
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """``_id, _no, _line, _h``: lines long enough, each with its place and 64-bit hash."""
     split = F.split(text_or_empty(F.col(text_col)), "\n", -1)
@@ -82,29 +78,33 @@ def within(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    letters, other = F.split(a, "", -1), F.split(b, "", -1)
     states = [f"r{e}" for e in range(edits + 1)]
     start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits & mask).alias(s) for e, s in enumerate(states)])
 
-    def step(state: Column, at: Column) -> Column:
-        letter = F.get(other, at)
-        same = [F.when(F.get(letters, at - edits + k) == letter, 1 << k).otherwise(0) for k in range(width)]
-        equal = reduce(lambda x, y: x.bitwiseOR(y), same)
-        new: list[Column] = []
-        for e, s in enumerate(states):
-            value = state[s].bitwiseAND(equal)
-            if e:
-                old = state[states[e - 1]]
-                value = value.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[e - 1], 1))
-            new.append(value.bitwiseAND(F.lit(mask)))
-        made = F.struct(*[v.alias(s) for v, s in zip(new, states)])
-        return F.when(state[states[-1]] == 0, state).otherwise(made)
+    def last_state(pair: Column) -> Column:
+        def step(state: Column, at: Column) -> Column:
+            letter = F.get(pair["b"], at)
+            same = [F.when(F.get(pair["a"], at - edits + k) == letter, 1 << k).otherwise(0) for k in range(width)]
+            equal = reduce(lambda x, y: x.bitwiseOR(y), same)
+            new: list[Column] = []
+            for e, s in enumerate(states):
+                value = state[s].bitwiseAND(equal)
+                if e:
+                    old = state[states[e - 1]]
+                    value = value.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[e - 1], 1))
+                new.append(value.bitwiseAND(F.lit(mask)))
+            made = F.struct(*[v.alias(s) for v, s in zip(new, states)])
+            return F.when(state[states[-1]] == 0, state).otherwise(made)
+
+        places = F.sequence(F.lit(0), F.greatest(F.size(pair["b"]) - 1, F.lit(0)))
+        return F.aggregate(places, start, step, lambda s: s[states[-1]])
 
     gap = F.length(a) - F.length(b) + edits
-    last = F.when(F.length(b) == 0, start[states[-1]]).otherwise(
-        F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(b) - 1, F.lit(0))), start, step, lambda s: s[states[-1]]))
     close = (gap >= 0) & (gap < width)
-    return F.when(close, F.expr("1") * F.getbit(last, F.when(close, gap).otherwise(0)) == 1).otherwise(False)
+    # Letters are bound once per pair; named directly inside the step they would be split again for each letter.
+    letters = F.array(F.struct(F.split(a, "", -1).alias("a"), F.split(b, "", -1).alias("b")))
+    read = F.when(F.length(b) == 0, start[states[-1]]).otherwise(F.get(F.transform(letters, last_state), F.lit(0)))
+    return F.when(close, F.getbit(read, F.when(close, gap).otherwise(0)) == 1).otherwise(False)
 
 
 def _matching(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
