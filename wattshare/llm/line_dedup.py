@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattshare.llm.common import if_small, text_or_empty
+from wattshare.llm.common import BROADCAST_ROWS, if_small, text_or_empty
 from wattshare.session import staged
 
 #: Edits between near lines; characters from which a line is looked at; share of a document's characters above which its
@@ -54,7 +54,8 @@ def probe_keys(group: Column, text: Column, edits: int) -> Column:
     """Array of (key, start, size, longer) of the substrings that may equal a segment of a partner no longer than this.
 
     For a partner shorter by d, segment i starts at most i places off from the left and ``edits - i`` from the
-    right: every other place would need too many edits on one side of it.  ``longer``: d is over 0.
+    right: every other place would need too many edits on one side of it.  ``longer``: d is over 0.  Places outside the
+    text are null.
     """
     length, out = F.length(text), []
     for d in range(edits + 1):
@@ -66,7 +67,7 @@ def probe_keys(group: Column, text: Column, edits: int) -> Column:
                 out.append(F.when(fits, F.struct(
                     _key(group, length - d, i, text, place, size).alias("k"), place.alias("s"), size.alias("z"),
                     F.lit(d > 0).alias("longer"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.array(*out)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -128,7 +129,7 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_
     zero, line = F.lit(0), F.col("_line")
     index = lines.select("_h", F.explode(index_keys(zero, line, max_edits)).alias("_x")).select("_h", F.col("_x.k").alias("_k"))
     first = index.groupBy("_k").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
-    probes = lines.select("_h", F.explode(probe_keys(zero, line, max_edits)).alias("_x")).select(
+    probes = lines.select("_h", F.explode(probe_keys(zero, line, max_edits)).alias("_x")).filter("_x IS NOT NULL").select(
         "_h", F.col("_x.k").alias("_k"), F.col("_x.longer").alias("_longer"))
     matched = staged(probes.join(first, "_k").filter(
         F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))).distinct(), "line-matched")
@@ -160,7 +161,7 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_
         part = right.join(large, "_g", "left_semi").select("_h", "_line", F.explode(index_keys(F.col("_g"), line, max_edits)).alias("_x"))
         right = staged(part.select(F.col("_x.k").alias("_g"), "_h", _rest("_line").alias("_line")), "line-right")
         part = left.join(large, "_g", "left_semi").join(found[-1], "_h", "left_anti").select(
-            "_h", "_line", F.explode(probe_keys(F.col("_g"), line, max_edits)).alias("_x"))
+            "_h", "_line", F.explode(probe_keys(F.col("_g"), line, max_edits)).alias("_x")).filter("_x IS NOT NULL")
         part = part.select(F.col("_x.k").alias("_g"), "_h", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line"))
         heads = right.groupBy("_g").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
         part = staged(part.join(heads, "_g").filter(
@@ -211,8 +212,15 @@ def repeated_lines(
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the dropped lines taken from their texts; all columns and all other rows as they were."""
-    goes = dropped.select(F.col("_id").alias("_dropped_id"), F.col("drop").alias("_dropped_lines"))
+    """``docs`` with the dropped lines taken from their texts; all columns and all other rows as they were.
+
+    The line numbers are broadcast while documents and lines to drop are few (counted), so that texts stay where they
+    are; beyond that both sides are shuffled.
+    """
+    goes = staged(dropped.select(F.col("_id").alias("_dropped_id"), F.col("drop").alias("_dropped_lines")), "line-dropped")
+    rows, lines = goes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_dropped_lines")), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and lines <= 4 * BROADCAST_ROWS:
+        goes = F.broadcast(goes)
     met = docs.join(goes, F.col(id_col).eqNullSafe(F.col("_dropped_id")), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_dropped_lines", i))
     text = F.when(F.col("_dropped_lines").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
