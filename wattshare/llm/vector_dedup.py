@@ -84,14 +84,20 @@ def _split(members: DataFrame, big: DataFrame, level: int, fan: int, vector_type
         F.max("_far").alias("_radius"), F.count(F.lit(1)).alias("_n"))
     centres = nets.select(F.col("_node").alias("_parent"), F.posexplode("_centres").alias("_k", "_p"))
     nodes = staged(nodes.join(centres, ["_parent", "_k"]).select(
-        "_node", "_parent", F.col("_p.v").alias("_centre"), "_radius", "_n"), "tree-nodes")
+        "_node", "_parent", _scaled(F.col("_p.v")).alias("_centre"), "_radius", "_n"), "tree-nodes")
     return placed.select("_c", "_w", "_v", F.col("_child").alias("_node")), nodes
 
 
+def _scaled(v: Column) -> Column:
+    """Components between -1 and 1, so that their squares neither overflow nor vanish together."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    return F.transform(v, lambda x: x.cast("double") / most)
+
+
 def _apart(a: str, b: str) -> Column:
     """Distance of two centres on the unit sphere."""
     def dot(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     cosine = dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
     return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine))
 
@@ -149,6 +155,8 @@ def _compare(cosine: float):
 
 def _exact(a, b) -> float:
     x, y = [float(v) for v in a], [float(v) for v in b]
+    p, q = max(map(abs, x)), max(map(abs, y))
+    x, y = [v / p for v in x], [v / q for v in y]
     return math.fsum(p * q for p, q in zip(x, y)) / math.sqrt(math.fsum(p * p for p in x)) / math.sqrt(math.fsum(q * q for q in y))
 
 
