@@ -18,7 +18,9 @@ USUAL = [
     "weather_scan_s4_p13", "prediction_sink_s7", "fold_rows_table_s9", "grid_gaps_j10_q8", "trailing_week_std_w3",
     "holiday_lag_lead_w6_o18", "panel_from_unchecked_readings_a2", "lift_pivot_a17", "winter_error_a26", "alpha_dataset_week_history_o9",
     "short_dataset_o9", "walk_forward_entity_o25", "walk_forward_pooled_o26", "blend_sweep_o27", "score_horizon_o29",
-    "cross_validation_o30", "fourier_week_bins_o6c", "lookup_back_j17_q3",
+    "cross_validation_o30", "fourier_week_bins_o6c", "lookup_back_j17_q3", "correlations_a22", "panel_check_q1", "snapshot_check_q4",
+    "calendar_check_altered_q5", "leakage_check_q7", "time_shifted_self_join_j6", "cross_validation_raw_o30", "regional_holidays_o7",
+    "rolling_block_w9", "score_boosted_o29", "bernoulli_sample_p14", "generation_scan_s5",
 ]
 CHOSEN = list(REGISTRY) if os.environ.get("WATTSHARE_ALL") else USUAL
 

@@ -22,6 +22,7 @@ from wattshare.plans.dataset import (
     build_alpha_dataset, build_short_dataset, compact_features, history_filter, rich_features,
 )
 from wattshare.session import staged
+from wattshare.sources import tables
 from wattshare.sources.fixtures import Daily, Meter
 
 SLOT = "community_code:s, datetime_utc:t"
@@ -238,6 +239,27 @@ def _(spark, sf):
     return H.with_holiday_context(base_daily(spark, sf))
 
 
+@query("regional_holidays_o7", f"{SLOT}, target_date:d, is_holiday:i", "O7 S3",
+       "SELECT x.* EXCLUDE (is_holiday), CASE WHEN h.date IS NOT NULL THEN 1 ELSE 0 END AS is_holiday FROM x LEFT JOIN regional_holidays h "
+       "ON h.community_code = x.community_code AND h.date = x.target_date")
+def _(spark, sf):
+    m = Meter(spark, sf)
+    return build_alpha_dataset(
+        m.readings, m.demand, None, tables.load_holidays(spark, m.regional_holidays, regional=True), min_history_days=WEEK,
+        unique_readings=True, regional_holidays=True)
+
+
+@query("rolling_block_w9", f"{SLOT}, roll_mean_28d:f9, roll_std_28d:f9, same_dow_mean_28d:f9", "W9 O9",
+       "SELECT x.community_code, x.datetime_utc, r.roll_mean_28d, r.roll_std_28d, (SELECT avg(v) FROM (VALUES (x.alpha_lag_7d), "
+       "(x.alpha_lag_14d), (x.alpha_lag_21d), (x.alpha_lag_28d)) t(v)) AS same_dow_mean_28d FROM x LEFT JOIN (SELECT l.community_code, "
+       "l.datetime_utc + INTERVAL '2' DAY AS datetime_utc, avg(h.alpha) AS roll_mean_28d, stddev_samp(h.alpha) AS roll_std_28d FROM base l "
+       "JOIN base h ON h.community_code = l.community_code AND h.datetime_utc <= l.datetime_utc AND h.datetime_utc >= l.datetime_utc - "
+       "INTERVAL '28' DAY GROUP BY 1, 2) r ON r.community_code = x.community_code AND r.datetime_utc = x.datetime_utc")
+def _(spark, sf):
+    m = Meter(spark, sf)
+    return build_alpha_dataset(m.readings, m.demand, min_history_days=WEEK, unique_readings=True, rolling=True)
+
+
 @query("holiday_mismatch_o20", f"{SLOT}, is_holiday:i, hol_7d_ago:i, hol_mismatch_7d:i", "O20 W6",
        "SELECT x.community_code, x.datetime_utc, x.is_holiday, h.hol_7d_ago, CASE WHEN x.is_holiday <> h.hol_7d_ago THEN 1 ELSE 0 END AS "
        "hol_mismatch_7d FROM x JOIN holiday_daily h ON h.community_code = x.community_code AND h.target_date = x.target_date")

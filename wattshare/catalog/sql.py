@@ -131,6 +131,8 @@ FROM (SELECT *, -2.0e0 + 1.25e0 * h - 0.3e0 * abs(15 - d) + 0.25e0 * length(comm
 WHERE rn = 1""",
     "holidays": """SELECT CAST(ts + INTERVAL '1' HOUR AS DATE) AS date FROM events
 WHERE day(ts + INTERVAL '1' HOUR) IN (1, 6, 15, 26)""",
+    "regional_holidays": """SELECT DISTINCT event_type AS community_code, CAST(ts + INTERVAL '1' HOUR AS DATE) AS date FROM events
+WHERE day(ts + INTERVAL '1' HOUR) % (length(event_type) + 3) = 0""",
     "first_seen": "SELECT client_id, min(datetime_utc) AS first_utc FROM readings GROUP BY client_id",
     "panel": """SELECT community_code, datetime_utc, min(datetime_local) AS datetime_local,
   count(DISTINCT client_id) AS n_clients, sum(CASE WHEN active_kw IS NULL THEN 1 ELSE 0 END) AS n_missing,

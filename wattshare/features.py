@@ -7,6 +7,8 @@ LAGS = [f"alpha_lag_{n}d" for n in LAG_DAYS]
 SNAPSHOT = ["sn_alpha_last", "sn_alpha_mean_24h", "sn_alpha_mean_7d", "sn_alpha_std_7d", "n_clients_at_cutoff"]
 CALENDAR = ["hour", "qhour", "mod", "dow", "month", "doy", "is_weekend", "sin_mod", "cos_mod", "sin_dow", "cos_dow"]
 
+ROLLING = ["roll_mean_28d", "roll_std_28d", "same_dow_mean_28d"]
+
 BOOKKEEPING = ["community_code", "target_date", "datetime_utc", "datetime_local", "total_kw", "n_clients"]
 BASE_FEATURES = LAGS + ["alpha_lag_mean"] + SNAPSHOT + ["D_mw"] + CALENDAR + ["is_holiday"]
 FEATURES = BASE_FEATURES + WEATHER_MEASURES

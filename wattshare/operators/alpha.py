@@ -143,8 +143,8 @@ def cutoff_snapshot(df: DataFrame, cutoff_hour: int = 12) -> DataFrame:
     Last share, trailing 24 h mean, trailing 7 d mean and standard deviation, client count.  Only one
     slot a day needs the trailing statistics, so no window slides over every slot.  Each cutoff (one
     row in 96) is repeated for the eight UTC days its 7 d frame touches and meets the history of those days
-    by equality on (community, day); the groupBy after it combines within tasks.  Work spreads over days
-    as well as communities, and the history itself is shuffled once, never multiplied.
+    by equality on (community, day): a history row is joined with up to eight cutoffs, and the groupBy after it
+    combines within tasks.  Work spreads over days as well as communities.
     """
     cutoffs = _cutoff_rows(df, cutoff_hour, sn_alpha_last="alpha", n_clients_at_cutoff="n_clients")
     last_day = epoch_day("cutoff_utc")

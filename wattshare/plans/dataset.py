@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattshare import features
+from wattshare.functions.timegrid import DAY_SECONDS, days_later
 from wattshare.operators.alpha import (
-    attach_snapshot, check_lag_days, client_count_snapshot, cutoff_snapshot, robust_lag, with_alpha, with_alpha_lags,
+    attach_snapshot, check_lag_days, client_count_snapshot, cutoff_snapshot, robust_lag, same_dow_mean, trailing_stats, with_alpha,
+    with_alpha_lags,
 )
 from wattshare.operators.baseline import training_rows, with_log_context
 from wattshare.operators.calendar import with_calendar, with_daylight, with_fourier, with_week_bins
@@ -45,10 +47,12 @@ def shares(
 def build_alpha_dataset(
     readings: DataFrame, demand: DataFrame, weather: DataFrame | None = None, holidays: DataFrame | None = None,
     cutoff_hour: int = 12, min_history_days: int = 28, lag_days: Sequence[int] = features.LAG_DAYS,
-    unique_readings: bool = False, stage: bool = True,
+    unique_readings: bool = False, stage: bool = True, regional_holidays: bool = False, rolling: bool = False,
 ) -> DataFrame:
     """Readings to (X, y), one row per (community, slot).
 
+    ``regional_holidays``: holidays carry a community and count there alone.  ``rolling`` adds ``ROLLING``: four-week
+    statistics known two days before, and the mean of the same weekday's shares of four weeks.
     With ``stage`` the share table, thousands of times smaller than the readings, is written once to
     the shared folder; lags, snapshot and first dates read it there.  Without it each branch
     scans the readings again.
@@ -58,11 +62,24 @@ def build_alpha_dataset(
     rows = with_alpha_lags(base, lag_days)
     rows = attach_snapshot(rows, cutoff_snapshot(base, cutoff_hour))
     rows = history_filter(rows.withColumn("y", F.col("alpha")), min_history_days, first_date(base))
-    rows = with_holiday_flag(attach_weather(rows, weather), holidays)
+    rows = with_holiday_flag(attach_weather(rows, weather), holidays, regional=regional_holidays)
     rows = with_calendar(rows)
+    if rolling:
+        rows = rows.join(rolling_stats(base), ["community_code", "datetime_utc"], "left")
     lags = [f"alpha_lag_{n}d" for n in lag_days]
     wanted = [c for c in features.FEATURES if c not in features.LAGS and c in rows.columns]
-    return rows.select(*features.BOOKKEEPING, "y", *lags, *wanted)
+    return rows.select(*features.BOOKKEEPING, "y", *lags, *wanted, *(features.ROLLING if rolling else []))
+
+
+def rolling_stats(base: DataFrame) -> DataFrame:
+    """Per (community, slot): share statistics of the 28 days up to two days before, and the same-weekday mean."""
+    keys = ["community_code", "datetime_utc"]
+    # 28 days and one second, so that the row exactly 28 days back belongs to the frame.
+    span = 28 * DAY_SECONDS + 1
+    past = trailing_stats(base.select(*keys, "alpha"), "alpha", {"roll_mean_28d": ("mean", span), "roll_std_28d": ("std", span)})
+    known = past.select("community_code", days_later("datetime_utc", 2).alias("datetime_utc"), "roll_mean_28d", "roll_std_28d")
+    own = same_dow_mean(base.select(*keys, "alpha"), "alpha", "same_dow_mean_28d", 28)
+    return own.select(*keys, "same_dow_mean_28d").join(known, keys, "left")
 
 
 def build_short_dataset(

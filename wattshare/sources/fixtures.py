@@ -86,6 +86,13 @@ class Meter:
             sun.alias("shortwave_radiation"), (sun / 2).alias("diffuse_radiation"),
             F.when(h.between(8, 17), 1).otherwise(0).alias("is_day"))
 
+    @cached_property
+    def regional_holidays(self) -> DataFrame:
+        """Days of a community's own: its name's length decides which."""
+        local = F.col("ts") + F.expr("INTERVAL '1' HOUR")
+        own = F.dayofmonth(local) % (F.length("event_type") + 3) == 0
+        return self.events.filter(own).select(F.col("event_type").alias("community_code"), F.to_date(local).alias("date"))
+
     @cached_property
     def holidays(self) -> DataFrame:
         """Repeated dates on purpose: one row per event of a holiday."""

@@ -36,8 +36,12 @@ def load_weather(spark: SparkSession, source: str) -> DataFrame:
         _open(spark, source), schemas.WEATHER, optional=("province", *schemas.WEATHER_MEASURES))
 
 
-def load_holidays(spark: SparkSession, source: str) -> DataFrame:
-    return distinct_dates(_open(spark, source))
+def load_holidays(spark: SparkSession, source: str | DataFrame, regional: bool = False) -> DataFrame:
+    """Distinct dates; with ``regional`` distinct (community_code, date), for holidays that hold in one community."""
+    table = _open(spark, source)
+    if regional:
+        return table.select("community_code", F.col("date").cast("date").alias("date")).distinct()
+    return distinct_dates(table)
 
 
 def demand_as_mw(forecast: DataFrame) -> DataFrame:
