@@ -196,6 +196,22 @@ def test_repeated_lines(spark, documents):
     assert odd.count() == documents.count() and line_dedup.repeated_lines(documents.limit(0)).count() == 0
 
 
+def test_only_whole_copies_keep_repeated_lines(spark, tmp_path):
+    shared, own, more = "a passage that several of the documents carry", "what document {} alone has to say here", "a second passage of many documents"
+    rows = [
+        (1, shared + "\n" + own.format("one")), (2, "\n".join([shared, more, own.format("seventy-two")])),
+        (3, "\n".join([own.format("thirty-three")] * 5)), (4, shared), (5, f"{shared}\n{more}"),
+        (6, "\n".join([shared, more, own.format("seventy-two")])), (7, "\n".join([own.format("thirty-three")] * 5)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: rows[0][1], 2: f"{more}\n{own.format('seventy-two')}", 3: own.format("thirty-three"), 4: "", 5: ""}
+    clean = {r.doc_id: r.text for r in stages.drop_repeated_lines(spark, docs, SMALL).collect()}
+    assert clean == want | {6: want[2], 7: want[3]}
+    docs.withColumn("source", F.lit("a")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_exact, r.n_lines_kept) for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 2), 2: (1, 2), 3: (4, 1), 4: (1, 1), 5: (2, 1), 6: (3, 1), 7: (5, 1)}
+
+
 def test_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]

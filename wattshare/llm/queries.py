@@ -92,7 +92,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    dropped = staged(repeated_lines(docs), "op5-dropped")
+    dropped = staged(repeated_lines(docs, copy_share=None), "op5-dropped")
     counts = dropped.select(
         F.col("_id").alias("doc_id"), F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"))
     cleaned = without_lines(docs.select("doc_id", "text"), dropped)

@@ -34,8 +34,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go from the texts; copies of whole documents are left to the next stage."""
-    return without_lines(docs, repeated_lines(docs))
+    """Repeated and nearly repeated lines go from the texts, repeats within one document too.
+
+    Documents with equal texts count as their first: all of them lose what it loses, so whole copies stay copies and are
+    left to the next stage.  Every other document loses its repeated lines, however many they are.
+    """
+    text = [F.xxhash64("text").alias("_t"), F.hash("text").alias("_u"), F.length("text").alias("_n")]
+    keyed = docs.select(*docs.columns, row_key().alias("_own"), *text)
+    copies = staged(keyed.filter("_n > 0").groupBy("_t", "_u", "_n").agg(
+        F.min("_own").alias("_first"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").drop("_rows"), "stage-copies")
+    keyed = keyed.join(if_small(copies), ["_t", "_u", "_n"], "left").withColumn("_whole", F.coalesce("_first", "_own"))
+    dropped = repeated_lines(keyed.filter("_own = _whole"), id_col="_whole", copy_share=None)
+    return without_lines(keyed, dropped, id_col="_whole").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
