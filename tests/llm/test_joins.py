@@ -179,6 +179,25 @@ def test_near_lines(spark, edits, small, monkeypatch):
     assert {r._h for r in line_dedup.near_lines(docs, "doc_id", "text", edits, 1).collect()} == want
 
 
+@pytest.mark.parametrize("small", [32, 2])
+def test_longer_lines_may_differ_more(spark, small, monkeypatch):
+    """Bands against brute force: the shorter line's band decides; the default bands, and narrow ones at their borders."""
+    monkeypatch.setattr(line_dedup, "SMALL_KEY", small)
+    rng, narrow = random.Random(5), ((0, 1), (12, 2), (18, 3))
+    lines = ["".join(rng.choice("abcd e") for _ in range(n)) for n in (40, 70, 100, 130, 160, 200) for _ in range(2)]
+    lines += ["".join(x[0] for x in _mutated(rng, list(s), k)) for s in lines for k in (1, 2, 3, 4, 5, 6)]
+    near = {}
+    for max_edits, some in ((line_dedup.MAX_EDITS, lines), (narrow, [s[:n] for s in lines for n in (11, 12, 13, 17, 18, 20)])):
+        docs = spark.createDataFrame([(i, x) for i, x in enumerate(some)], "doc_id long, text string")
+        hashes = {r.l: r.h for r in docs.select(F.col("text").alias("l"), F.xxhash64("text").alias("h")).collect()}
+        order = sorted(set(some), key=lambda s: (len(s), hashes[s]))
+        allowed = lambda s: [e for low, e in max_edits if low <= len(s)][-1]  # noqa: E731, B023
+        want = {hashes[y] for j, y in enumerate(order) if any(
+            len(y) - len(x) <= allowed(x) and _distance(x, y) <= allowed(x) for x in order[:j])}
+        near[max_edits] = {r._h for r in line_dedup.near_lines(docs, "doc_id", "text", max_edits, 1).collect()}
+        assert near[max_edits] == want and want
+
+
 def test_repeated_lines(spark, documents):
     line, near, own = "this line of boilerplate is everywhere", "this line of boilerplate is everywherE", "a line of some length that only {} has"
     rows = [(i, f"{own.format('abcdefgh'[i] * 9)}\n{line}\n{own.format('ijklmnop'[i] * 9)}") for i in range(4)]

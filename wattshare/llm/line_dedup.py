@@ -1,12 +1,13 @@
 """Repeated and nearly repeated lines: a segment-partition edit join, in DataFrame functions only.
 
-Lines within ``max_edits`` edits of each other agree in one of ``max_edits + 1`` segments, up to a small shift.  Lines are
+Lines within e edits of each other agree in one of e + 1 segments, up to a small shift; e grows with the length.  Lines are
 indexed by their segments (with length and segment number) and probe the index by their own substrings of the
 lengths that partners may have; what meets is verified by a bit-parallel edit distance over a diagonal band.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from wattshare.llm.common import BROADCAST_ROWS, if_small, text_or_empty
 from wattshare.session import staged
 
-#: Edits between near lines; characters from which a line is looked at; share of a document's characters above which its
-#: repeated lines mean a copy rather than boilerplate.
-MAX_EDITS, MIN_CHARS, COPY_SHARE = 1, 24, 0.5
+#: Edits between near lines, as (characters from which they hold for the shorter line, edits): one for 30 characters, 5 at most.
+MAX_EDITS = ((0, 1), (60, 2), (90, 3), (120, 4), (150, 5))
+#: Characters from which a line is looked at; share of a document's characters above which its repeated lines mean a copy
+#: rather than boilerplate.
+MIN_CHARS, COPY_SHARE = 24, 0.5
 #: Index lines of a key up to which all are compared; larger keys are split by further segments first, so often at most.
 SMALL_KEY, MOST_SPLITS = 32, 4
 
@@ -29,45 +32,80 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return rows.filter(F.length("_line") >= min_chars).withColumn("_h", F.xxhash64("_line"))
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def segment(length: Column, i: Column, edits: Column) -> tuple[Column, Column]:
     """Start (from 0) and length of segment ``i`` of a string of that length."""
     start = F.floor(length * i / (edits + 1)).cast("int")
     return start, F.floor(length * (i + 1) / (edits + 1)).cast("int") - start
 
 
-def _key(group: Column, length: Column, i: int, text: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(group, length, F.lit(i), F.substring(text, start + 1, size))
+def _key(group: Column, length: Column, i: Column, text: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(group, length, i, F.substring(text, start + 1, size))
 
 
-def index_keys(group: Column, text: Column, edits: int) -> Column:
-    """Array of (key, start, size): one for each segment."""
-    length = F.length(text)
-    out = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits)
-        out.append(F.struct(_key(group, length, i, text, start, size).alias("k"), start.alias("s"), size.alias("z"),
-                            F.lit(False).alias("longer")))
-    return F.array(*out)
+def _index_rows(rows: DataFrame, group: Column, edits: Column, codes: Column) -> DataFrame:
+    """``rows`` with ``_e`` and ``_x`` (k: key, s: start, z: size, longer): a row for each segment."""
+    length = F.length("_line")
+    coded = rows.withColumn("_c", F.explode(codes))
+    start, size = segment(length, F.col("_c"), edits)
+    key = _key(group, length, F.col("_c"), F.col("_line"), start, size)
+    return coded.withColumns({"_e": edits, "_x": F.struct(
+        key.alias("k"), start.alias("s"), size.alias("z"), F.lit(False).alias("longer"))}).drop("_c")
 
 
-def probe_keys(group: Column, text: Column, edits: int) -> Column:
-    """Array of (key, start, size, longer) of the substrings that may equal a segment of a partner no longer than this.
+def probe_codes(edits: int) -> list[int]:
+    """Substrings that may equal a segment of a partner no longer than the line, as (edits, d, i, shift) in one number.
 
     For a partner shorter by d, segment i starts at most i places off from the left and ``edits - i`` from the
-    right: every other place would need too many edits on one side of it.  ``longer``: d is over 0.  Places outside the
-    text are null.
+    right: every other place would need too many edits on one side of it.
     """
-    length, out = F.length(text), []
-    for d in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = segment(length - d, i, edits)
-            for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
-                place = start + shift
-                fits = (place >= 0) & (place + size <= length) & (length >= d)
-                out.append(F.when(fits, F.struct(
-                    _key(group, length - d, i, text, place, size).alias("k"), place.alias("s"), size.alias("z"),
-                    F.lit(d > 0).alias("longer"))))
-    return F.array(*out)
+    return [((edits * 32 + d) * 32 + i) * 64 + shift + 32 for d in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
+
+
+def _probe_rows(rows: DataFrame, group: Column, codes: Column, lengths: Column | None = None) -> DataFrame:
+    """``rows`` with ``_e`` and ``_x`` as in the index, a row for each place of ``codes`` inside the text.
+
+    ``longer``: d is over 0.  ``lengths``, of the partner's length and ``_e``: which partners count.
+    """
+    length, code = F.length("_line"), F.col("_c")
+    coded = rows.withColumn("_c", F.explode(codes)).withColumns({
+        "_e": F.shiftright(code, 16), "_d": F.shiftright(code, 11).bitwiseAND(F.lit(31)),
+        "_i": F.shiftright(code, 6).bitwiseAND(F.lit(31)), "_p": length - F.shiftright(code, 11).bitwiseAND(F.lit(31))})
+    start, size = segment(F.col("_p"), F.col("_i"), F.col("_e"))
+    place = start + code.bitwiseAND(F.lit(63)) - 32
+    fits = (F.col("_p") >= 0) & (place >= 0) & (place + size <= length)
+    coded = coded.filter(fits if lengths is None else fits & lengths)
+    return coded.withColumn("_x", F.struct(
+        _key(group, F.col("_p"), F.col("_i"), F.col("_line"), place, size).alias("k"), place.alias("s"), size.alias("z"),
+        (F.col("_d") > 0).alias("longer"))).drop("_c", "_d", "_i", "_p")
+
+
+def bands(max_edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, int | None, int]]:
+    """(least length, first length beyond or None, edits) of each band; a number is one band of all lengths."""
+    steps = [(0, max_edits)] if isinstance(max_edits, int) else sorted(max_edits)
+    return [(low, high, edits) for (low, edits), high in zip(steps, [low for low, _ in steps[1:]] + [None])]
+
+
+def _in_band(length: Column, low: int, high: int | None) -> Column:
+    return (length >= low) if high is None else (length >= low) & (length < high)
+
+
+def _of_edits(values: Callable[[int], list[int]], every: list[int]) -> Column:
+    """The array of the row's edits ``_e``: the text may be what is left of a longer one, so its length does not tell."""
+    return reduce(lambda out, e: out.when(F.col("_e") == e, F.lit(values(e))), every[1:],
+                  F.when(F.col("_e") == every[0], F.lit(values(every[0]))))
+
+
+def _segments(edits: int) -> list[int]:
+    return list(range(edits + 1))
+
+
+def within_band(a: Column, b: Column, max_edits: int | Sequence[tuple[int, int]]) -> Column:
+    """Whether the edit distance is within the band of ``b``, the shorter text."""
+    out = F.lit(False)
+    for low, high, edits in bands(max_edits):
+        out = F.when(_in_band(F.length(b), low, high), within(a, b, edits)).otherwise(out)
+    return out
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -108,15 +146,36 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(close, F.getbit(read, F.when(close, gap).otherwise(0)) == 1).otherwise(False)
 
 
-def _matching(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _matching(pairs: DataFrame, texts: DataFrame, edits: int | Sequence[tuple[int, int]]) -> DataFrame:
     """``_h`` of those pairs (_h, _lo) whose texts are within reach; each ``_h`` once."""
     own = texts.select("_h", F.col("_line").alias("_a"))
     partner = texts.select(F.col("_h").alias("_lo"), F.col("_line").alias("_b"))
     met = pairs.join(own, "_h").join(partner, "_lo")
-    return met.filter(within(F.col("_a"), F.col("_b"), edits)).select("_h").distinct()
+    return met.filter(within_band(F.col("_a"), F.col("_b"), edits)).select("_h").distinct()
+
 
+def _indexed(lines: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> DataFrame:
+    """Index rows of whole lines, by their band's edits."""
+    edits = F.lit(0)
+    for low, high, e in bands(max_edits):
+        edits = F.when(_in_band(F.length("_line"), low, high), e).otherwise(edits)
+    every = sorted({e for _, _, e in bands(max_edits)})
+    return _index_rows(lines.withColumn("_e", edits), F.lit(0), F.col("_e"), _of_edits(_segments, every))
 
-def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_chars: int) -> DataFrame:
+
+def _probing(lines: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> DataFrame:
+    """Probes of whole lines for partners of every band in reach, by that band's edits."""
+    length, parts, counts = F.length("_line"), [], F.lit(False)
+    for low, high, e in bands(max_edits):
+        reach = _in_band(length, low, None if high is None else high + e)
+        parts.append(F.when(reach, F.lit(probe_codes(e))).otherwise(F.lit([0]).cast("array<int>")))
+        counts = counts | ((F.col("_e") == e) & _in_band(F.col("_p"), low, high))
+    return _probe_rows(lines, F.lit(0), F.concat(*parts), counts)
+
+
+def near_lines(
+    docs: DataFrame, id_col: str, text_col: str, max_edits: int | Sequence[tuple[int, int]], min_chars: int,
+) -> DataFrame:
     """``_h`` of lines with a near line before them, in the order of (length, hash): these go, the others stay.
 
     Narrow key rows (two numbers each) meet in one join: the index is reduced to the first line of a key by a combinable
@@ -126,11 +185,10 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_
     segments of what remains of their lines, as often as ``MOST_SPLITS``, before all are compared.
     """
     lines = lines_of(docs, id_col, text_col, min_chars)
-    zero, line = F.lit(0), F.col("_line")
-    index = lines.select("_h", F.explode(index_keys(zero, line, max_edits)).alias("_x")).select("_h", F.col("_x.k").alias("_k"))
+    every = sorted({e for _, _, e in bands(max_edits)})
+    index = _indexed(lines, max_edits).select("_h", F.col("_x.k").alias("_k"))
     first = index.groupBy("_k").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
-    probes = lines.select("_h", F.explode(probe_keys(zero, line, max_edits)).alias("_x")).filter("_x IS NOT NULL").select(
-        "_h", F.col("_x.k").alias("_k"), F.col("_x.longer").alias("_longer"))
+    probes = _probing(lines, max_edits).select("_h", F.col("_x.k").alias("_k"), F.col("_x.longer").alias("_longer"))
     matched = staged(probes.join(first, "_k").filter(
         F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))).distinct(), "line-matched")
     # All lines of the keys that matched, then the texts of all of them: a fraction of the lines.
@@ -142,11 +200,11 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_
     settled = staged(_matching(matched.select("_h", "_lo").distinct(), texts, max_edits), "line-settled")
     # Open probes with the text that is still to be compared, and the index lines of their keys.
     open_rows = matched.filter("_lo <> _hi").join(settled, "_h", "left_anti").select("_k", "_h").distinct()
-    left = open_rows.join(texts, "_h").select(F.col("_k").alias("_g"), "_h", F.explode(probe_keys(zero, line, max_edits)).alias("_x"), "_line")
-    left = staged(left.filter("_x.k = _g").select("_g", "_h", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line")), "line-left")
+    left = _probing(open_rows.join(texts, "_h").select(F.col("_k").alias("_g"), "_h", "_line"), max_edits)
+    left = staged(left.filter("_x.k = _g").select("_g", "_h", "_e", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line")), "line-left")
     right = members.join(left.select(F.col("_g").alias("_k")).distinct(), "_k", "left_semi").join(texts, "_h").select(
-        F.col("_k").alias("_g"), "_h", F.explode(index_keys(zero, line, max_edits)).alias("_x"), "_line")
-    right = staged(right.filter("_x.k = _g").select("_g", "_h", _rest("_line").alias("_line")), "line-right")
+        F.col("_k").alias("_g"), "_h", "_line")
+    right = staged(_indexed(right, max_edits).filter("_x.k = _g").select("_g", "_h", "_e", _rest("_line").alias("_line")), "line-right")
     found = [settled]
     for turn in range(MOST_SPLITS + 1):
         sizes = right.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
@@ -158,11 +216,11 @@ def near_lines(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_
         large = sizes.filter(F.col("_n") > SMALL_KEY).select("_g")
         if turn == MOST_SPLITS or large.isEmpty():
             break
-        part = right.join(large, "_g", "left_semi").select("_h", "_line", F.explode(index_keys(F.col("_g"), line, max_edits)).alias("_x"))
-        right = staged(part.select(F.col("_x.k").alias("_g"), "_h", _rest("_line").alias("_line")), "line-right")
-        part = left.join(large, "_g", "left_semi").join(found[-1], "_h", "left_anti").select(
-            "_h", "_line", F.explode(probe_keys(F.col("_g"), line, max_edits)).alias("_x")).filter("_x IS NOT NULL")
-        part = part.select(F.col("_x.k").alias("_g"), "_h", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line"))
+        part = _index_rows(right.join(large, "_g", "left_semi"), F.col("_g"), F.col("_e"), _of_edits(_segments, every))
+        right = staged(part.select(F.col("_x.k").alias("_g"), "_h", "_e", _rest("_line").alias("_line")), "line-right")
+        part = left.join(large, "_g", "left_semi").join(found[-1], "_h", "left_anti").select("_g", "_h", "_e", "_line")
+        part = _probe_rows(part, F.col("_g"), _of_edits(probe_codes, every))
+        part = part.select(F.col("_x.k").alias("_g"), "_h", "_e", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line"))
         heads = right.groupBy("_g").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
         part = staged(part.join(heads, "_g").filter(
             F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))), "line-left")
@@ -177,13 +235,13 @@ def _rest(text: str) -> Column:
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int | Sequence[tuple[int, int]] = MAX_EDITS,
     min_chars: int = MIN_CHARS, copy_share: float | None = COPY_SHARE,
 ) -> DataFrame:
     """One row per id that has lines to drop: ``_id, exact, near, drop`` (arrays of line numbers, from 0).
 
     Of equal lines of at least ``min_chars`` characters the first stays, by id, then place.  Of lines within ``max_edits``
-    edits the shortest stays, among equally short ones that with the smallest hash; all others go, which may
+    (by the shorter line's length) the shortest stays, among equally short ones that with the smallest hash; all others go, which may
     reach along a chain of near lines.  A document that would lose over ``copy_share`` of the characters of its
     looked-at lines is a copy rather than a carrier of boilerplate: it is left whole, for the stages that
     compare documents, and has no row here; ``None`` switches this off.
