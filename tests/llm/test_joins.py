@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,22 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert all(t - 1 <= words[n] <= t + most[n] + 1 for n, t in target.items())
 
 
+def test_mix_is_written_in_training_order(spark, tmp_path):
+    """Of equal sources one is read twice; its second reading lies where the schedule puts it."""
+    docs = spark.createDataFrame([(i, "word " * 10, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    places = {}
+    for source, ramp, readings in (("a", 0.5, 2), ("b", 0.0, 1)):
+        dones = [j / (20 * readings) for j in range(20 * readings)]
+        places[source] = [2 * d / (1 + ramp + ((1 + ramp) ** 2 - 4 * ramp * d) ** 0.5) for d in dones]
+    stages.mix_sources(spark, docs, SMALL).write.parquet(f"{tmp_path}/mixed")
+    ids = [i for f in sorted(tmp_path.glob("mixed/part-*.parquet")) for i in pq.read_table(f)["doc_id"].to_pylist()]
+    first = [i for i in ids if i % 2 == 0]
+    assert len(ids) == 60 and first[:20] == first[20:] and len(set(first)) == 20
+    turns = {s: iter(p) for s, p in places.items()}
+    written = [next(turns["ab"[i % 2]]) for i in ids]
+    assert all(x <= y + 1e-9 for x, y in zip(written, written[1:]))
+
+
 def test_stages_on_odd_documents(spark, documents, tmp_path):
     docs = documents.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text"))
     apart = stages.drop_near_duplicates(spark, docs, SMALL)

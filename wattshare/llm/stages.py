@@ -66,16 +66,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix begins it, in training order; those it never begins go."""
-    mixed = staged(mixture(docs.withColumn("_key", row_key()), id_col="_key").select("_key", "copies", "position"), "stage-mix")
-    begun = mixed.groupBy("_key").agg(
-        F.sum("copies").alias("_copies"), F.min("position").alias("_position"), F.count(F.lit(1)).alias("_rows"))
-    begun = staged(begun.filter("_copies > 0").withColumnRenamed("_key", "_begun"), "stage-begun")
+    mixed = staged(mixture(docs.withColumn("_key", row_key()), id_col="_key").select("_key", "positions"), "stage-mix")
+    begun = staged(mixed.select(
+        F.col("_key").alias("_begun"), F.posexplode("positions").alias("_reading", "_position")), "stage-begun")
     keyed = docs.withColumn("_key", row_key())
-    if not begun.filter("_rows > 1").isEmpty():
+    if not mixed.groupBy("_key").count().filter("count > 1").isEmpty():
         keyed = keyed.dropDuplicates(["_key"])
     met = keyed.join(begun, F.col("_key") == F.col("_begun"))
-    return met.withColumn("_reading", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).orderBy(
-        "_reading", "_position", "doc_id").select(*docs.columns)
+    return met.orderBy("_position", "doc_id", "_reading").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
