@@ -1,16 +1,17 @@
 import os
 import sys
-from datetime import date, datetime, timedelta
+from datetime import timedelta
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from support import at  # noqa: E402
 
 from wattshare import schemas  # noqa: E402
 from wattshare.session import get_session  # noqa: E402
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -21,10 +22,6 @@ def spark(tmp_path_factory):
     yield session
 
 
-def at(text: str) -> datetime:
-    return datetime.fromisoformat(text)
-
-
 @pytest.fixture
 def readings_of(spark):
     """Readings from (client, community, utc text, kw); local time is UTC + 1 h."""
@@ -50,18 +47,3 @@ def shares_of(spark):
             full, "community_code string, datetime_utc timestamp_ntz, datetime_local timestamp_ntz, alpha double, "
                   "n_clients bigint, target_date date")
     return make
-
-
-def days(start: str, n: int) -> list[date]:
-    return [date.fromisoformat(start) + timedelta(days=i) for i in range(n)]
-
-
-def by_key(df, *keys):
-    return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in df.collect()}
-
-
-def steady(rows):
-    """Rows in a fixed order with numbers cut to nine digits: sums may differ in the last bits between plans."""
-    def cut(v):
-        return float(f"{v:.9g}") if isinstance(v, float) else v
-    return sorted((tuple(cut(v) for v in r) for r in rows), key=repr)

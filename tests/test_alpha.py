@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, by_key
+from support import at, by_key
 from wattshare.functions.timegrid import hour_start, utc_to_local
 from wattshare.operators import alpha as A
 from wattshare.operators import quality as Q

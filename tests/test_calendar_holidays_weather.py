@@ -4,7 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, by_key, days
+from support import at, by_key, days
 from wattshare.functions.rowwise import clip, ratio, row_mean, safe_log
 from wattshare.operators import calendar as C
 from wattshare.operators import holidays as H

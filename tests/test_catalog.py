@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import DATA
+from support import DATA
 from wattshare.catalog.base import REGISTRY
 
 USUAL = [

@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA, at, by_key, days, steady
+from support import DATA, at, by_key, days, steady
 from wattshare import features
 from wattshare.operators import baseline as B
 from wattshare.operators import diagnostics as D

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, by_key
+from support import at, by_key
 from wattshare.operators import panel as P
 from wattshare.operators import quality as Q
 

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, by_key
+from support import at, by_key
 from wattshare import schemas
 from wattshare.session import shared_dir, staged, staging
 from wattshare.sources import tables
