@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattshare.llm import sql as oracles
+from wattshare.llm.collocations import collocations
+from wattshare.llm.common import SPACE_RUN
 from wattshare.llm.exact_dedup import exact_duplicates, text_digests
 from wattshare.llm.jaccard_join import near_duplicates
 from wattshare.llm.licenses import license_passages
 from wattshare.llm.line_dedup import repeated_lines, without_lines
 from wattshare.llm.mixing import mixture
 from wattshare.llm.packing import packed_pieces
+from wattshare.llm.periodic_runs import periodic_runs
 from wattshare.llm.personal_data import BASE_KINDS, fit_on, personal_data
 from wattshare.llm.secret_scan import secrets
+from wattshare.llm.sharding import sharded
 from wattshare.llm.toxicity import fit_lexicon, held_out, score_toxicity
 from wattshare.llm.vector_dedup import near_vectors
 from wattshare.session import staged
@@ -131,3 +135,52 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), "kept")
+
+
+@query(oracles.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, by the checksum of their id, with a periodic tail.
+
+    With h the CRC-32 of the decimal id and g = floor(h / 10), a document with h % 10 = 0 and n > 0 words repeats the
+    p = 1 + floor((n - a) / (3 + g % 8)) words from word a = g % n on to its end.  A null id plants nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACE_RUN, -1), lambda w: w != "")
+
+    def tail(d: Column) -> Column:
+        n, g = F.size(d["w"]), F.floor(d["h"] / 10)
+        at = F.struct(d["w"].alias("w"), F.pmod(g, n).cast("int").alias("a"), F.pmod(g, F.lit(8)).cast("int").alias("k"))
+        bound = F.transform(F.array(at), lambda x: F.struct(
+            x["w"].alias("w"), x["a"].alias("a"), (1 + F.floor((F.size(x["w"]) - x["a"]) / (3 + x["k"]))).cast("int").alias("p")))
+        return F.get(F.transform(bound, lambda x: F.array_join(F.transform(x["w"], lambda w, i: F.when(
+            i < x["a"], w).otherwise(F.get(x["w"], x["a"] + F.pmod(i - x["a"], x["p"])))), " ")), F.lit(0))
+
+    # Words are bound once per document; named directly inside the inner step they would be split again for each word.
+    bound = F.transform(F.array(F.struct(words.alias("w"), h.alias("h"))), lambda d: F.when(
+        F.size(d["w"]) > 0, tail(d)).otherwise(""))
+    planted = F.get(bound, F.lit(0))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.get(F.sort_array(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))), asc=False), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    start, length, period = -longest["start"], longest["length"], -longest["period"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharded(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

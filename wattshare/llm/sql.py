@@ -35,3 +35,34 @@ SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(size, words - begun)) + greatest(0, least(size, words - source_size - begun)) AS BIGINT) AS taken
 FROM r
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+f AS (
+  SELECT lang, k, g, count(*)::HUGEINT AS f
+  FROM (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g
+        FROM pieces, (VALUES (1), (2), (3)) AS t(k))
+  GROUP BY ALL),
+sizes AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT o.lang, o.g, o.k, o.f AS a, c AS cut, l.f AS l, r.f AS r, (1000000::HUGEINT * o.f * o.f) // (l.f * r.f) AS score
+  FROM often o JOIN (VALUES (1), (2)) AS t(c) ON c < o.k
+  JOIN f l ON l.lang = o.lang AND l.g = array_to_string(o.w[1:c], ' ')
+  JOIN f r ON r.lang = o.lang AND r.g = array_to_string(o.w[c + 1:o.k], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, g, max(f) AS most
+  FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g FROM often WHERE k = 3)
+  GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.g = w.g AND w.k = 2
+  WHERE i.most IS NULL OR 100 * i.most < 50 * w.a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS BIGINT) AS rank, g AS phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN sizes USING (lang)
+QUALIFY rank <= 2000
+"""
