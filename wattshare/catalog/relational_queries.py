@@ -12,6 +12,7 @@ from wattshare.functions.timegrid import days_later, epoch_seconds, hour_start,
 from wattshare.operators import alpha as A
 from wattshare.operators import diagnostics, holidays, quality
 from wattshare.operators.panel import client_energy, null_rate, reclassify_large_clients, top_clients, with_new_flag
+from wattshare.operators.quantiles import exact_quantiles
 from wattshare.operators.validation import assign_folds
 from wattshare.operators.weather import attach_weather
 from wattshare.plans.dataset import first_date, history_filter
@@ -417,5 +418,6 @@ def _(spark, sf):
 @query("percentile_stddev_f12", "community_code:s, median_kw:f2, std_kw:f6", "F12",
        "SELECT community_code, quantile_disc(active_kw, 0.5) AS median_kw, stddev_samp(active_kw) AS std_kw FROM readings_d GROUP BY 1")
 def _(spark, sf):
-    return Daily(spark, sf).readings.groupBy("community_code").agg(
-        F.percentile_approx("active_kw", 0.5, 1_000_000).alias("median_kw"), F.stddev_samp("active_kw").alias("std_kw"))
+    rows = staged(Daily(spark, sf).readings.select("community_code", "active_kw"), "readings-d")
+    middle = exact_quantiles(rows, ["community_code"], "active_kw", [0.5]).select("community_code", F.col("value").alias("median_kw"))
+    return rows.groupBy("community_code").agg(F.stddev_samp("active_kw").alias("std_kw")).join(middle, "community_code")

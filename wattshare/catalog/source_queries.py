@@ -103,7 +103,7 @@ def _(spark, sf):
     rows = [(i, *f) for i, f in enumerate(FOLDS)]
     folds = tables.rows_as_table(spark, rows, "fold int, train_end string, valid_start string, valid_end string")
     folds = folds.select("fold", *[F.col(c).cast("date").alias(c) for c in ("train_end", "valid_start", "valid_end")])
-    return assign_fold_table(base(spark, sf), folds).groupBy("fold", "community_code").agg(
+    return assign_fold_table(base(spark, sf), folds, valid_only=True).groupBy("fold", "community_code").agg(
         F.count(F.lit(1)).alias("n_rows"))
 
 

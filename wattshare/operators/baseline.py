@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattshare.functions.rowwise import clip, demand_share, safe_log
-from wattshare.operators.alpha import ENTITY, positional_lag, with_lags
+from wattshare.operators.alpha import ENTITY, positional_lags, with_lags
 
 
 def with_baseline(df: DataFrame, floor: float | None = None) -> DataFrame:
@@ -25,8 +25,8 @@ def with_baseline_d2(
     Lags are exact in time; ``positional`` counts rows instead, right only on gap-free series.
     """
     if positional:
-        lagged = positional_lag(df, "alpha", 7 * slots_per_day, "alpha_d7", entity)
-        lagged = positional_lag(lagged, "n_clients", 2 * slots_per_day, "n_clients_d2", entity)
+        lagged = positional_lags(df, {
+            "alpha_d7": ("alpha", 7 * slots_per_day), "n_clients_d2": ("n_clients", 2 * slots_per_day)}, entity)
     else:
         lagged = with_lags(df, {"alpha_d7": ("alpha", 7), "n_clients_d2": ("n_clients", 2)}, entity)
     return lagged.withColumn("baseline_kw", F.col("alpha_d7") * F.col("n_clients_d2") * F.col("D_mw"))
@@ -68,6 +68,16 @@ def with_log_context(df: DataFrame) -> DataFrame:
         "baseline_log": safe_log("baseline_kw")})
 
 
+def with_reversion(df: DataFrame, levels: Sequence[str], lag: str = "alpha_lag_7d") -> DataFrame:
+    """``rev_<level>``: log ratio of each known level of the share to the lag that the baseline repeats.
+
+    A week-old share far from its level is expected to come back to it; a linear learner can use that.
+    """
+    def ratio_of(level):
+        return F.when((F.col(level) > 0) & (F.col(lag) > 0), F.ln(F.col(level) / F.col(lag)))
+    return df.withColumns({f"rev_{c}": ratio_of(c) for c in levels})
+
+
 def training_rows(df: DataFrame, floor: float = 1.0) -> DataFrame:
     """Rows with a weekly lag, their floored baseline, and the log-ratio target ``y_log``."""
     lagged = with_baseline(df.dropna(subset=["alpha_lag_7d"]), floor)

@@ -122,6 +122,21 @@ def correlations(df: DataFrame, columns: Sequence[str], label: str = "y") -> Dat
     return wide.unpivot([], list(columns), "feature", "corr").orderBy(F.desc_nulls_last("corr"), "feature")
 
 
+def association_importance(
+    df: DataFrame, columns: Sequence[str], label: str, by: Sequence[str] = ("community_code",),
+) -> DataFrame:
+    """``by, feature, weight``: size of each column's correlation with the label in every group, in one pass.
+
+    Rows count where both are known; a column or label without spread has weight 0.
+    """
+    def size_of(c):
+        x = F.when(F.col(label).isNotNull(), F.col(c).cast("double"))
+        y = F.when(F.col(c).isNotNull(), F.col(label).cast("double"))
+        found = F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+        return F.coalesce(found, F.lit(0.0)).alias(c)
+    return df.groupBy(*by).agg(*[size_of(c) for c in columns]).unpivot(list(by), list(columns), "feature", "weight")
+
+
 def top_per_group(
     df: DataFrame, by: Sequence[str], order: Sequence, k: int, spread: str | None = None, parts: int = 64,
 ) -> DataFrame:

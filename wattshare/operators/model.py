@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -91,23 +92,41 @@ class Boosted:
     """Learner: one pooled tree ensemble per fold over the named features, the entity among the categories.
 
     ``numeric`` features that the rows lack are left out, so that one list serves with and without weather.  Folds are
-    few by their nature and are fitted one after the other, each from the same stored rows.
+    few by their nature and are fitted side by side, each from the same stored rows.  With ``stop_days`` the last days of
+    each fold's own train rows, which end before its purge, decide when its trees stop; they are not learned from.
     """
 
     numeric: Sequence[str]
     categorical: Sequence[str] = ("community_code",)
     options: Mapping[str, object] = field(default_factory=dict)
+    stop_days: int | None = None
+    side_by_side: int = 3
 
     def fit(self, train: DataFrame, target: str, scope: Sequence[str]) -> FoldModels:
         numeric = [c for c in self.numeric if c in train.columns]
         categorical = [c for c in self.categorical if c in train.columns]
-        extra = [c for c in (self.options.get("weight"), "target_date" if self.options.get("stop_date") else None) if c]
+        dated = self.stop_days or self.options.get("stop_date")
+        extra = [c for c in (self.options.get("weight"), "target_date" if dated else None) if c]
         rows = staged(train.select(*dict.fromkeys([*(c for c in scope if c == "fold"), *numeric, *categorical, target, *extra])), "learner")
+        ends = {}
+        if "fold" in scope:
+            # A row per fold, which are few.
+            last = F.max("target_date") if self.stop_days else F.lit(None)
+            ends = {r["fold"]: r["d"] for r in rows.groupBy("fold").agg(last.alias("d")).orderBy("fold").collect()}
+        elif self.stop_days:
+            ends = {None: rows.agg(F.max("target_date")).first()[0]}
+
+        def one(fold) -> BoostedModel:
+            options = dict(self.options)
+            if self.stop_days:
+                options["stop_date"] = str(ends[fold] - timedelta(days=self.stop_days - 1))
+            own = rows if fold is None else rows.filter(F.col("fold") == fold)
+            return fit_gbt(own, target, numeric, categorical, stage=False, **options)
+
         if "fold" not in scope:
-            return FoldModels({None: fit_gbt(rows, target, numeric, categorical, stage=False, **self.options)})
-        folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-        return FoldModels({f: fit_gbt(rows.filter(F.col("fold") == f), target, numeric, categorical, stage=False, **self.options)
-                           for f in folds})
+            return FoldModels({None: one(None)})
+        with ThreadPoolExecutor(self.side_by_side) as pool:
+            return FoldModels(dict(zip(ends, pool.map(one, ends))))
 
 
 @dataclass

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattshare.functions.moments import mean_of, merged, moments, std_of
 from wattshare.functions.rowwise import flag, ratio
+from wattshare.session import staged
 
 KEYS = ["community_code", "datetime_utc"]
 
@@ -22,11 +24,6 @@ def _clients_in_unique_rows(n_rows: str) -> Column:
     return F.when(promoted, F.least(n_rows, F.lit(1).cast("bigint"))).otherwise(F.col(n_rows))
 
 
-def _count_clients(readings: DataFrame) -> DataFrame:
-    # Reads n_rows on purpose: the same shuffle of client slots then serves new_clients as well.
-    return client_slots(readings).groupBy(*KEYS).agg(F.count_if(F.col("n_rows") > 0).alias("n_clients"))
-
-
 def first_seen(readings: DataFrame) -> DataFrame:
     """First stamp of every client."""
     return readings.groupBy("client_id").agg(F.min("datetime_utc").alias("first_utc"))
@@ -45,53 +42,126 @@ def duplicate_readings(readings: DataFrame) -> DataFrame:
     return client_slots(readings).filter(F.col("n_rows") > 1)
 
 
-def new_clients(readings: DataFrame, unique_readings: bool = False) -> DataFrame:
-    """Readings per (community, slot) that are their client's first ever.
+def new_clients(readings: DataFrame) -> DataFrame:
+    """Readings per (community, slot) that are their client's first ever, where a client reads once per community and slot.
 
     The readings themselves are never joined or windowed per client: the earliest stamp of each
     (client, community) is a combinable aggregate, and only that small table is compared
     across communities.  A client holding a third of all readings costs nothing extra.
     """
-    if unique_readings:
-        rows, count_at_first = readings, F.lit(1)
-    else:
-        rows, count_at_first = client_slots(readings), F.min_by("n_rows", "datetime_utc")
-    earliest = rows.groupBy("client_id", "community_code").agg(
-        F.min("datetime_utc").alias("datetime_utc"), count_at_first.alias("n_rows"))
+    earliest = readings.groupBy("client_id", "community_code").agg(F.min("datetime_utc").alias("datetime_utc"))
     # At most one row per community in a client's window, whatever its number of readings.
     overall = F.min("datetime_utc").over(Window.partitionBy("client_id"))
     return (
         earliest.withColumn("first_utc", overall)
         .filter(F.col("datetime_utc") == F.col("first_utc"))
-        .groupBy(*KEYS).agg(F.sum("n_rows").alias("n_new_clients"))
+        .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_new_clients"))
     )
 
 
+# Clients of a block, one bit each in eight 64-bit words.
+BLOCK_CLIENTS, WORDS = 512, 8
+#: Clients up to which their numbers are broadcast to the readings; beyond, Spark sizes the join.
+NUMBERED_ROWS = 500_000
+#: Clients numbered by one task.
+NUMBERED_TOGETHER = 50_000
+
+
+def client_numbers(readings: DataFrame, together: int = NUMBERED_TOGETHER) -> DataFrame:
+    """``client_id, first_utc, _number``: dense numbers from 0, clients of one home community side by side; stored.
+
+    One combinable aggregation over the readings; the numbers are places within parts of a community plus the
+    sums of the parts before, so no task sees all clients.  Home is the least community a client reads in: its clients
+    then share few blocks.
+    """
+    clients = staged(readings.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(
+        F.coalesce(F.min("community_code"), F.lit("")).alias("_home"), F.min("datetime_utc").alias("first_utc")), "clients")
+    parts = clients.count() // together + 1
+    parted = clients.withColumn("_part", F.pmod(F.xxhash64("client_id"), F.lit(parts)))
+    # A row per community and part.
+    before = Window.orderBy("_home", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parted.groupBy("_home", "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_home", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_home", "_part").orderBy("client_id")) - 1
+    return staged(parted.withColumn("_place", place).join(begins, ["_home", "_part"]).select(
+        "client_id", "first_utc", (F.col("_begin") + F.col("_place")).alias("_number")), "client-numbers")
+
+
+def _bits() -> list[Column]:
+    """Aggregates: the bits of a block's clients, word by word."""
+    word = F.expr(f"CAST(_number % {BLOCK_CLIENTS} DIV 64 AS INT)")
+    bit = F.expr("shiftleft(1L, CAST(_number % 64 AS INT))")
+    return [F.bit_or(F.when(word == w, bit)).alias(f"_w{w}") for w in range(WORDS)]
+
+
+def client_blocks(readings: DataFrame, numbers: DataFrame, by: list[str], *stats: Column) -> DataFrame:
+    """A row per key and block of clients: a bit for each client that reads there, and ``stats``.
+
+    Bits combine by OR within tasks, before the shuffle and after it; a client seen many times costs nothing.  Readings
+    without client are counted in the block NULL.
+    """
+    few = numbers.count() <= NUMBERED_ROWS
+    numbered = readings.join(F.broadcast(numbers) if few else numbers, "client_id", "left")
+    block = F.expr(f"_number DIV {BLOCK_CLIENTS}").alias("_block")
+    return numbered.groupBy(*by, block).agg(*_bits(), *stats)
+
+
+def _clients_in_blocks() -> Column:
+    return F.sum(sum((F.bit_count(F.coalesce(f"_w{w}", F.lit(0).cast("bigint"))) for w in range(WORDS)), F.lit(0))).cast("bigint")
+
+
+def distinct_clients(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Exact distinct clients per ``by``, columns of ``blocks``: per day or community from blocks per slot."""
+    wider = blocks.groupBy(*by, "_block").agg(*[F.bit_or(f"_w{w}").alias(f"_w{w}") for w in range(WORDS)])
+    return wider.groupBy(*by).agg(_clients_in_blocks().alias("n_clients"))
+
+
+def _panel_from_blocks(readings: DataFrame, median_accuracy: int, numbers: DataFrame | None = None) -> DataFrame:
+    """The panel of readings that may repeat: clients by bits, everything else merged from the blocks."""
+    numbers = client_numbers(readings) if numbers is None else numbers
+    kw = F.col("active_kw").cast("double")
+    blocks = client_blocks(
+        readings, numbers, KEYS, F.min("datetime_local").alias("_local"), F.count_if(kw.isNull()).alias("_missing"),
+        F.count_if(F.col("datetime_utc") == F.col("first_utc")).alias("_new"), F.sum("active_kw").alias("_total"),
+        moments("active_kw").alias("_moments"), F.min("active_kw").alias("_min"), F.max("active_kw").alias("_max"),
+        F.kll_sketch_agg_double(kw, F.lit(median_accuracy)).alias("_sketch"))
+    slots = blocks.groupBy(*KEYS).agg(
+        F.min("_local").alias("datetime_local"), _clients_in_blocks().alias("n_clients"), F.sum("_missing").alias("n_missing"),
+        F.sum("_new").alias("n_new_clients"), F.sum("_total").alias("total_kw"),
+        # A block per 512 clients of the community.
+        merged(F.collect_list("_moments")).alias("_m"), F.min("_min").alias("min_kw"), F.max("_max").alias("max_kw"),
+        F.kll_merge_agg_double("_sketch", F.lit(median_accuracy)).alias("_sketch"))
+    m = F.col("_m")
+    median = F.when(m["n"] > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(0.5)))
+    return slots.withColumns({"mean_kw": mean_of(m), "std_kw": std_of(m), "median_kw": median})
+
+
 def build_panel(readings: DataFrame, unique_readings: bool = False, median_accuracy: int = 10_000) -> DataFrame:
     """Aggregate readings to one row per (community, UTC slot).
 
-    Null readings are counted, never imputed.  All slot statistics combine map-side.  Counting
-    distinct clients is the one thing that cannot, so it runs as its own branch that shuffles three
-    thin columns instead of carrying every aggregate buffer per client; a source known to hold
-    one reading per client, community and slot skips it with ``unique_readings=True``.
+    Null readings are counted, never imputed.  All slot statistics combine map-side.  A source known to hold
+    one reading per client, community and slot (``unique_readings``) counts rows; otherwise distinct clients
+    are counted exactly by bits over dense client numbers, in the same pass as the statistics.
     """
-    stats = readings.groupBy(*KEYS).agg(
-        F.min("datetime_local").alias("datetime_local"),
-        F.count("client_id").alias("n_rows"),
-        F.count_if(F.col("active_kw").isNull()).alias("n_missing"),
-        F.sum("active_kw").alias("total_kw"),
-        F.avg("active_kw").alias("mean_kw"),
-        F.percentile_approx("active_kw", 0.5, median_accuracy).alias("median_kw"),
-        F.stddev_samp("active_kw").alias("std_kw"),
-        F.min("active_kw").alias("min_kw"),
-        F.max("active_kw").alias("max_kw"),
-    )
     if unique_readings:
-        counted = stats.withColumn("n_clients", _clients_in_unique_rows("n_rows"))
+        stats = readings.groupBy(*KEYS).agg(
+            F.min("datetime_local").alias("datetime_local"),
+            F.count("client_id").alias("n_rows"),
+            F.count_if(F.col("active_kw").isNull()).alias("n_missing"),
+            F.sum("active_kw").alias("total_kw"),
+            F.avg("active_kw").alias("mean_kw"),
+            F.percentile_approx("active_kw", 0.5, median_accuracy).alias("median_kw"),
+            F.stddev_samp("active_kw").alias("std_kw"),
+            F.min("active_kw").alias("min_kw"),
+            F.max("active_kw").alias("max_kw"),
+        ).withColumn("n_clients", _clients_in_unique_rows("n_rows"))
+        joined = stats.join(new_clients(readings), KEYS, "left")
     else:
-        counted = stats.join(_count_clients(readings), KEYS, "left").withColumn(
-            "n_clients", F.coalesce("n_clients", F.lit(0)))
-    joined = counted.join(new_clients(readings, unique_readings), KEYS, "left")
+        joined = _panel_from_blocks(readings, median_accuracy)
+    return _panel_columns(joined)
+
+
+def _panel_columns(joined: DataFrame) -> DataFrame:
     reporting = F.col("n_clients") - F.col("n_missing")
     return joined.select(
         *KEYS, "datetime_local", "n_clients", "n_missing",
@@ -105,15 +175,17 @@ def build_panel(readings: DataFrame, unique_readings: bool = False, median_accur
 
 def build_panel_min(readings: DataFrame, unique_readings: bool = False) -> DataFrame:
     """Only what the share needs: local stamp, total and client count."""
-    stats = readings.groupBy(*KEYS).agg(
-        F.min("datetime_local").alias("datetime_local"),
-        F.sum("active_kw").alias("total_kw"),
-        F.count("client_id").alias("n_rows"),
-    )
     if unique_readings:
+        stats = readings.groupBy(*KEYS).agg(
+            F.min("datetime_local").alias("datetime_local"),
+            F.sum("active_kw").alias("total_kw"),
+            F.count("client_id").alias("n_rows"),
+        )
         return stats.withColumn("n_clients", _clients_in_unique_rows("n_rows")).drop("n_rows")
-    return stats.drop("n_rows").join(_count_clients(readings), KEYS, "left").withColumn(
-        "n_clients", F.coalesce("n_clients", F.lit(0)))
+    blocks = client_blocks(
+        readings, client_numbers(readings), KEYS, F.min("datetime_local").alias("_local"), F.sum("active_kw").alias("_total"))
+    return blocks.groupBy(*KEYS).agg(
+        F.min("_local").alias("datetime_local"), F.sum("_total").alias("total_kw"), _clients_in_blocks().alias("n_clients"))
 
 
 def client_energy(readings: DataFrame, by: tuple[str, ...] = ("client_id",)) -> DataFrame:

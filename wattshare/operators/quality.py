@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattshare.functions.rowwise import demand_share, flag, ratio
-from wattshare.functions.timegrid import SLOT_SECONDS, days_later, epoch_seconds, is_clock
+from wattshare.functions.timegrid import DAY_SECONDS, SLOT_SECONDS, days_later, epoch_seconds, is_clock
 from wattshare.operators.panel import KEYS
 
 TOLERANCE = 1e-6
@@ -55,7 +55,48 @@ def slot_grid(panel: DataFrame, slot_minutes: int = 15) -> DataFrame:
     return days.select("community_code", F.explode(slots).alias("datetime_utc"))
 
 
+def gap_intervals(panel: DataFrame, slot_minutes: int = 15, block_days: int = 7) -> DataFrame:
+    """Stretches of missing slots: ``community_code, gap_start, gap_end`` (first and last missing) ``, n_slots``.
+
+    The grid is counted from a community's first stamp.  Within a block of days each present slot looks at the one
+    before it; a block is then known by its first and last slot, and the gaps at the borders show in that small
+    table.  Nothing is generated for slots that are present, and no window holds more than a block or a community's blocks.
+    Stamps off the grid fill no slot; a last one past the grid lets it end there.
+    """
+    step = int(slot_minutes) * 60
+    bounds = panel.groupBy("community_code").agg(F.min("datetime_utc").alias("_a"), F.max("datetime_utc").alias("_b"))
+    past = epoch_seconds("datetime_utc") - epoch_seconds("_a")
+    placed = panel.select(*KEYS).join(bounds, "community_code").filter(past % step == 0).select(
+        "community_code", "_a", F.expr(f"(unix_timestamp(datetime_utc) - unix_timestamp(_a)) DIV {step}").alias("_i"))
+    block = F.floor(F.col("_i") * step / F.lit(block_days * DAY_SECONDS))
+    blocked = placed.withColumn("_block", block)
+    inner = blocked.withColumn("_before", F.lag("_i").over(Window.partitionBy("community_code", "_block").orderBy("_i")))
+    edges = blocked.groupBy("community_code", "_block").agg(F.min("_i").alias("_first"), F.max("_i").alias("_i"))
+    # A row per community and block; where the grid ends past the last slot, one more.
+    ends = bounds.select("community_code", F.expr(
+        f"(unix_timestamp(_b) - unix_timestamp(_a)) DIV {step} + 1").alias("_first")).withColumn("_block", F.lit(None).cast("bigint"))
+    order = Window.partitionBy("community_code").orderBy("_first")
+    border = edges.unionByName(ends, allowMissingColumns=True).withColumn("_before", F.lag("_i").over(order)).select(
+        "community_code", F.col("_first").alias("_i"), "_before")
+    found = inner.select("community_code", "_i", "_before").unionByName(border).filter(F.col("_i") > F.col("_before") + 1)
+    def stamp(i):
+        return F.col("_a") + F.make_dt_interval(secs=i * step)
+    return found.join(bounds, "community_code").select(
+        "community_code", stamp(F.col("_before") + 1).alias("gap_start"), stamp(F.col("_i") - 1).alias("gap_end"),
+        (F.col("_i") - F.col("_before") - 1).alias("n_slots"))
+
+
 def grid_gaps(panel: DataFrame, slot_minutes: int = 15) -> DataFrame:
+    """Every missing slot between a community's first and last: the gaps, cut into days and then into slots."""
+    step, day = F.expr(f"INTERVAL '{int(slot_minutes)}' MINUTE"), F.expr("INTERVAL '1' DAY")
+    days = gap_intervals(panel, slot_minutes).select(
+        "community_code", "gap_end", F.explode(F.sequence("gap_start", "gap_end", day)).alias("_d"))
+    last = F.least(F.col("gap_end"), F.col("_d") + day - step)
+    return days.select("community_code", F.explode(F.sequence(F.col("_d"), last, step)).alias("datetime_utc"))
+
+
+def grid_gaps_by_join(panel: DataFrame, slot_minutes: int = 15) -> DataFrame:
+    """The same by unrolling the whole grid: kept to cross-check the intervals."""
     return slot_grid(panel, slot_minutes).join(panel.select(*KEYS), KEYS, "left_anti")
 
 

@@ -37,11 +37,35 @@ def assign_folds(df: DataFrame, folds: Sequence[tuple[str, str, str]], date: str
     return df.withColumn("_m", F.explode(F.array_compact(F.array(*roles)))).select(*df.columns, "_m.fold", "_m.role")
 
 
-def assign_fold_table(df: DataFrame, folds: DataFrame, date: str = "target_date") -> DataFrame:
-    """As ``assign_folds`` for bounds held in a table: expanded to days and joined by equality."""
-    day = F.explode(F.sequence("valid_start", F.date_sub("valid_end", 1)))
-    days = folds.filter(F.col("valid_start") < F.col("valid_end")).select("fold", day.alias(date))
-    return df.join(days, date)
+#: Days of a bin of the range join.
+BIN_DAYS = 32
+
+
+def assign_fold_table(
+    df: DataFrame, folds: DataFrame, date: str = "target_date", bin_days: int = BIN_DAYS, valid_only: bool = False,
+) -> DataFrame:
+    """As ``assign_folds`` for bounds held in a table ``fold, train_end, valid_start, valid_end``, however many.
+
+    Intervals meet rows in bins of days: an interval has a row for each bin it touches, a row of ``df`` lies in one, and the
+    exact test is part of that join, so no nested loop and no row per day of a window.  Train rows
+    of a fold begin with the first day of ``df``.  Rows come once per fold and role they belong to.
+    """
+    valid = folds.select("fold", F.lit("valid").alias("role"), F.col("valid_start").alias("_from"), F.col("valid_end").alias("_until"))
+    spans = valid
+    if not valid_only:
+        first = df.agg(F.min(date).alias("_from"))
+        train = folds.select("fold", F.lit("train").alias("role"), F.col("train_end").alias("_until"))
+        # One row, the first day.
+        spans = valid.unionByName(train.join(F.broadcast(first)))
+    def bin_of(day):
+        return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / F.lit(bin_days))
+    last = F.date_sub("_until", 1)
+    bins = spans.filter(F.col("_from") < F.col("_until")).withColumn(
+        "_bin", F.explode(F.sequence(bin_of(F.col("_from")), bin_of(last))))
+    binned = df.withColumn("_bin", bin_of(F.col(date)))
+    day = binned[date]
+    met = binned.join(bins, (binned["_bin"] == bins["_bin"]) & (day >= bins["_from"]) & (day < bins["_until"]))
+    return met.select(*[binned[c] for c in df.columns], "fold", "role")
 
 
 def day_folds(days: DataFrame, n_splits: int = 5, gap_days: int = 14, date: str = "target_date") -> DataFrame:

@@ -76,6 +76,21 @@ def save_features(df: DataFrame, target: str) -> None:
     writer.parquet(target) if "/" in target else writer.saveAsTable(target)
 
 
+def save_days(df: DataFrame, path: str, day: str = "target_date") -> None:
+    """Write whole days to a table partitioned by ``day``: days that ``df`` holds are replaced, all others stay.
+
+    A rerun of one day rewrites one folder, and running it twice gives the same table.
+    """
+    df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, sort: Sequence[str] = ()) -> None:
+    """Write a catalogue table whose rows lie in ``buckets`` by ``keys``: joins, groups and windows on these read it without an exchange."""
+    rows = df.repartition(buckets, *keys)
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys)
+    (writer.sortBy(*sort) if sort else writer).saveAsTable(name)
+
+
 def load_features(spark: SparkSession, source: str) -> DataFrame:
     return _open(spark, source)
 
