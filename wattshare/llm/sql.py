@@ -38,14 +38,16 @@ FROM r
 
 COLLOCATIONS = r"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
-  FROM documents),
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(t, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+words AS (
+  SELECT lang, w, lead(w, 1) OVER s AS w2, lead(w, 2) OVER s AS w3
+  FROM (SELECT lang, piece, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM pieces) WINDOW s AS (PARTITION BY piece ORDER BY i)),
 f AS (
-  SELECT lang, k, g, count(*)::HUGEINT AS f
-  FROM (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS g
-        FROM pieces, (VALUES (1), (2), (3)) AS t(k))
-  GROUP BY ALL),
+  SELECT lang, 1 AS k, w AS g, count(*)::HUGEINT AS f FROM words GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2, count(*) FROM words WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM words WHERE w3 IS NOT NULL GROUP BY ALL),
 sizes AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
 often AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
 cuts AS (
