@@ -122,6 +122,29 @@ def mixture(
         F.slice(F.array(*[start(k) for k in range(most)]), F.lit(1), copies).alias("positions"))
 
 
+def with_ranks(mixed: DataFrame, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``mixed`` with ``ranks``: the place of each reading of a row among all readings in training order, gapless from 0.
+
+    Readings are range-sorted by position in buckets of [0, 1]; where a bucket begins is the sum of those before.
+    Ties of position go by id, null first, then by reading; rows equal in all that take either place.
+    """
+    rows = staged(mixed.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    begun = rows.select("_row", F.col(id_col).alias("_id"), F.posexplode("positions").alias("_reading", "_position"))
+    buckets = max(1, -(-rows.agg(F.sum("copies")).first()[0] // bucket_rows)) if not rows.isEmpty() else 1
+    placed = begun.withColumn("_bucket", F.floor(F.col("_position") * buckets))
+    # A row per bucket.
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begins = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    order = Window.partitionBy("_bucket").orderBy("_position", "_id", "_reading")
+    ranked = placed.withColumn("_place", F.row_number().over(order) - 1).join(begins, "_bucket").select(
+        "_row", F.struct("_reading", (F.col("_begin") + F.col("_place")).cast("long").alias("rank")).alias("_r"))
+    # No more than the times a row is read.
+    ranks = ranked.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list("_r")), lambda r: r["rank"]).alias("ranks"))
+    empty = F.array().cast("array<bigint>")
+    return rows.join(ranks, "_row", "left").select(*mixed.columns, F.coalesce("ranks", empty).alias("ranks"))
+
+
 def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows the mix takes, each as often as begun: ``reading`` from 1, ``position`` of that reading, range-sorted by it."""
     begun = mixed.select(*[c for c in mixed.columns if c not in ("position", "positions")],

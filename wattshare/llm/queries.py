@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from wattshare.llm import sql as oracles
 from wattshare.llm.collocations import collocations
 from wattshare.llm.common import SPACE_RUN
-from wattshare.llm.exact_dedup import exact_duplicates, text_digests
+from wattshare.llm.exact_dedup import exact_duplicates
 from wattshare.llm.jaccard_join import near_duplicates
 from wattshare.llm.licenses import license_passages
 from wattshare.llm.line_dedup import repeated_lines, without_lines
-from wattshare.llm.mixing import mixture
+from wattshare.llm.mixing import mixture, with_ranks
 from wattshare.llm.packing import packed_pieces
 from wattshare.llm.periodic_runs import periodic_runs
 from wattshare.llm.personal_data import BASE_KINDS, fit_on, personal_data
@@ -67,9 +67,8 @@ def _span_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
 
 @query(oracles.EXACT)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = exact_duplicates(docs)
-    return found.join(text_digests(docs), "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact_duplicates(table(spark, sf_dir, "documents"), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 @query()
@@ -99,10 +98,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped = staged(repeated_lines(docs, copy_share=None), "op5-dropped")
     counts = dropped.select(
         F.col("_id").alias("doc_id"), F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"))
+    counts = counts.withColumnRenamed("doc_id", "_counted")
     cleaned = without_lines(docs.select("doc_id", "text"), dropped)
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     return cleaned.select("doc_id", lines.alias("n_lines_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).join(
-        counts, "doc_id", "left").select(
+        counts, F.col("doc_id").eqNullSafe(F.col("_counted")), "left").select(
         "doc_id", "n_lines_kept", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "text_sha256")
 
@@ -127,8 +127,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.MIXING)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixture(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = with_ranks(mixture(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"),
+                        F.array_join("ranks", ",").alias("train_ranks"))
 
 
 @query()

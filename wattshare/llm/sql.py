@@ -15,7 +15,8 @@ WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * CAST(sum(size) AS DOUBLE) AS cap,
-             [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+             [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight,
+             [0.5::DOUBLE, 0.0, -0.5][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS ramp
       FROM d GROUP BY source),
 fill(share, round) AS (
   SELECT 0.0::DOUBLE, 0
@@ -27,13 +28,21 @@ fill(share, round) AS (
            / sum(weight) FILTER (cap > f.share * weight), f.share) AS share FROM s) n
   WHERE f.round < 40),
 p AS (SELECT s.*, least(cap, (SELECT max(share) FROM fill) * weight) AS target FROM s),
-r AS (SELECT d.doc_id, d.size, p.source_size, p.target, CAST(round(p.target) AS BIGINT) AS words,
+r AS (SELECT d.doc_id, d.size, p.source_size, p.target, CAST(round(p.target) AS BIGINT) AS words, p.ramp,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, words - begun)) + greatest(0, least(size, words - source_size - begun)) AS BIGINT) AS taken
-FROM r
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+-- Every reading a row may have: words it gives, and where the integrated schedule w(t) = 1 + ramp (1 - 2 t) has reached its start.
+readings AS (
+  SELECT *, CASE WHEN ramp = 0 THEN done ELSE 2 * done / (1 + ramp + sqrt(greatest(0.0, (1 + ramp) * (1 + ramp) - 4 * ramp * done))) END AS position
+  FROM (SELECT doc_id, k, ramp, greatest(0, least(size, words - k * source_size - begun)) AS gives,
+               CASE WHEN words > 0 THEN least(1.0::DOUBLE, CAST(begun + k * source_size AS DOUBLE) / words) ELSE 1.0::DOUBLE END AS done
+        FROM r, (VALUES (0), (1)) AS t(k))),
+ranked AS (SELECT doc_id, k, row_number() OVER (ORDER BY position, doc_id, k) - 1 AS rank FROM readings WHERE gives > 0)
+SELECT r.doc_id, r.size, r.source_size, r.target, CAST(g.taken AS BIGINT) AS taken, round(g.position, 9) AS position,
+       coalesce(k.ranks, '') AS train_ranks
+FROM r JOIN (SELECT doc_id, sum(gives) AS taken, min(position) FILTER (k = 0) AS position FROM readings GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY k) AS ranks FROM ranked GROUP BY doc_id) k USING (doc_id)
 """
 
 COLLOCATIONS = r"""
