@@ -1,6 +1,7 @@
 """Exact dedup, packing and mixing against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -27,7 +28,9 @@ def test_exact_groups(documents, limit):
         groups[RUN.sub(" ", r.text or "")].append(r.doc_id)
     first = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
     want = sorted(((r.doc_id is None, r.doc_id or 0), first[t], len(groups[t])) for r in rows for t in [RUN.sub(" ", r.text or "")])
-    got = exact_duplicates(documents, broadcast_rows=limit).collect()
+    got = exact_duplicates(documents, broadcast_rows=limit, digests=True).collect()
+    texts = sorted(((r.doc_id is None, r.doc_id or 0), hashlib.sha256(RUN.sub(" ", r.text or "").encode()).hexdigest()) for r in rows)
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text_sha256) for r in got) == texts
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.keep_id, r.group_size) for r in got) == want
     assert sum(r.kept for r in got) == len(groups)
 
@@ -56,7 +59,6 @@ def test_packing_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     got = packed_pieces(documents, tokenizer_path(), bucket_rows=7).collect()
     assert sorted(r.sequence_id for r in got) == list(range(len(got)))
     assert {r.offset for r in got} == {0}
@@ -75,13 +77,33 @@ def test_word_ids_equal_those_of_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     ids_of = WordIds(tokenizer_path(), memory=20)
-    for text in ["a\x1cb \x85c\xa0d e f　g", "ΑΣ ΑΣΒ İstanbul <|endoftext|>", "x's don't '. it's, 'tis",
+    special = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "a <|endoftext |> b", "A<|ENDOFTEXT|>"]
+    for text in [*special, "DİKKATLİ! Yİ. İ.", "J\u030c! H\u0331. T\u0308, \u0399\u0308\u0301?", "a\x1cb \x85c\xa0d e f　g", "ΑΣ ΑΣΒ İstanbul <|endoftext|>", "x's don't '. it's, 'tis",
                  "Å Å 하", "The.The, THE. 1.5, 3. a1. b_c. _. &&& the&&& !! no!!", "", "  ", "日本語 \U0001f600\U0001f600"]:
         assert np.frombuffer(ids_of(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_all_letters_before_signs():
+    """Every letter of Unicode, alone, after another and before a mark, with signs around it."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    ids_of = WordIds(tokenizer_path())
+    letters = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM"]
+    letters = [c for c in letters if not 0x3400 <= ord(c) < 0xd800 and ord(c) < 0x10000]
+    rng = random.Random(1)
+    texts = []
+    for i in range(0, len(letters), 8):
+        signs = [rng.choice([".", "!", ",", "'s", "\u0307.", "\u030c!", ")", "\u0301", "-", "1."]) for _ in range(8)]
+        texts.append(" ".join(rng.choice(["", "a", "I", "\u0130"]) + c + s for c, s in zip(letters[i:i + 8], signs)))
+    assert len(texts) > 1000
+    for text, got in zip(texts, ids_of.of(texts)):
+        assert np.frombuffer(got, dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op9_mixing"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
