@@ -14,6 +14,7 @@ from wattshare.operators.baseline import (
 )
 from wattshare.operators.calendar import with_calendar
 from wattshare.operators.diagnostics import top_per_group
+from wattshare.operators.linear import LinearL1
 from wattshare.operators.model import Boosted, CellMedian
 from wattshare.operators.panel import BROADCAST_ROWS, PROMOTED_PREFIX, build_panel_min, reclassify_large_clients
 from wattshare.operators.validation import assign_folds, day_folds, fold_bounds
@@ -22,7 +23,7 @@ from wattshare.schemas import WEATHER_MEASURES_D2
 from wattshare.session import staged
 
 
-Learner = CellMedian | Boosted
+Learner = CellMedian | LinearL1 | Boosted
 
 #: What a boosted learner may use in ``score`` and ``cross_validate``: baseline, cyclic calendar, issued weather.
 SCORING_FEATURES = (
@@ -71,8 +72,8 @@ def entity_rows(
     readings: DataFrame, demand: DataFrame, weather: DataFrame | None = None, top_n: int = 30,
     fit_until: str | None = None, unique_readings: bool = False, stage: bool = True,
 ) -> DataFrame:
-    """Entities with their D-2 baseline, kW residual, issued weather and cyclic calendar."""
-    split = reclassify_large_clients(readings, top_n, fit_until)
+    """Entities with their D-2 baseline, kW residual, issued weather and cyclic calendar; ``top_n`` 0 sets no client apart."""
+    split = reclassify_large_clients(readings, top_n, fit_until) if top_n else readings
     panel = with_alpha(build_panel_min(split, unique_readings), demand)
     if stage:
         panel = staged(panel, "entities")
@@ -88,7 +89,8 @@ def score(
     """Forecast [start, end) from what precedes ``start``; returns (datetime_15min, prediction).
 
     The default learner looks at entity, weekday and slot alone; ``Boosted`` learns from the weather and calendar too
-    (``SCORING_FEATURES``).  In the hour that the local clock repeats in autumn a stamp has two rows.  Large clients are ranked, and corrections fitted, on rows before ``start``.  Entities are summed
+    (``SCORING_FEATURES``).  In the hour that the local clock repeats in autumn a stamp has two rows.  Large clients are
+    ranked, and corrections fitted, on rows before ``start``; with ``top_n`` 0 none is set apart.  Entities are summed
     per UTC slot, so an hour repeated on the local clock is not added up.
     """
     rows = entity_rows(readings, demand, weather, top_n, fit_until=start, unique_readings=unique_readings, stage=stage)
