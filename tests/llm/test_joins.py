@@ -162,6 +162,21 @@ def test_banded_distance(spark, edits):
         assert r.w == (_distance(r.a, r.b) <= edits), (r.a, r.b)
 
 
+@pytest.mark.parametrize("edits", [1, 3, 5])
+def test_banded_distance_of_long_lines(spark, edits):
+    """Lines of many blocks, edits anywhere: the common ends cut off and blocks passed over change nothing."""
+    rng, pairs = random.Random(edits), []
+    for _ in range(200):
+        letters = rng.choice(["ab", "abcdefgh", "aaaaaab", "é\U0001f600xyz"])
+        a = [rng.choice(letters) for _ in range(rng.choice([0, 15, 16, 17, 33, 90, 140]))]
+        b = _mutated(rng, list(a) or ["a"], rng.randint(0, edits + 2))
+        pairs.append(("".join(a), "".join(b)))
+    table = spark.createDataFrame(pairs, "a string, b string")
+    got = [r.w == (_distance(r.a, r.b) <= edits) for r in table.select(
+        "a", "b", line_dedup.within(F.col("a"), F.col("b"), edits).alias("w")).collect()]
+    assert all(got)
+
+
 @pytest.mark.parametrize("edits,small", [(1, 32), (1, 2), (2, 2)])
 def test_near_lines(spark, edits, small, monkeypatch):
     """Small key limits force the splitting of keys by further segments."""

@@ -23,6 +23,12 @@ MAX_EDITS = ((0, 1), (60, 2), (90, 3), (120, 4), (150, 5))
 MIN_CHARS, COPY_SHARE = 24, 0.5
 #: Index lines of a key up to which all are compared; larger keys are split by further segments first, so often at most.
 SMALL_KEY, MOST_SPLITS = 32, 4
+#: Bits for each index key in the bitmap that probes are tested against before they are shuffled, and most bits (as a power of
+#: two): 16 MB for all keys and as much for those of several lines.  With more keys false hits only lengthen the join.
+KEY_BITS, MOST_BITS = 20, 27
+#: Letters read between two looks at the states; log2 of the longest common beginning or end cut off at once; pairs
+#: verified by one task.
+BLOCK, MOST_COMMON, PAIRS_OF_TASK = 16, 20, 2_000
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -38,18 +44,28 @@ def segment(length: Column, i: Column, edits: Column) -> tuple[Column, Column]:
     return start, F.floor(length * (i + 1) / (edits + 1)).cast("int") - start
 
 
-def _key(group: Column, length: Column, i: Column, text: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(group, length, i, F.substring(text, start + 1, size))
+def _units(text: Column) -> Column:
+    """The text in two bytes a character, so that a substring is found without reading what precedes it.
+
+    Characters beyond two bytes count as one and the same: equal texts stay equal, so no partner is missed.
+    """
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(
+        F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", "\uE000"))
+    return F.encode(plain, "UTF-16BE")
+
+
+def _key(group: Column, length: Column, i: Column, units: Column, start: Column, size: Column) -> Column:
+    return F.xxhash64(group, length, i, F.substring(units, 2 * start + 1, 2 * size))
 
 
 def _index_rows(rows: DataFrame, group: Column, edits: Column, codes: Column) -> DataFrame:
     """``rows`` with ``_e`` and ``_x`` (k: key, s: start, z: size, longer): a row for each segment."""
     length = F.length("_line")
-    coded = rows.withColumn("_c", F.explode(codes))
+    coded = rows.withColumn("_u", _units(F.col("_line"))).withColumn("_c", F.explode(codes))
     start, size = segment(length, F.col("_c"), edits)
-    key = _key(group, length, F.col("_c"), F.col("_line"), start, size)
+    key = _key(group, length, F.col("_c"), F.col("_u"), start, size)
     return coded.withColumns({"_e": edits, "_x": F.struct(
-        key.alias("k"), start.alias("s"), size.alias("z"), F.lit(False).alias("longer"))}).drop("_c")
+        key.alias("k"), start.alias("s"), size.alias("z"), F.lit(False).alias("longer"))}).drop("_c", "_u")
 
 
 def probe_codes(edits: int) -> list[int]:
@@ -65,10 +81,11 @@ def probe_codes(edits: int) -> list[int]:
 def _probe_rows(rows: DataFrame, group: Column, codes: Column, lengths: Column | None = None) -> DataFrame:
     """``rows`` with ``_e`` and ``_x`` as in the index, a row for each place of ``codes`` inside the text.
 
-    ``longer``: d is over 0.  ``lengths``, of the partner's length and ``_e``: which partners count.
+    ``longer``: d is over 0.  ``own``: the place is the line's own segment.  ``lengths``, of the partner's length and ``_e``:
+    which partners count.
     """
     length, code = F.length("_line"), F.col("_c")
-    coded = rows.withColumn("_c", F.explode(codes)).withColumns({
+    coded = rows.withColumn("_u", _units(F.col("_line"))).withColumn("_c", F.explode(codes)).withColumns({
         "_e": F.shiftright(code, 16), "_d": F.shiftright(code, 11).bitwiseAND(F.lit(31)),
         "_i": F.shiftright(code, 6).bitwiseAND(F.lit(31)), "_p": length - F.shiftright(code, 11).bitwiseAND(F.lit(31))})
     start, size = segment(F.col("_p"), F.col("_i"), F.col("_e"))
@@ -76,8 +93,8 @@ def _probe_rows(rows: DataFrame, group: Column, codes: Column, lengths: Column |
     fits = (F.col("_p") >= 0) & (place >= 0) & (place + size <= length)
     coded = coded.filter(fits if lengths is None else fits & lengths)
     return coded.withColumn("_x", F.struct(
-        _key(group, F.col("_p"), F.col("_i"), F.col("_line"), place, size).alias("k"), place.alias("s"), size.alias("z"),
-        (F.col("_d") > 0).alias("longer"))).drop("_c", "_d", "_i", "_p")
+        _key(group, F.col("_p"), F.col("_i"), F.col("_u"), place, size).alias("k"), place.alias("s"), size.alias("z"),
+        (F.col("_d") > 0).alias("longer"), ((F.col("_d") == 0) & (place == start)).alias("own"))).drop("_c", "_d", "_i", "_p", "_u")
 
 
 def bands(max_edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, int | None, int]]:
@@ -113,7 +130,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     State e holds a bit for each of the ``2·edits + 1`` prefixes of ``a`` whose length differs from the part of ``b`` read
     by no more than ``edits``: set if that prefix is within e edits.  One character of ``b`` updates all of them by a few
-    bit operations; when the last state is empty the rest costs nothing.
+    bit operations; blocks of letters that cannot change the states are passed over.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
@@ -135,22 +152,90 @@ def within(a: Column, b: Column, edits: int) -> Column:
             made = F.struct(*[v.alias(s) for v, s in zip(new, states)])
             return F.when(state[states[-1]] == 0, state).otherwise(made)
 
-        places = F.sequence(F.lit(0), F.greatest(F.size(pair["b"]) - 1, F.lit(0)))
-        return F.aggregate(places, start, step, lambda s: s[states[-1]])
+        def settled(state: Column) -> Column:
+            """One diagonal is ahead: the first state that is not empty is that bit, each further one its reach by one more edit.
+
+            Whatever further diagonals could be reached lies within that, so letters that agree along the one change nothing.
+            """
+            fits = [state[states[0]].bitwiseAND(state[states[0]] - 1) == 0]
+            for less, more in zip(states, states[1:]):
+                x = state[less]
+                wider = x.bitwiseOR(F.shiftleft(x, 1)).bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(mask))
+                fits.append(F.when(x == 0, state[more].bitwiseAND(state[more] - 1) == 0).otherwise(state[more] == wider))
+            return reduce(lambda x, y: x & y, fits)
+
+        # Block by block: a whole block costs one look once the last state is empty, or if it agrees along the one diagonal
+        # that is ahead.
+        def block(state: Column, number: Column) -> Column:
+            begin = number * BLOCK
+            ahead = F.coalesce(*[F.nullif(state[s], F.lit(0)) for s in states])
+            shift = begin + F.bit_count(ahead - 1) - edits
+            same = (shift >= 0) & (F.slice(pair["a"], F.greatest(shift, F.lit(0)) + 1, F.lit(BLOCK)) == F.slice(
+                pair["b"], begin + 1, F.lit(BLOCK)))
+            places = F.sequence(begin, F.least(begin + (BLOCK - 1), F.size(pair["b"]) - 1))
+            return F.when(state[states[-1]] == 0, state).when(settled(state) & same, state).otherwise(
+                F.aggregate(places, state, step))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pair["b"]) - 1) / BLOCK).cast("int"))
+        read = F.aggregate(blocks, start, block, lambda s: s[states[-1]])
+        return F.when(F.size(pair["b"]) == 0, start[states[-1]]).otherwise(read)
+
+    def letters(pair: Column) -> Column:
+        def of(text: Column) -> Column:
+            return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, "", -1))
+        return F.struct(of(pair["a"]).alias("a"), of(pair["b"]).alias("b"))
 
     gap = F.length(a) - F.length(b) + edits
     close = (gap >= 0) & (gap < width)
-    # Letters are bound once per pair; named directly inside the step they would be split again for each letter.
-    letters = F.array(F.struct(F.split(a, "", -1).alias("a"), F.split(b, "", -1).alias("b")))
-    read = F.when(F.length(b) == 0, start[states[-1]]).otherwise(F.get(F.transform(letters, last_state), F.lit(0)))
+    # Bound once per pair, one after the other; named directly inside the step they would be made again for each letter.
+    bound = F.transform(F.transform(_apart(a, b), letters), last_state)
+    read = F.when(close, F.get(bound, F.lit(0)))
     return F.when(close, F.getbit(read, F.when(close, gap).otherwise(0)) == 1).otherwise(False)
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """What two texts have between their common beginning and their common end, as an array of one struct (a, b).
+
+    Edits lie there alone.  The common lengths are found bit by bit, comparing substrings.
+    """
+    powers = F.lit([1 << k for k in range(MOST_COMMON, -1, -1)])
+
+    def common(pair: Column, room: Column, equal: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(powers, F.lit(0), lambda n, step: F.when(
+            (n + step <= room) & equal(n, step), n + step).otherwise(n))
+
+    def front(t: Column) -> Column:
+        room = F.least(F.length(t["a"]), F.length(t["b"]))
+        n = common(t, room, lambda n, step: F.substring(t["a"], n + 1, step) == F.substring(t["b"], n + 1, step))
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), n.alias("n"))
+
+    def without_front(t: Column) -> Column:
+        return F.struct(*[F.substring(t[c], t["n"] + 1, F.length(t[c]) - t["n"]).alias(c) for c in ("a", "b")])
+
+    def back(t: Column) -> Column:
+        room = F.least(F.length(t["a"]), F.length(t["b"]))
+
+        def tail(c: str, n: Column, step: Column) -> Column:
+            return F.substring(t[c], F.length(t[c]) - n - step + 1, step)
+        n = common(t, room, lambda n, step: tail("a", n, step) == tail("b", n, step))
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), n.alias("n"))
+
+    def without_back(t: Column) -> Column:
+        return F.struct(*[F.substring(t[c], F.lit(1), F.length(t[c]) - t["n"]).alias(c) for c in ("a", "b")])
+
+    out = F.array(F.struct(a.alias("a"), b.alias("b")))
+    for part in (front, without_front, back, without_back):
+        out = F.transform(out, part)
+    return out
+
+
 def _matching(pairs: DataFrame, texts: DataFrame, edits: int | Sequence[tuple[int, int]]) -> DataFrame:
     """``_h`` of those pairs (_h, _lo) whose texts are within reach; each ``_h`` once."""
     own = texts.select("_h", F.col("_line").alias("_a"))
     partner = texts.select(F.col("_h").alias("_lo"), F.col("_line").alias("_b"))
-    met = pairs.join(own, "_h").join(partner, "_lo")
+    # Verifying costs far more than moving a pair: tasks of few pairs, whatever their bytes.
+    tasks = max(1, -(-pairs.count() // PAIRS_OF_TASK))
+    met = pairs.join(own, "_h").join(partner, "_lo").repartition(tasks, F.xxhash64("_h", "_lo"))
     return met.filter(within_band(F.col("_a"), F.col("_b"), edits)).select("_h").distinct()
 
 
@@ -173,22 +258,51 @@ def _probing(lines: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> Da
     return _probe_rows(lines, F.lit(0), F.concat(*parts), counts)
 
 
+def _key_bits(heads: DataFrame) -> tuple[DataFrame, int]:
+    """Bitmaps of the keys (``_all``) and of those with several lines (``_several``), in blocks of 64 words, and their bits."""
+    bits = 1 << min(MOST_BITS, max(16, (KEY_BITS * heads.count()).bit_length()))
+    placed = heads.select(F.pmod("_k", F.lit(bits)).alias("_p"), (F.col("_lo") != F.col("_hi")).alias("_many")).select(
+        F.shiftright("_p", 12).alias("_block"), F.expr("CAST(_p >> 6 & 63 AS INT)").alias("_word"),
+        F.expr("shiftleft(1L, CAST(_p & 63 AS INT))").alias("_bit"), "_many")
+    # Words first, which combine; then a block's 64 words side by side.
+    blocks = placed.groupBy("_block", "_word").agg(
+        F.bit_or("_bit").alias("_bit"), F.bit_or(F.when(F.col("_many"), F.col("_bit"))).alias("_manybit"))
+    def dense(bit: str) -> Column:
+        return F.array(*[F.coalesce(F.max(F.when(F.col("_word") == w, F.col(bit))), F.lit(0).cast("bigint")) for w in range(64)])
+    return blocks.groupBy("_block").agg(dense("_bit").alias("_all"), dense("_manybit").alias("_several")), bits
+
+
+def _tested(probes: DataFrame, heads: DataFrame) -> DataFrame:
+    """``_h, _k, _longer`` of the probes whose key may be in the index, of a line's own segments those that it may share.
+
+    The bitmap's size is bounded, so it is broadcast; what meets nothing never reaches a shuffle.
+    """
+    blocks, bits = _key_bits(heads)
+    blocks = F.broadcast(staged(blocks, "line-bits"))
+    placed = probes.select("_h", F.col("_x.k").alias("_k"), F.col("_x.longer").alias("_longer"), F.col("_x.own").alias("_own")).withColumn(
+        "_p", F.pmod("_k", F.lit(bits)))
+    met = placed.join(blocks, F.shiftright("_p", 12) == F.col("_block"))
+    hit = F.expr("getbit(get(CASE WHEN _own THEN _several ELSE _all END, CAST(_p >> 6 & 63 AS INT)), CAST(_p & 63 AS INT)) = 1")
+    return met.filter(hit).select("_h", "_k", "_longer")
+
+
 def near_lines(
     docs: DataFrame, id_col: str, text_col: str, max_edits: int | Sequence[tuple[int, int]], min_chars: int,
 ) -> DataFrame:
     """``_h`` of lines with a near line before them, in the order of (length, hash): these go, the others stay.
 
-    Narrow key rows (two numbers each) meet in one join: the index is reduced to the first line of a key by a combinable
-    aggregate, so no key holds more than one row there, and a hot line only lengthens the probing side, which Spark
-    can split.  Lines whose key has a line before them are tested against that first one; most near lines
-    are settled by it.  What is left meets all lines of its key if these are few; larger keys are split by the
-    segments of what remains of their lines, as often as ``MOST_SPLITS``, before all are compared.
+    Each distinct line probes once, however many copies it has.  Probes are tested against a bitmap of the index keys in the
+    same stage that makes them.  Narrow key rows (two numbers each) then meet in one join: the index is reduced to the
+    first line of a key by a combinable aggregate, so no key holds more than one row there, and a hot line only
+    lengthens the probing side, which Spark can split.  Lines whose key has a line before them are tested against that
+    first one; most near lines are settled by it.  What is left meets all lines of its key if these are few; larger
+    keys are split by the segments of what remains of their lines, as often as ``MOST_SPLITS``, before all are compared.
     """
-    lines = lines_of(docs, id_col, text_col, min_chars)
     every = sorted({e for _, _, e in bands(max_edits)})
+    lines = staged(lines_of(docs, id_col, text_col, min_chars).groupBy("_h").agg(F.min("_line").alias("_line")), "line-distinct")
     index = _indexed(lines, max_edits).select("_h", F.col("_x.k").alias("_k"))
-    first = index.groupBy("_k").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
-    probes = _probing(lines, max_edits).select("_h", F.col("_x.k").alias("_k"), F.col("_x.longer").alias("_longer"))
+    first = staged(index.groupBy("_k").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")), "line-heads")
+    probes = _tested(_probing(lines, max_edits), first)
     matched = staged(probes.join(first, "_k").filter(
         F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))).distinct(), "line-matched")
     # All lines of the keys that matched, then the texts of all of them: a fraction of the lines.
@@ -196,8 +310,8 @@ def near_lines(
     members = staged(index.join(if_small(keys), "_k", "left_semi").distinct(), "line-members")
     wanted = staged(matched.select("_h").unionByName(matched.select(F.col("_lo").alias("_h"))).unionByName(
         members.select("_h")).distinct(), "line-wanted")
-    texts = staged(lines.join(if_small(wanted), "_h", "left_semi").select("_h", "_line").dropDuplicates(["_h"]), "line-texts")
-    settled = staged(_matching(matched.select("_h", "_lo").distinct(), texts, max_edits), "line-settled")
+    texts = staged(lines.join(if_small(wanted), "_h", "left_semi").select("_h", "_line"), "line-texts")
+    settled = staged(_matching(staged(matched.select("_h", "_lo").distinct(), "line-pairs"), texts, max_edits), "line-settled")
     # Open probes with the text that is still to be compared, and the index lines of their keys.
     open_rows = matched.filter("_lo <> _hi").join(settled, "_h", "left_anti").select("_k", "_h").distinct()
     left = _probing(open_rows.join(texts, "_h").select(F.col("_k").alias("_g"), "_h", "_line"), max_edits)
@@ -212,7 +326,7 @@ def near_lines(
         pairs = left.join(small, "_g").select("_g", "_h", "_longer").join(
             right.select("_g", F.col("_h").alias("_lo")), "_g").filter(
             F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h")))
-        found.append(staged(_matching(pairs.select("_h", "_lo").distinct(), texts, max_edits), "line-settled"))
+        found.append(staged(_matching(staged(pairs.select("_h", "_lo").distinct(), "line-pairs"), texts, max_edits), "line-settled"))
         large = sizes.filter(F.col("_n") > SMALL_KEY).select("_g")
         if turn == MOST_SPLITS or large.isEmpty():
             break
@@ -224,7 +338,7 @@ def near_lines(
         heads = right.groupBy("_g").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
         part = staged(part.join(heads, "_g").filter(
             F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))), "line-left")
-        found.append(staged(_matching(part.select("_h", "_lo").distinct(), texts, max_edits), "line-settled"))
+        found.append(staged(_matching(staged(part.select("_h", "_lo").distinct(), "line-pairs"), texts, max_edits), "line-settled"))
         left = staged(part.filter("_lo <> _hi").join(found[-1], "_h", "left_anti").drop("_lo", "_hi"), "line-left")
     return reduce(DataFrame.unionByName, found).distinct()
 
@@ -279,7 +393,9 @@ def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", t
     rows, lines = goes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_dropped_lines")), F.lit(0))).first()
     if rows <= BROADCAST_ROWS and lines <= 4 * BROADCAST_ROWS:
         goes = F.broadcast(goes)
-    met = docs.join(goes, F.col(id_col).eqNullSafe(F.col("_dropped_id")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_dropped_lines", i))
-    text = F.when(F.col("_dropped_lines").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return met.withColumn(text_col, text).select(*docs.columns)
+    # The row as one value: its columns cannot clash with those of the join.
+    boxed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    met = boxed.join(goes, F.col("id").eqNullSafe(F.col("_dropped_id")), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_dropped_lines", i))
+    text = F.when(F.col("_dropped_lines").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return met.select(F.col("doc").withField(text_col, text).alias("doc")).select("doc.*")
