@@ -150,6 +150,18 @@ def _distance(a, b):
     return row[-1]
 
 
+def test_classes_that_share_a_number_get_others(spark, monkeypatch):
+    """In the first turn all sets have one class number; the second must be taken and nothing be lost."""
+    real = jaccard_join._class_of
+    monkeypatch.setattr(jaccard_join, "_class_of", lambda digest, turn=0: real(digest, turn) if turn else 2)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() < 0.98 else "x" for w in base)) for i in range(20)] + [(30, "quite different words in here")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _near(rows)
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_banded_distance(spark, edits):
     rng, pairs = random.Random(3), []

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from wattshare.session import staged
 
-#: Stars shorten paths at least by half; far more rounds than any real table takes.
-MOST_ROUNDS = 60
-
 
 def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``(a, b)``: root is the smallest node reachable.
@@ -17,11 +14,12 @@ def connected(links: DataFrame) -> DataFrame:
     A round hangs larger neighbours, then smaller ones, on the least neighbour of each node: one combinable
     minimum and one join on the node each, so a node with very many links is a partly aggregated key and a join side
     that Spark can split.  Links stay in tables in the shared folder; only their number and checksum reach the driver.
+    Rounds end when nothing changes: stars shorten paths by half at least, so they grow with the logarithm of the longest.
     """
     edges = links.filter("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, mark = _stored(edges)
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -34,7 +32,6 @@ def connected(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = now
-    raise RuntimeError(f"links did not settle in {MOST_ROUNDS} rounds")
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:

@@ -30,6 +30,8 @@ NARROW_WORDS = 8
 #: Rounds that test few partners per document, and partners; a last round tests all pairs still open, so neither
 #: bounds a result.
 STAR_ROUNDS, STAR_TESTS = 5, 2
+#: Keys by which the last round tells at which key a pair comes up; pairs that share none of these come up at each of theirs.
+FIRST_KEYS = 8
 #: Word hashes a worker remembers before it starts anew, and sets it remembers having sent.
 MEMORY_WORDS, MEMORY_SETS = 300_000, 200_000
 
@@ -110,12 +112,16 @@ def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def _class_of(digest: bytes) -> int:
-    """Class number: 63 bits; the lowest is kept free to mark keys of the lower band."""
+def _class_of(digest: bytes, turn: int = 0) -> int:
+    """Class number: 63 bits; the lowest is kept free to mark keys of the lower band.  Each turn takes other bits."""
+    import xxhash
+
+    if turn:
+        digest = xxhash.xxh3_64_digest(digest, seed=turn)
     return int.from_bytes(digest[:8], "little", signed=True) & ~1
 
 
-def _sets(percent: int, words: int, keys: bool):
+def _sets(percent: int, words: int, keys: bool, turn: int = 0):
     """Arrow mapper.  Without ``keys``: id, digest, class, size.  With: class, size, slack, keys (see ``_key_rows``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sent = _WordHash(), set()
@@ -127,7 +133,7 @@ def _sets(percent: int, words: int, keys: bool):
                     hashes = shingle_set(text.as_py(), known, words)
                     digest = _digest(hashes)
                     digests.append(digest)
-                    classes.append(_class_of(digest))
+                    classes.append(_class_of(digest, turn))
                     sizes.append(len(hashes))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(batch.schema.get_field_index("_id")), pa.array(digests, pa.binary()),
@@ -138,7 +144,7 @@ def _sets(percent: int, words: int, keys: bool):
                 hashes = shingle_set(text.as_py(), known, words)
                 if not len(hashes):
                     continue
-                owner = _class_of(_digest(hashes))
+                owner = _class_of(_digest(hashes), turn)
                 if owner in sent:
                     continue
                 if len(sent) >= MEMORY_SETS:
@@ -163,7 +169,7 @@ def _sets(percent: int, words: int, keys: bool):
     return run
 
 
-def _full_sets(words: int):
+def _full_sets(words: int, turn: int = 0):
     """Arrow mapper: class, size, sorted hashes and the narrow sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
@@ -174,20 +180,20 @@ def _full_sets(words: int):
             bits = [np.packbits((np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(bool))
                     .view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class_of(_digest(s)) for s in sets], pa.int64()),
+                [pa.array([_class_of(_digest(s), turn) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int32()),
                  pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                  pa.array(bits, pa.list_(pa.int64()))], ["_cls", "_n", "_hashes", "_bits"])
     return run
 
 
-def _shared_keys(texts: DataFrame, percent: int, words: int) -> DataFrame:
+def _shared_keys(texts: DataFrame, percent: int, words: int, turn: int = 0) -> DataFrame:
     """``_key, _own, _n, _slack`` of keys that several classes have; one shuffle of key rows.
 
     Tasks send each class once however many copies they read; within a key rows are sorted by owner, and a look at both
     neighbours tells whether another class is there, so keys are streamed, not gathered.
     """
-    sent = texts.mapInArrow(_sets(percent, words, True), "_own long, _n int, _slack int, _keys array<long>")
+    sent = texts.mapInArrow(_sets(percent, words, True, turn), "_own long, _n int, _slack int, _keys array<long>")
     rows = sent.select("_own", "_n", "_slack", F.explode("_keys").alias("_key"))
     near = Window.partitionBy("_key").orderBy("_own")
     before, after = F.lag("_own").over(near), F.lead("_own").over(near)
@@ -244,8 +250,9 @@ def _links(shared: DataFrame, sets: DataFrame, percent: int, rounds: int = STAR_
 
     Star rounds test each class against few others, one from each of its keys where labels still differ (first the
     one that shares most, then any), and each link makes two labels one: groups of many near copies collapse after
-    few tests.  Equal labels mean connected.  The last round tests every pair that shares a key and differs in
-    label, so whatever the rounds left is settled; narrow sketches are compared inside that join, before it yields a row.
+    few tests.  Equal labels mean connected, and keys whose classes all have one label leave.  The last round tests every pair
+    that shares a key and differs in label, so whatever the rounds left is settled; narrow sketches are compared inside
+    that join, before it yields a row, and a pair is made at the least of its common first keys alone.
     """
     # rows: one per key and class; labels ride along.
     rows = staged(shared.select("_key", F.col("_own").bitwiseAND(F.lit(~1)).alias("_cls"), "_n", "_freq"), "near-keys")
@@ -257,8 +264,12 @@ def _links(shared: DataFrame, sets: DataFrame, percent: int, rounds: int = STAR_
         stars = named.groupBy("_key").agg(
             F.min("_lab").alias("_lo"), F.max("_lab").alias("_hi"),
             F.min(F.struct(order.alias("o"), F.col("_cls").alias("c"), F.col("_lab").alias("l"), F.col("_n").alias("n"))).alias("_star"),
-        ).filter("_lo <> _hi")
-        options = named.join(stars.select("_key", "_star"), "_key").filter(
+        ).filter("_lo <> _hi").select("_key", "_star")
+        if turn:
+            # Labels only ever merge: keys that are closed now stay closed.
+            stars = staged(stars, "near-stars")
+            rows = staged(rows.join(stars.select("_key"), "_key", "left_semi"), "near-keys")
+        options = named.join(stars, "_key").filter(
             (F.col("_lab") != F.col("_star.l"))
             & (100 * F.least("_n", "_star.n") >= percent * F.greatest("_n", "_star.n")))
         shares = options.groupBy("_cls", "_lab", "_star.c", "_star.l").agg(F.count(F.lit(1)).alias("_k"))
@@ -281,15 +292,20 @@ def _links(shared: DataFrame, sets: DataFrame, percent: int, rounds: int = STAR_
     main = tally.groupBy("_key").agg(
         F.max(F.struct("_k", "_lab")).alias("_m"), F.count(F.lit(1)).alias("_labs")).filter("_labs > 1").select(
         "_key", F.col("_m._lab").alias("_main"))
-    open_rows = staged(named.join(main, "_key").join(sets.select("_cls", F.col("_bits").alias("_by")), "_cls").select(
-        "_key", F.col("_cls").alias("y"), F.col("_lab").alias("_ly"), F.col("_n").alias("_ny"), "_by", "_main"), "near-open")
+    still = staged(named.join(main, "_key"), "near-still")
+    # A class has no more keys than its document has shingles.
+    firsts = still.groupBy("_cls").agg(F.slice(F.sort_array(F.collect_list("_key")), 1, FIRST_KEYS).alias("_fy"))
+    open_rows = staged(still.join(firsts, "_cls").join(sets.select("_cls", F.col("_bits").alias("_by")), "_cls").select(
+        "_key", F.col("_cls").alias("y"), F.col("_lab").alias("_ly"), F.col("_n").alias("_ny"), "_by", "_fy", "_main"), "near-open")
     apart = open_rows.filter("_ly <> _main").select(
         F.col("_key").alias("_kx"), F.col("y").alias("x"), F.col("_ly").alias("_lx"), F.col("_ny").alias("_nx"), F.col("_by").alias("_bx"),
-        F.col("_main").alias("_mx"))
+        F.col("_fy").alias("_fx"), F.col("_main").alias("_mx"))
     # Both outside the main label: the pair comes up twice, take the half with x < y.
     once = (F.col("_ly") == F.col("_mx")) | (F.col("x") < F.col("y"))
+    # A shared key of two labels is open, so both classes have a row for the least one.
+    least = F.array_min(F.array_intersect("_fx", "_fy"))
     pairs = apart.join(open_rows.drop("_main"), (F.col("_kx") == F.col("_key")) & (F.col("_lx") != F.col("_ly")) & once
-                       & _may_link("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                       & _may_link("x", "y", percent) & F.coalesce(least == F.col("_kx"), F.lit(True))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found.append(staged(_verified(pairs, sets, percent), "near-links"))
     return reduce(DataFrame.unionByName, found)
 
@@ -313,11 +329,17 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = staged(texts.mapInArrow(
-        _sets(percent, words, False), f"_id {id_type}, _set binary, _cls long, _n int"), "near-rows")
-    classes = staged(rows.filter("_n > 0").groupBy("_set").agg(
-        F.min("_id").alias("_first"), F.min("_cls").alias("_cls")), "near-classes")
-    shared = staged(_shared_keys(texts.select("_text"), percent, words), "near-shared")
+    turn = 0
+    while True:
+        rows = staged(texts.mapInArrow(
+            _sets(percent, words, False, turn), f"_id {id_type}, _set binary, _cls long, _n int"), "near-rows")
+        classes = staged(rows.filter("_n > 0").groupBy("_set").agg(
+            F.min("_id").alias("_first"), F.min("_cls").alias("_cls")), "near-classes")
+        # Digests of 128 bits tell sets apart; should two share a class number, all get others.
+        if classes.groupBy("_cls").count().filter("count > 1").isEmpty():
+            break
+        turn += 1
+    shared = staged(_shared_keys(texts.select("_text"), percent, words, turn), "near-shared")
     # Twice: owners without enough shared keys leave, which makes further keys unshared.
     for _ in range(2):
         several = _several(shared)
@@ -330,7 +352,7 @@ def near_duplicates(
     ids = chosen.withColumnRenamed("_id", "_chosen")
     read = texts.join(F.broadcast(ids) if few else ids, F.col("_id").eqNullSafe(F.col("_chosen")), "left_semi")
     sets = staged(read.mapInArrow(
-        _full_sets(words), "_cls long, _n int, _hashes array<long>, _bits array<long>").dropDuplicates(["_cls"]), "near-sets")
+        _full_sets(words, turn), "_cls long, _n int, _hashes array<long>, _bits array<long>").dropDuplicates(["_cls"]), "near-sets")
     roots = connected(_links(shared, sets, percent))
     named = classes.join(roots, F.col("_cls") == F.col("node"), "left").select(
         "_set", "_first", F.coalesce("root", "_cls").alias("_root"))
