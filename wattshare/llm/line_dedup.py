@@ -267,9 +267,14 @@ def _key_bits(heads: DataFrame) -> tuple[DataFrame, int]:
     # Words first, which combine; then a block's 64 words side by side.
     blocks = placed.groupBy("_block", "_word").agg(
         F.bit_or("_bit").alias("_bit"), F.bit_or(F.when(F.col("_many"), F.col("_bit"))).alias("_manybit"))
+    # At most 64 entries of a block; as many aggregates side by side would make methods too large to compile.
+    found = blocks.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct(
+        "_word", F.struct(F.col("_bit").alias("all"), F.col("_manybit").alias("several"))))).alias("_words"))
+
     def dense(bit: str) -> Column:
-        return F.array(*[F.coalesce(F.max(F.when(F.col("_word") == w, F.col(bit))), F.lit(0).cast("bigint")) for w in range(64)])
-    return blocks.groupBy("_block").agg(dense("_bit").alias("_all"), dense("_manybit").alias("_several")), bits
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(
+            F.try_element_at("_words", w)[bit], F.lit(0).cast("bigint")))
+    return found.select("_block", dense("all").alias("_all"), dense("several").alias("_several")), bits
 
 
 def _tested(probes: DataFrame, heads: DataFrame) -> DataFrame:
