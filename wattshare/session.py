@@ -52,22 +52,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/_staged"
 
 
-#: Folders written by ``staged`` and not yet released.
-_STAGED: list[str] = []
+#: Folders written by ``staged`` and not yet released, by session.
+_STAGED: dict[str, list[str]] = {}
+
+
+def _staged_by(spark: SparkSession) -> list[str]:
+    return _STAGED.setdefault(spark._jsparkSession.sessionUUID(), [])
 
 
 def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete staged tables, all or those after the first ``since``; call it when results that read them are stored."""
+    """Delete this session's staged tables, all or those after the first ``since``; call it when results that read them are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_STAGED) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    paths = _staged_by(spark)
+    while len(paths) > since:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
 @contextmanager
 def staging(spark: SparkSession):
     """Tables staged inside the block are deleted at its end: store or collect results within it."""
-    before = len(_STAGED)
+    before = len(_staged_by(spark))
     try:
         yield
     finally:
@@ -83,6 +88,6 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    _staged_by(spark).append(path)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
