@@ -26,6 +26,8 @@ SMALL_KEY, MOST_SPLITS = 32, 4
 #: Bits for each index key in the bitmap that probes are tested against before they are shuffled, and most bits (as a power of
 #: two): 16 MB for all keys and as much for those of several lines.  With more keys false hits only lengthen the join.
 KEY_BITS, MOST_BITS = 20, 27
+#: Letters counted before a pair is verified; any would do, frequent ones tell most.
+COUNTED = " aeinorst"
 #: Letters read between two looks at the states; log2 of the longest common beginning or end cut off at once; pairs
 #: verified by one task.
 BLOCK, MOST_COMMON, PAIRS_OF_TASK = 16, 20, 2_000
@@ -235,8 +237,20 @@ def _matching(pairs: DataFrame, texts: DataFrame, edits: int | Sequence[tuple[in
     partner = texts.select(F.col("_h").alias("_lo"), F.col("_line").alias("_b"))
     # Verifying costs far more than moving a pair: tasks of few pairs, whatever their bytes.
     tasks = max(1, -(-pairs.count() // PAIRS_OF_TASK))
-    met = pairs.join(own, "_h").join(partner, "_lo").repartition(tasks, F.xxhash64("_h", "_lo"))
-    return met.filter(within_band(F.col("_a"), F.col("_b"), edits)).select("_h").distinct()
+    met = pairs.join(own, "_h").join(partner, "_lo").filter(_counts_allow(F.col("_a"), F.col("_b"), edits))
+    near = F.bool_or(within_band(F.col("_a"), F.col("_b"), edits)).alias("_near")
+    return met.repartition(tasks, F.xxhash64("_h", "_lo")).groupBy("_h").agg(near).filter("_near").select("_h")
+
+
+def _counts_allow(a: Column, b: Column, max_edits: int | Sequence[tuple[int, int]]) -> Column:
+    """Whether letter counts leave an edit distance within the band of ``b``: an edit changes two counts by one at most."""
+    allowed = F.lit(0)
+    for low, high, edits in bands(max_edits):
+        allowed = F.when(_in_band(F.length(b), low, high), 2 * edits).otherwise(allowed)
+
+    def count(text: Column, letter: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(letter)))
+    return reduce(lambda x, y: x + y, [F.abs(count(a, c) - count(b, c)) for c in COUNTED]) <= allowed
 
 
 def _indexed(lines: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> DataFrame:
