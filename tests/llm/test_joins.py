@@ -311,3 +311,20 @@ def test_stages_on_odd_documents(spark, documents, tmp_path):
 def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, SMALL)
     assert pieces.count() > 0 and pieces.filter("length > doc_tokens OR offset <> 0").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that stages and operators use inside keep the caller's values, whatever a stage does to the text."""
+    names = ["_key", "_begun", "_position", "_n", "_own", "_whole", "_first", "_dropped_id", "_dropped_lines", "doc", "key", "own", "t", "n",
+             "whole", "reading", "position", "gone", "_id", "_text"]
+    lines = ["a line that many documents share word for word", "another one that is shared by several of them too"]
+    rows = [(i, f"{lines[i % 2]}\nthis is only in document number {i} and nowhere else {i * i}" if i % 5 else None, "ab"[i % 2]) for i in range(24)]
+    rows += [(3, "three again with other words than those of the first", "a"), (None, "a document that has no number at all", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select(
+        "*", *[F.concat_ws(":", F.lit(c), "doc_id").alias(c) for c in names])
+    for stage in (stages.drop_repeated_lines, stages.drop_near_duplicates, stages.mix_sources):
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == (f"{c}:{r.doc_id}" if r.doc_id is not None else c) for r in found for c in names)
+    assert stages.pack(spark, docs, SMALL).count() >= len(rows)
