@@ -336,7 +336,8 @@ def _scan(weights: dict[str, list[float]]):
         for batch in batches:
             spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in scan_text(t, model)]
                      for t in batch["_text"].tolist()]
-            yield pd.DataFrame({"_id": batch["_id"], "spans": spans})
+            base = [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in base_spans(t)] for t in batch["_text"].tolist()]
+            yield pd.DataFrame({"_id": batch["_id"], "spans": spans, "base": base})
     return run
 
 
@@ -351,12 +352,13 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
 def personal_data(
     docs: DataFrame, model: SegmentModel, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, spans`` of (kind, start, end) by start, then kind; one pass, no shuffle.
+    """One row per row of ``docs``: ``id_col, spans, base`` of (kind, start, end) by start, then kind; one pass, no shuffle.
 
+    ``base`` holds the spans of fixed form alone; ``spans`` those and the model's, which may be of the same kinds.
     Null and empty texts have no spans; whole texts are read, in time linear in their length; ids may be null or repeat.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     sent = docs.select(F.col(id_col).cast("string").alias("_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    out = sent.mapInPandas(_scan(model.weights), f"_id string, spans {SPANS}")
-    return out.select(F.col("_id").cast(id_type).alias(id_col), "spans")
+    out = sent.mapInPandas(_scan(model.weights), f"_id string, spans {SPANS}, base {SPANS}")
+    return out.select(F.col("_id").cast(id_type).alias(id_col), "spans", "base")

@@ -48,9 +48,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def _joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
-    if kinds is not None:
-        spans = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
@@ -58,11 +56,11 @@ def _of(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def _span_digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in base]
+def _span_digest(found: DataFrame, kinds: tuple[str, ...], base: Column) -> DataFrame:
+    """Counts by kind and digest of the ``base`` spans alone, beside all spans."""
+    counts = [F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in kinds]
     return found.select(
-        "doc_id", *counts, F.sha2(_joined(F.col("spans"), base), 256).alias("base_sha256"),
-        _joined(F.col("spans")).alias("spans"))
+        "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 @query(oracles.EXACT)
@@ -84,7 +82,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _span_digest(personal_data(docs, fit_on(docs)), BASE_KINDS)
+    return _span_digest(personal_data(docs, fit_on(docs)), BASE_KINDS, F.col("base"))
 
 
 @query()
@@ -122,7 +120,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _span_digest(secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+    # No added span is of a base kind.
+    kinds = ("assign", "access", "hex")
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return _span_digest(secrets(table(spark, sf_dir, "documents")), kinds, base)
 
 
 @query(oracles.MIXING)
