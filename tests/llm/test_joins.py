@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,25 @@ def test_classes_that_share_a_number_get_others(spark, monkeypatch):
     assert got == _near(rows)
 
 
+@pytest.mark.parametrize("together", [500_000, 50])
+def test_shingle_sets_of_a_batch(together, monkeypatch):
+    """Texts hashed together have the sets they have alone; words that change places make another shingle."""
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", together)
+    rng = random.Random(6)
+    texts = ["a b b b a", "b a b a b", "", " \t", "One two", "x" * 255 + " " + "x" * 256, "x" * 257, "x" * 8 + "\x0b" + "x" * 9, "a\x1cb c"]
+    texts += ["".join(rng.choice("aAb é\n") for _ in range(rng.randint(0, 80))) for _ in range(200)]
+    got = [tuple(h.tolist()) for h in jaccard_join.shingle_sets(pa.array(["cut off", *texts]).slice(1))]
+    sets = [frozenset(_shingles(t)) for t in texts]
+    assert [len(h) for h in got] == [len(s) for s in sets] and all(list(h) == sorted(set(h)) for h in got)
+    assert len(set(zip(got, sets))) == len(set(got)) == len(set(sets))
+
+
+def test_places_of_words_count(spark):
+    docs = spark.createDataFrame([(1, "a b b b a"), (2, "b a b a b"), (3, "A b b b a")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_banded_distance(spark, edits):
     rng, pairs = random.Random(3), []

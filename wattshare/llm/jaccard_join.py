@@ -32,12 +32,11 @@ NARROW_WORDS = 8
 STAR_ROUNDS, STAR_TESTS = 5, 2
 #: Keys by which the last round tells at which key a pair comes up; pairs that share none of these come up at each of theirs.
 FIRST_KEYS = 8
-#: Word hashes a worker remembers before it starts anew, and sets it remembers having sent.
-MEMORY_WORDS, MEMORY_SETS = 300_000, 200_000
+#: Bytes of texts that are hashed together; bytes from which a word is hashed on its own; sets a worker remembers having sent.
+CHUNK_BYTES, LONG_WORD, MEMORY_SETS = 500_000, 256, 200_000
 
-_MASK = (1 << 64) - 1
-# Odd multipliers, one per place in a shingle, and those of the finaliser.
-_PLACE = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) + (i << 33)) & _MASK | 1 for i in range(64)], dtype=np.uint64)
+# The multipliers of the finaliser.
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -47,29 +46,94 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
+# Odd multipliers, one per place in a shingle; unrelated, or words that change places would give one sum.
+_PLACE = _mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each entry differs from the one before it; the first does."""
+    out = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places, eight bytes of all words at a time; ``data`` has seven bytes to spare."""
+    eight = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    out = _mixed(sizes.astype(np.uint64))
+    places, rest = None, sizes  # None: all words
+    at = starts
+    while len(at):
+        left = (8 * (8 - np.minimum(rest, 8))).astype(np.uint64)
+        part = (eight[at] << left) >> left
+        if places is None:
+            out = _mixed(out * _M1 ^ part)
+        else:
+            out[places] = _mixed(out[places] * _M1 ^ part)
+        more = np.flatnonzero((rest > 8) & (rest <= LONG_WORD))
+        places = more if places is None else places[more]
+        at, rest = at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(sizes > LONG_WORD):
         import xxhash
 
-        if len(self) >= MEMORY_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i]:starts[i] + sizes[i]])
+    return out
 
 
-def shingle_set(text: bytes, known: dict, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; A-Z count as a-z; a shorter text is one shingle, no words give none."""
-    parts = text.lower().split()  # of bytes: ASCII letters and ASCII white space only
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    hashed = np.fromiter(map(known.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    width = min(words, len(parts))
-    with np.errstate(over="ignore"):
-        count = len(parts) - width + 1
+def _sets_of(data: bytes, borders: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """``shingle_set`` of each of the texts that lie in ``data`` between neighbouring borders, hashed together."""
+    raw = np.frombuffer(data.lower() + bytes(8), dtype=np.uint8)  # ASCII letters only
+    if len(data) == 0:
+        yield from (np.empty(0, dtype=np.uint64) for _ in borders[1:])
+        return
+    word = ~_IS_SPACE[raw[:len(data)]]
+    # A word begins after white space or a border, and ends before such.
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    inner = borders[(borders > 0) & (borders < len(data))]
+    begins[inner] = word[inner]
+    ends[inner - 1] = word[inner - 1]
+    starts = np.flatnonzero(begins)
+    sizes = np.flatnonzero(ends) + 1 - starts
+    hashed = _word_hashes(raw, starts, sizes)
+    firsts = np.searchsorted(starts, borders)
+
+    def shingles(hashed: np.ndarray, width: int) -> np.ndarray:
+        count = len(hashed) - width + 1
         total = np.full(count, width, dtype=np.uint64)
         for i in range(width):
             total += hashed[i:i + count] * _PLACE[i]
-        return np.unique(_mixed(total))
+        return _mixed(total)
+
+    with np.errstate(over="ignore"):
+        every = shingles(hashed, words) if len(hashed) >= words else None
+        for first, last in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+            n = last - first
+            if n == 0:
+                yield np.empty(0, dtype=np.uint64)
+                continue
+            # Shingles across a border are passed over; a shorter text is one shingle.
+            got = np.sort(every[first:last - words + 1] if n >= words else shingles(hashed[first:last], n))
+            yield got[_changes(got)]
+
+
+def shingle_sets(texts: pa.Array, words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct hashes of its shingles; A-Z count as a-z; a shorter text is one shingle, no words give none.
+
+    Words are ended by ASCII white space; texts without nulls are hashed together, ``CHUNK_BYTES`` or one text at a time.
+    """
+    texts = texts.cast(pa.large_binary())
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data, begin = texts.buffers()[2], 0
+    while begin < len(texts):
+        end = int(np.searchsorted(offsets, offsets[begin] + CHUNK_BYTES, side="right")) - 1
+        end = min(len(texts), max(begin + 1, end))
+        part = data[int(offsets[begin]):int(offsets[end])].to_pybytes() if data is not None else b""
+        yield from _sets_of(part, offsets[begin:end + 1] - offsets[begin], words)
+        begin = end
 
 
 def most_apart(small: int, large: int, percent: int = THRESHOLD_PERCENT) -> int:
@@ -96,13 +160,12 @@ def _segments(upper: int) -> int:
 
 
 def sketch_keys(hashes: np.ndarray, band: int, segments: int) -> np.ndarray:
-    """One 64-bit key for each segment that is not empty: band, segment and the XOR of its shingles."""
+    """One 64-bit key for each segment that is not empty: band, segment and the XOR of its shingles; ``hashes`` are sorted."""
     with np.errstate(over="ignore"):
+        # Segments are ranges of hashes, so theirs are in order as well.
         place = ((hashes >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-        order = np.argsort(place, kind="stable")
-        place, sorted_hashes = place[order], hashes[order]
-        firsts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        xors = np.bitwise_xor.reduceat(_mixed(sorted_hashes), firsts)
+        firsts = np.flatnonzero(_changes(place))
+        xors = np.bitwise_xor.reduceat(_mixed(hashes), firsts)
         return _mixed(xors + _mixed(place[firsts] + np.uint64((band + 1) << 40)))
 
 
@@ -124,13 +187,12 @@ def _class_of(digest: bytes, turn: int = 0) -> int:
 def _sets(percent: int, words: int, keys: bool, turn: int = 0):
     """Arrow mapper.  Without ``keys``: id, digest, class, size.  With: class, size, slack, keys (see ``_key_rows``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sent = _WordHash(), set()
+        sent = set()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text")).cast(pa.binary())
+            sets = shingle_sets(batch.column(batch.schema.get_field_index("_text")), words)
             if not keys:
                 digests, classes, sizes = [], [], []
-                for text in texts:
-                    hashes = shingle_set(text.as_py(), known, words)
+                for hashes in sets:
                     digest = _digest(hashes)
                     digests.append(digest)
                     classes.append(_class_of(digest, turn))
@@ -140,8 +202,7 @@ def _sets(percent: int, words: int, keys: bool, turn: int = 0):
                      pa.array(classes, pa.int64()), pa.array(sizes, pa.int32())], ["_id", "_set", "_cls", "_n"])
                 continue
             owners, sizes, slacks, values = [], [], [], []
-            for text in texts:
-                hashes = shingle_set(text.as_py(), known, words)
+            for hashes in sets:
                 if not len(hashes):
                     continue
                 owner = _class_of(_digest(hashes), turn)
@@ -172,10 +233,8 @@ def _sets(percent: int, words: int, keys: bool, turn: int = 0):
 def _full_sets(words: int, turn: int = 0):
     """Arrow mapper: class, size, sorted hashes and the narrow sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text")).cast(pa.binary())
-            sets = [shingle_set(t.as_py(), known, words) for t in texts]
+            sets = list(shingle_sets(batch.column(batch.schema.get_field_index("_text")), words))
             width = 64 * NARROW_WORDS
             bits = [np.packbits((np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(bool))
                     .view(np.int64) for s in sets]
@@ -188,7 +247,7 @@ def _full_sets(words: int, turn: int = 0):
 
 
 def _shared_keys(texts: DataFrame, percent: int, words: int, turn: int = 0) -> DataFrame:
-    """``_key, _own, _n, _slack`` of keys that several classes have; one shuffle of key rows.
+    """``_key, _own, _n, _slack`` of keys that several classes have, and how many (``_freq``); one shuffle of key rows.
 
     Tasks send each class once however many copies they read; within a key rows are sorted by owner, and a look at both
     neighbours tells whether another class is there, so keys are streamed, not gathered.
@@ -201,7 +260,8 @@ def _shared_keys(texts: DataFrame, percent: int, words: int, turn: int = 0) -> D
     # Repeats of the same owner (copies read by other tasks) give one row.
     fresh = F.col("_before").isNull() | (F.col("_before") != F.col("_own"))
     other = F.col("_before").isNotNull() | (F.col("_after") != F.col("_own"))
-    return met.filter(fresh & (other | (F.col("_after") == F.col("_own")))).select("_key", "_own", "_n", "_slack")
+    kept = met.filter(fresh & (other | (F.col("_after") == F.col("_own")))).select("_key", "_own", "_n", "_slack")
+    return kept.withColumn("_freq", F.count(F.lit(1)).over(Window.partitionBy("_key"))).filter("_freq > 1")
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -210,6 +270,12 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.drop("_freq").join(counts, "_key")
 
 
+def _enough(rows: DataFrame) -> DataFrame:
+    """Rows of owners that share more keys than their slack; an owner is bounded by its document."""
+    count = F.count(F.lit(1)).over(Window.partitionBy("_own"))
+    return rows.withColumn("_shared", count).filter(F.col("_shared") > F.col("_slack")).drop("_shared")
+
+
 def _rarest(rows: DataFrame) -> DataFrame:
     """All keys of an owner but its ``_slack`` most frequent ones, which no link needs.
 
@@ -341,10 +407,8 @@ def near_duplicates(
         turn += 1
     shared = staged(_shared_keys(texts.select("_text"), percent, words, turn), "near-shared")
     # Twice: owners without enough shared keys leave, which makes further keys unshared.
-    for _ in range(2):
-        several = _several(shared)
-        counts = several.groupBy("_own").agg(F.count(F.lit(1)).alias("_keys"))
-        shared = staged(several.join(counts, "_own").filter(F.col("_keys") > F.col("_slack")).drop("_keys"), "near-shared")
+    shared = staged(_enough(shared), "near-shared")
+    shared = staged(_enough(_several(shared)), "near-shared")
     shared = staged(_several(_rarest(_several(shared))), "near-rarest")
     wanted = shared.select(F.col("_own").bitwiseAND(F.lit(~1)).alias("_cls")).distinct()
     chosen = staged(classes.join(wanted, "_cls", "left_semi").select(F.col("_first").alias("_id")), "near-chosen")
