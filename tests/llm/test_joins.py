@@ -209,6 +209,36 @@ def test_banded_distance_of_long_lines(spark, edits):
     assert all(got)
 
 
+def test_banded_distance_beyond_one_number(spark):
+    """More edits than one number holds go lane by lane, with equal results."""
+    rng, pairs = random.Random(8), []
+    for _ in range(100):
+        a = [rng.choice("abcde") for _ in range(rng.choice([5, 20, 60]))]
+        pairs.append(("".join(a), "".join(_mutated(rng, a, rng.randint(0, 9)))))
+    edits = line_dedup.MOST_PACKED + 2
+    table = spark.createDataFrame(pairs, "a string, b string")
+    for r in table.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), edits).alias("w")).collect():
+        assert r.w == (_distance(r.a, r.b) <= edits), (r.a, r.b)
+
+
+def test_distance_is_a_small_expression(spark):
+    """Plans hold it for each band and matching, on the driver."""
+    assert len(str(line_dedup.within(F.col("a"), F.col("b"), 5))) < 10_000
+
+
+def test_letter_counts_lose_no_near_pair(spark):
+    rng, pairs = random.Random(9), []
+    for _ in range(300):
+        a = [rng.choice("abcdeé 59.,xyz") for _ in range(rng.randint(5, 50))]
+        pairs.append(("".join(a), "".join(_mutated(rng, a, rng.randint(0, 6)))))
+    allow = line_dedup._counts_allow(F.col("a"), F.col("b"), 3).alias("w")
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", allow).collect():
+        assert r.w or _distance(r.a, r.b) > 3, (r.a, r.b)
+    # Equally long, differing in letters that are not among the most frequent: never verified.
+    far = spark.createDataFrame([("a line of words bcdfgh", "a line of words mpqvwx")], "a string, b string")
+    assert not far.select(allow).first().w
+
+
 @pytest.mark.parametrize("edits,small", [(1, 32), (1, 2), (2, 2)])
 def test_near_lines(spark, edits, small, monkeypatch):
     """Small key limits force the splitting of keys by further segments."""

@@ -26,8 +26,10 @@ SMALL_KEY, MOST_SPLITS = 32, 4
 #: Bits for each index key in the bitmap that probes are tested against before they are shuffled, and most bits (as a power of
 #: two): 16 MB for all keys and as much for those of several lines.  With more keys false hits only lengthen the join.
 KEY_BITS, MOST_BITS = 20, 27
-#: Letters counted before a pair is verified; any would do, frequent ones tell most.
-COUNTED = " aeinorst"
+#: Letters counted before a pair is verified, and those counted as well if these allow it; any would do, frequent ones tell most.
+COUNTED, COUNTED_NEXT = " aeinorst", "bcdfghjklmpquvwxyz.,0123456789"
+#: Edits whose states fit one number of 64 bits.
+MOST_PACKED = 5
 #: Letters read between two looks at the states; log2 of the longest common beginning or end cut off at once; pairs
 #: verified by one task.
 BLOCK, MOST_COMMON, PAIRS_OF_TASK = 16, 20, 2_000
@@ -130,11 +132,85 @@ def within_band(a: Column, b: Column, max_edits: int | Sequence[tuple[int, int]]
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance is at most ``edits``, over the diagonal band alone.
 
-    State e holds a bit for each of the ``2·edits + 1`` prefixes of ``a`` whose length differs from the part of ``b`` read
-    by no more than ``edits``: set if that prefix is within e edits.  One character of ``b`` updates all of them by a few
-    bit operations; blocks of letters that cannot change the states are passed over.
+    Lane e tells, by a bit for each of the ``2·edits + 1`` prefixes of ``a`` whose length differs from the part of ``b`` read
+    by no more than ``edits``, which are within e edits.  One character of ``b`` updates all of them by a few
+    bit operations; blocks of letters that cannot change them are passed over.
     """
     width = 2 * edits + 1
+    last_state = _packed(edits) if edits <= MOST_PACKED else _by_lanes(edits)
+
+    def letters(pair: Column) -> Column:
+        def of(text: Column) -> Column:
+            return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, "", -1))
+        # So many places before the first letter that no diagonal begins below 0.
+        before = F.array_repeat(F.lit(None).cast("string"), edits)
+        return F.struct(F.concat(before, of(pair["a"])).alias("a"), of(pair["b"]).alias("b"))
+
+    gap = F.length(a) - F.length(b) + edits
+    close = (gap >= 0) & (gap < width)
+    # Bound once per pair, one after the other; named directly inside the step they would be made again for each letter.
+    bound = F.transform(F.transform(_apart(a, b), letters), last_state)
+    read = F.when(close, F.get(bound, F.lit(0)))
+    return F.when(close, F.getbit(read, F.when(close, gap).otherwise(0)) == 1).otherwise(False)
+
+
+def _packed(edits: int) -> Callable[[Column], Column]:
+    """The last lane of a pair of letter arrays, at bit 0, all lanes being one number; ``MOST_PACKED`` edits at most.
+
+    Lane e holds a bit for each prefix of ``a`` whose length differs from the part of ``b`` read by no more than e: set if
+    that prefix is within e edits.  One letter of ``b`` updates all lanes together by a few bit operations.
+    """
+    width = 2 * edits + 1  # of a lane; that of e edits begins at bit width * e - edits
+    least = width * edits - edits
+
+    def number(value: int) -> Column:
+        return F.lit(value).cast("bigint")
+
+    lower, every = number((1 << least) - 1), number((1 << (least + width)) - 1)
+    # One prefix and what further edits reach from it: a bit more to either side in each lane.
+    cone = sum(1 << (width * e + k) for e in range(edits + 1) for k in range(-e, e + 1))
+    # Diagonal k in all lanes (of the first, only the middle one counts).
+    lanes = [sum(1 << p for e in range(edits + 1) if (p := width * e + k - edits) >= 0) for k in range(width)]
+
+    def step(state: Column, equal: Column) -> Column:
+        kept, reach = state.bitwiseAND(equal), 1
+        while reach <= edits:  # letters of ``a`` left out, one lane up each
+            kept = kept.bitwiseOR(F.shiftleft(kept, reach * (width + 1)))
+            reach *= 2
+        if not edits:
+            return kept
+        less = state.bitwiseAND(lower)
+        return kept.bitwiseOR(F.shiftleft(less, width)).bitwiseOR(F.shiftleft(less, width - 1)).bitwiseAND(every)
+
+    def last_state(pair: Column) -> Column:
+        # Block by block: a whole block costs one look once the state is empty, or if one diagonal is ahead and the block
+        # agrees along it: whatever further diagonals could be reached lies within its cone.
+        def block(state: Column, turn: Column) -> Column:
+            begin = turn * BLOCK
+            first = F.bit_count(state.bitwiseAND(-state) - 1)
+            settled = state == F.call_function("shiftleft", number(cone), first).bitwiseAND(every)
+            read = F.slice(pair["b"], begin + 1, F.lit(BLOCK))
+            same = F.slice(pair["a"], begin + (first + edits) % width + 1, F.lit(BLOCK)) == read
+
+            def masks(near: Column) -> Column:
+                return F.transform(read, lambda letter, i: reduce(lambda x, y: x.bitwiseOR(y), [
+                    F.when(F.get(near, i + k) == letter, number(lanes[k])).otherwise(number(0)) for k in range(width)]))
+
+            # The letters of ``a`` beside the block, bound once.
+            beside = F.transform(F.array(F.slice(pair["a"], begin + 1, F.lit(BLOCK + 2 * edits))), masks)
+            return F.when(state == 0, state).when(settled & same, state).otherwise(
+                F.aggregate(F.get(beside, F.lit(0)), state, step))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pair["b"]) - 1) / BLOCK).cast("int"))
+        read = F.when(F.size(pair["b"]) == 0, number(cone)).otherwise(F.aggregate(blocks, number(cone), block))
+        return F.shiftright(read, least)
+
+    return last_state
+
+
+def _by_lanes(edits: int) -> Callable[[Column], Column]:
+    """The last state of a pair of letter arrays, each lane a number of its own: for more edits than one number holds."""
+    width = 2 * edits + 1
     mask = (1 << width) - 1
     states = [f"r{e}" for e in range(edits + 1)]
     start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits & mask).alias(s) for e, s in enumerate(states)])
@@ -142,7 +218,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
     def last_state(pair: Column) -> Column:
         def step(state: Column, at: Column) -> Column:
             letter = F.get(pair["b"], at)
-            same = [F.when(F.get(pair["a"], at - edits + k) == letter, 1 << k).otherwise(0) for k in range(width)]
+            same = [F.when(F.get(pair["a"], at + k) == letter, 1 << k).otherwise(0) for k in range(width)]
             equal = reduce(lambda x, y: x.bitwiseOR(y), same)
             new: list[Column] = []
             for e, s in enumerate(states):
@@ -171,9 +247,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
         def block(state: Column, number: Column) -> Column:
             begin = number * BLOCK
             ahead = F.coalesce(*[F.nullif(state[s], F.lit(0)) for s in states])
-            shift = begin + F.bit_count(ahead - 1) - edits
-            same = (shift >= 0) & (F.slice(pair["a"], F.greatest(shift, F.lit(0)) + 1, F.lit(BLOCK)) == F.slice(
-                pair["b"], begin + 1, F.lit(BLOCK)))
+            same = F.slice(pair["a"], begin + F.bit_count(ahead - 1) + 1, F.lit(BLOCK)) == F.slice(
+                pair["b"], begin + 1, F.lit(BLOCK))
             places = F.sequence(begin, F.least(begin + (BLOCK - 1), F.size(pair["b"]) - 1))
             return F.when(state[states[-1]] == 0, state).when(settled(state) & same, state).otherwise(
                 F.aggregate(places, state, step))
@@ -182,17 +257,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
         read = F.aggregate(blocks, start, block, lambda s: s[states[-1]])
         return F.when(F.size(pair["b"]) == 0, start[states[-1]]).otherwise(read)
 
-    def letters(pair: Column) -> Column:
-        def of(text: Column) -> Column:
-            return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, "", -1))
-        return F.struct(of(pair["a"]).alias("a"), of(pair["b"]).alias("b"))
-
-    gap = F.length(a) - F.length(b) + edits
-    close = (gap >= 0) & (gap < width)
-    # Bound once per pair, one after the other; named directly inside the step they would be made again for each letter.
-    bound = F.transform(F.transform(_apart(a, b), letters), last_state)
-    read = F.when(close, F.get(bound, F.lit(0)))
-    return F.when(close, F.getbit(read, F.when(close, gap).otherwise(0)) == 1).otherwise(False)
+    return last_state
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -243,14 +308,20 @@ def _matching(pairs: DataFrame, texts: DataFrame, edits: int | Sequence[tuple[in
 
 
 def _counts_allow(a: Column, b: Column, max_edits: int | Sequence[tuple[int, int]]) -> Column:
-    """Whether letter counts leave an edit distance within the band of ``b``: an edit changes two counts by one at most."""
+    """Whether letter counts leave an edit distance within the band of ``b``.
+
+    An edit changes two counts by one at most, and one that changes the length only one count; frequent letters first.
+    """
     allowed = F.lit(0)
     for low, high, edits in bands(max_edits):
         allowed = F.when(_in_band(F.length(b), low, high), 2 * edits).otherwise(allowed)
+    allowed = allowed - F.abs(F.length(a) - F.length(b))
 
-    def count(text: Column, letter: str) -> Column:
-        return F.length(text) - F.length(F.replace(text, F.lit(letter)))
-    return reduce(lambda x, y: x + y, [F.abs(count(a, c) - count(b, c)) for c in COUNTED]) <= allowed
+    def apart(letters: str) -> Column:
+        def count(text: Column, letter: str) -> Column:
+            return F.length(text) - F.length(F.replace(text, F.lit(letter)))
+        return reduce(lambda x, y: x + y, [F.abs(count(a, c) - count(b, c)) for c in letters])
+    return (apart(COUNTED) <= allowed) & (apart(COUNTED + COUNTED_NEXT) <= allowed)
 
 
 def _indexed(lines: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> DataFrame:
