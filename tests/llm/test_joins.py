@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from wattshare import session
 from wattshare.llm import jaccard_join, line_dedup, stages
 from wattshare.llm.components import connected
 from wattshare.llm.queries import QUERIES
@@ -239,6 +240,44 @@ def test_letter_counts_lose_no_near_pair(spark):
     assert not far.select(allow).first().w
 
 
+def _copies_with_a_word_longer(n):
+    """Lines that share nearly all segments though any two are eight edits apart."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("etaoinshrdlu    ") for _ in range(400))
+    places = [7 + 385 * i // n for i in range(n)]
+    return [base[:p] + "".join(rng.choice("bcfgjkmpqvwxyz") for _ in range(4)) + base[p:] for p in places]
+
+
+def test_letter_counts_at_cuts(spark):
+    """Counts before and after cuts tell lines apart whose letters as a whole might be near, and lose no near pair."""
+    lines = _copies_with_a_word_longer(24)
+    rng, pairs = random.Random(13), list(combinations(lines, 2))
+    rows = [(a, b, False) for a, b in pairs]
+    for a in lines * 8:
+        b = "".join(x[0] for x in _mutated(rng, list(a[rng.choice([0, 100, 300]):]), rng.randint(0, 6)))
+        rows.append((a[-len(b):], b, True))
+    table = spark.createDataFrame(rows, "a string, b string, near boolean")
+    n, k = table.select(line_dedup._counts_allow(F.col("a"), F.col("b"), 5).alias("w"), line_dedup.within(F.col("a"), F.col("b"), 5).alias("d"), "near").agg(
+        F.count_if(~F.col("near") & F.col("w")), F.count_if(F.col("d") & ~F.col("w"))).first()
+    assert n < 0.4 * len(pairs) and k == 0 and not table.filter("NOT near").select(
+        F.bool_or(line_dedup.within(F.col("a"), F.col("b"), 5))).first()[0]
+
+
+def test_open_pairs_of_a_group_are_few(spark, monkeypatch):
+    """Near copies of one line, none near another: few pairs go on to be verified, each once, and no table but the result stays."""
+    lines, made, staged = _copies_with_a_word_longer(40), {}, line_dedup.staged
+
+    def counted(df, label, *more):
+        table = staged(df, label, *more)
+        made.setdefault(label, []).append(table.count())
+        return table
+    monkeypatch.setattr(line_dedup, "staged", counted)
+    before = set(session._staged_by(spark))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert line_dedup.near_lines(docs, "doc_id", "text", line_dedup.MAX_EDITS, 24).count() == 0
+    assert sum(made["line-pairs"]) < 0.4 * 40 * 39 / 2 and len(set(session._staged_by(spark)) - before) == 1
+
+
 @pytest.mark.parametrize("edits,small", [(1, 32), (1, 2), (2, 2)])
 def test_near_lines(spark, edits, small, monkeypatch):
     """Small key limits force the splitting of keys by further segments."""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wattshare.llm.common import BROADCAST_ROWS
 from wattshare.llm.components import connected
-from wattshare.session import staged
+from wattshare.session import staged, staged_alone, staged_tables
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 75
 #: Bands grow by this factor; segments are this share of a band's upper size.
@@ -405,11 +405,13 @@ def near_duplicates(
         if classes.groupBy("_cls").count().filter("count > 1").isEmpty():
             break
         turn += 1
+    # Each of these tables is a part of the one before, which then goes.
+    since = staged_tables(docs.sparkSession)
     shared = staged(_shared_keys(texts.select("_text"), percent, words, turn), "near-shared")
     # Twice: owners without enough shared keys leave, which makes further keys unshared.
-    shared = staged(_enough(shared), "near-shared")
-    shared = staged(_enough(_several(shared)), "near-shared")
-    shared = staged(_several(_rarest(_several(shared))), "near-rarest")
+    shared = staged_alone(_enough(shared), "near-shared", since)
+    shared = staged_alone(_enough(_several(shared)), "near-shared", since)
+    shared = staged_alone(_several(_rarest(_several(shared))), "near-rarest", since)
     wanted = shared.select(F.col("_own").bitwiseAND(F.lit(~1)).alias("_cls")).distinct()
     chosen = staged(classes.join(wanted, "_cls", "left_semi").select(F.col("_first").alias("_id")), "near-chosen")
     few = chosen.limit(broadcast_rows + 1).count() <= broadcast_rows

@@ -14,20 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattshare.llm.common import BROADCAST_ROWS, if_small, text_or_empty
-from wattshare.session import staged
+from wattshare.session import staged, staged_alone, staged_tables
 
 #: Edits between near lines, as (characters from which they hold for the shorter line, edits): one for 30 characters, 5 at most.
 MAX_EDITS = ((0, 1), (60, 2), (90, 3), (120, 4), (150, 5))
 #: Characters from which a line is looked at; share of a document's characters above which its repeated lines mean a copy
 #: rather than boilerplate.
 MIN_CHARS, COPY_SHARE = 24, 0.5
-#: Index lines of a key up to which all are compared; larger keys are split by further segments first, so often at most.
-SMALL_KEY, MOST_SPLITS = 32, 4
+#: Index lines of a key up to which all are compared, by their letter codes inside the join; larger keys are split by further
+#: segments first, so often at most.  A split makes a row for each place of ``probe_codes``, as dear as some hundred comparisons.
+SMALL_KEY, MOST_SPLITS = 512, 4
 #: Bits for each index key in the bitmap that probes are tested against before they are shuffled, and most bits (as a power of
 #: two): 16 MB for all keys and as much for those of several lines.  With more keys false hits only lengthen the join.
 KEY_BITS, MOST_BITS = 20, 27
-#: Letters counted before a pair is verified, and those counted as well if these allow it; any would do, frequent ones tell most.
-COUNTED, COUNTED_NEXT = " aeinorst", "bcdfghjklmpquvwxyz.,0123456789"
+#: Letters counted before a pair is verified, so many to a number; any would do, frequent ones tell most.  Places at which lines
+#: are cut for that.  Keys of a line that are looked through so that a pair is made at one of them alone.
+COUNTED, TO_A_NUMBER, CUTS, FIRST_KEYS = " aeinorstbcdfghjklmpquvwxyz.,0123456789", 15, 7, 128
 #: Edits whose states fit one number of 64 bits.
 MOST_PACKED = 5
 #: Letters read between two looks at the states; log2 of the longest common beginning or end cut off at once; pairs
@@ -296,32 +298,140 @@ def _apart(a: Column, b: Column) -> Column:
     return out
 
 
-def _matching(pairs: DataFrame, texts: DataFrame, edits: int | Sequence[tuple[int, int]]) -> DataFrame:
-    """``_h`` of those pairs (_h, _lo) whose texts are within reach; each ``_h`` once."""
+def _matching(pairs: DataFrame, texts: DataFrame, near: Column) -> DataFrame:
+    """``_h`` of those pairs (_h, _lo) that are ``near``, a condition on the texts ``_a`` and ``_b``; each ``_h`` once."""
     own = texts.select("_h", F.col("_line").alias("_a"))
     partner = texts.select(F.col("_h").alias("_lo"), F.col("_line").alias("_b"))
     # Verifying costs far more than moving a pair: tasks of few pairs, whatever their bytes.
     tasks = max(1, -(-pairs.count() // PAIRS_OF_TASK))
-    met = pairs.join(own, "_h").join(partner, "_lo").filter(_counts_allow(F.col("_a"), F.col("_b"), edits))
-    near = F.bool_or(within_band(F.col("_a"), F.col("_b"), edits)).alias("_near")
-    return met.repartition(tasks, F.xxhash64("_h", "_lo")).groupBy("_h").agg(near).filter("_near").select("_h")
+    met = pairs.join(own, "_h").join(partner, "_lo")
+    return met.repartition(tasks, F.xxhash64("_h", "_lo")).groupBy("_h").agg(F.bool_or(near).alias("_near")).filter("_near").select("_h")
 
 
-def _counts_allow(a: Column, b: Column, max_edits: int | Sequence[tuple[int, int]]) -> Column:
-    """Whether letter counts leave an edit distance within the band of ``b``.
+def _packed_counts(text: Column) -> list[Column]:
+    """Counts of the letters ``COUNTED`` modulo 8, four bits each, ``TO_A_NUMBER`` to a number."""
+    def count(letter: str) -> Column:
+        return (F.size(F.split(text, "\\." if letter == "." else letter, -1)) - 1).bitwiseAND(F.lit(7)).cast("bigint")
+    return [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(count(c), 4 * i) for i, c in enumerate(COUNTED[at:at + TO_A_NUMBER])])
+            for at in range(0, len(COUNTED), TO_A_NUMBER)]
 
-    An edit changes two counts by one at most, and one that changes the length only one count; frequent letters first.
+
+def _of_each(bits: int) -> Column:
+    """The four bits repeated for each letter of a number."""
+    return F.lit(sum(bits << 4 * i for i in range(TO_A_NUMBER))).cast("bigint")
+
+
+def _ring(counts: Column) -> Column:
+    """Packed counts as places in a ring of eight: 0000, 0001, 0011, 0111, 1111, 1110, 1100, 1000.
+
+    Neighbours differ in one bit, so two counts' places differ in no more bits than the counts differ.
+    """
+    low, mid, high = (F.shiftright(counts, k).bitwiseAND(_of_each(1)) for k in (0, 1, 2))
+    ladder = low.bitwiseOR(mid).bitwiseOR(F.shiftleft(mid, 1)).bitwiseOR(F.shiftleft(low.bitwiseAND(mid), 2))
+    return ladder.bitwiseXOR(reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(high, k) for k in range(4)]))
+
+
+#: What lines are compared by: length and letter codes of the whole, then the step between cuts and the codes at the cuts.
+WHOLE, CUT = ["n", "whole"], ["step", "cuts"]
+
+
+def _whole_codes(text: Column) -> dict[str, Column]:
+    """``n`` (length) and ``whole``: letter counts as places in rings."""
+    return {"n": F.length(text), "whole": F.array(*[_ring(x) for x in _packed_counts(text)])}
+
+
+def _cut_codes(text: Column) -> dict[str, Column]:
+    """``step`` and ``cuts``: letter counts before and after each cut as places in rings, side by side.
+
+    Lines are cut at the first ``CUTS`` multiples of a quarter of the largest power of two that their length reaches.
+    """
+    numbers = range(-(-len(COUNTED) // TO_A_NUMBER))
+    power = F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.length(text).cast("bigint"))) - 1)
+    step = F.greatest(F.lit(1), F.shiftright(power, 2))
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(CUTS)), lambda j: F.substring(text, j * step + 1, step))
+    counts = F.transform(blocks, lambda b: F.array(*_packed_counts(b)))
+    none = F.array(*[F.lit(0).cast("bigint") for _ in numbers])
+
+    def sums(c: Column) -> Column:
+        def add(x: Column, y: Column) -> Column:
+            return F.array(*[(F.get(x, F.lit(i)) + F.get(y, F.lit(i))).bitwiseAND(_of_each(7)) for i in numbers])
+        return F.transform(F.sequence(F.lit(1), F.lit(CUTS + 1)), lambda j: F.aggregate(F.slice(c, F.lit(1), j), none, add))
+
+    def codes(c: Column) -> Column:
+        whole = F.get(c, F.lit(CUTS))
+        return F.transform(F.slice(c, 1, CUTS), lambda x: F.array(*[_ring(F.get(x, F.lit(i))) for i in numbers], *[_ring(
+            (F.get(whole, F.lit(i)).bitwiseOR(_of_each(8)) - F.get(x, F.lit(i))).bitwiseAND(_of_each(7))) for i in numbers]))
+    # Bound one after the other; named directly inside the steps they would be made again for each cut.
+    return {"step": step, "cuts": F.get(F.transform(F.transform(F.array(counts), sums), codes), F.lit(0))}
+
+
+def _fit(a: Callable[[str], Column], b: Callable[[str], Column], max_edits: int | Sequence[tuple[int, int]], cuts: bool) -> Column:
+    """Whether the letter codes of two lines leave an edit distance within the band of ``b``, the shorter text.
+
+    An edit changes two counts by one at most, and one that changes the length only one count.  Before a cut, such an edit also moves one
+    letter across the cut, and as many edits after it, less the difference of the lengths, move it back: what lies before and
+    what lies after the cut differ by two counts an edit and that difference at most, both together.
     """
     allowed = F.lit(0)
     for low, high, edits in bands(max_edits):
-        allowed = F.when(_in_band(F.length(b), low, high), 2 * edits).otherwise(allowed)
-    allowed = allowed - F.abs(F.length(a) - F.length(b))
+        allowed = F.when(_in_band(b("n"), low, high), 2 * edits).otherwise(allowed)
+    numbers = -(-len(COUNTED) // TO_A_NUMBER)
+
+    def apart(x: Column, y: Column, n: int) -> Column:
+        return reduce(lambda u, v: u + v, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(n)])
+    gap = F.abs(a("n") - b("n"))
+    fits = apart(a("whole"), b("whole"), numbers) + gap <= allowed
+    if cuts:
+        most = F.array_max(F.zip_with(a("cuts"), b("cuts"), lambda x, y: apart(x, y, 2 * numbers)))
+        fits = fits & ((a("step") != b("step")) | (most <= allowed + gap))
+    return fits
+
+
+def _counts_allow(a: Column, b: Column, max_edits: int | Sequence[tuple[int, int]], cuts: bool = True) -> Column:
+    """The same of two texts."""
+    own, other = ({**_whole_codes(t), **_cut_codes(t)} for t in (a, b))
+    return _fit(lambda c: own[c], lambda c: other[c], max_edits, cuts)
 
-    def apart(letters: str) -> Column:
-        def count(text: Column, letter: str) -> Column:
-            return F.length(text) - F.length(F.replace(text, F.lit(letter)))
-        return reduce(lambda x, y: x + y, [F.abs(count(a, c) - count(b, c)) for c in letters])
-    return (apart(COUNTED) <= allowed) & (apart(COUNTED + COUNTED_NEXT) <= allowed)
+
+def _with_codes(rows: DataFrame, line: str, name: str, codes: DataFrame) -> DataFrame:
+    return rows.join(codes.select(F.col("_h").alias(line), *[
+        F.col(c).alias(f"{name}{c}") for c in WHOLE + CUT if c in codes.columns]), line)
+
+
+def _fitting(max_edits: int | Sequence[tuple[int, int]], cuts: bool) -> Column:
+    return _fit(lambda c: F.col(f"_a_{c}"), lambda c: F.col(f"_b_{c}"), max_edits, cuts)
+
+
+def _allowed(rows: DataFrame, others: DataFrame, texts: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> DataFrame:
+    """``_h, _lo`` of the ``rows`` (_g, _h, _longer) and the lines of ``others`` (_og, _lo) with their key whose letters allow it.
+
+    ``_lo`` is before ``_h``; each pair once.  All is compared inside the join, before it yields a row, and a pair is made at the
+    least of its keys alone: a key of many lines costs a few operations on numbers for each pair.
+    """
+    def keyed(side: DataFrame, line: str, key: str, keys: str) -> DataFrame:
+        # A line has no more keys than places of ``probe_codes``.
+        of_line = side.groupBy(line).agg(F.slice(F.sort_array(F.collect_set(key)), 1, FIRST_KEYS).alias(keys))
+        return side.join(of_line, line)
+    compared = rows.select("_h").unionByName(others.select(F.col("_lo").alias("_h"))).distinct()
+    codes = staged(texts.join(compared, "_h", "left_semi").select("_h", *WHOLE, *[
+        c.alias(name) for name, c in _cut_codes(F.col("_line")).items()]), "line-codes")
+    left = _with_codes(keyed(rows, "_h", "_g", "_keys"), "_h", "_a_", codes)
+    right = _with_codes(keyed(others, "_lo", "_og", "_okeys"), "_lo", "_b_", codes)
+    once = F.coalesce(F.array_min(F.array_intersect("_keys", "_okeys")) == F.col("_g"), F.lit(True))
+    fits = _fitting(max_edits, True)
+    return left.join(right, (F.col("_g") == F.col("_og")) & _before() & fits & once).select("_h", "_lo").distinct()
+
+
+def _allowed_pairs(pairs: DataFrame, texts: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> DataFrame:
+    """Those of the pairs (_h, _lo) whose letters allow it, each once."""
+    other = texts.select(F.col("_h").alias("_b_h"), *[F.col(c).alias(f"_b_{c}") for c in WHOLE])
+    met = _with_codes(pairs.select("_h", "_lo").distinct(), "_h", "_a_", texts)
+    return met.join(other, (F.col("_lo") == F.col("_b_h")) & _fitting(max_edits, False)).select("_h", "_lo")
+
+
+def _before() -> Column:
+    """Whether ``_lo`` is before ``_h`` in the order of (length, hash); ``_longer``: ``_h`` is the longer of the two."""
+    return F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))
 
 
 def _indexed(lines: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> DataFrame:
@@ -346,20 +456,21 @@ def _probing(lines: DataFrame, max_edits: int | Sequence[tuple[int, int]]) -> Da
 def _key_bits(heads: DataFrame) -> tuple[DataFrame, int]:
     """Bitmaps of the keys (``_all``) and of those with several lines (``_several``), in blocks of 64 words, and their bits."""
     bits = 1 << min(MOST_BITS, max(16, (KEY_BITS * heads.count()).bit_length()))
-    placed = heads.select(F.pmod("_k", F.lit(bits)).alias("_p"), (F.col("_lo") != F.col("_hi")).alias("_many")).select(
-        F.shiftright("_p", 12).alias("_block"), F.expr("CAST(_p >> 6 & 63 AS INT)").alias("_word"),
-        F.expr("shiftleft(1L, CAST(_p & 63 AS INT))").alias("_bit"), "_many")
-    # Words first, which combine; then a block's 64 words side by side.
-    blocks = placed.groupBy("_block", "_word").agg(
-        F.bit_or("_bit").alias("_bit"), F.bit_or(F.when(F.col("_many"), F.col("_bit"))).alias("_manybit"))
-    # At most 64 entries of a block; as many aggregates side by side would make methods too large to compile.
-    found = blocks.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct(
-        "_word", F.struct(F.col("_bit").alias("all"), F.col("_manybit").alias("several"))))).alias("_words"))
-
-    def dense(bit: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda w: F.coalesce(
-            F.try_element_at("_words", w)[bit], F.lit(0).cast("bigint")))
-    return found.select("_block", dense("all").alias("_all"), dense("several").alias("_several")), bits
+    placed = heads.select("_k", F.pmod("_k", F.lit(bits)).alias("_p"), (F.col("_lo") != F.col("_hi")).alias("_many")).select(
+        F.shiftright("_p", 12).alias("_block"), F.expr("CAST(_p >> 6 & 63 AS INT)").alias("_word"), _key_mask().alias("_bit"), "_many")
+    # Words first, which combine, an empty one for each place besides; then a block's 64 words side by side.
+    empty = F.lit(0).cast("bigint")
+    every = heads.sparkSession.range(bits >> 6).select(
+        F.shiftright("id", 6).alias("_block"), F.col("id").bitwiseAND(F.lit(63)).cast("int").alias("_word"), empty.alias("_bit"), F.lit(False).alias("_many"))
+    words = placed.unionByName(every).groupBy("_block", "_word").agg(
+        F.bit_or("_bit").alias("all"), F.bit_or(F.when(F.col("_many"), F.col("_bit")).otherwise(empty)).alias("several"))
+    found = words.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_word", "all", "several"))).alias("_words"))
+    return found.select("_block", F.col("_words.all").alias("_all"), F.col("_words.several").alias("_several")), bits
+
+
+def _key_mask() -> Column:
+    """Three bits of a key's word, by parts of ``_k`` that the word's place does not use: of a key that is not there all are seldom set."""
+    return F.expr(" | ".join(f"shiftleft(1L, CAST(_k >> {by} & 63 AS INT))" for by in (40, 46, 52)))
 
 
 def _tested(probes: DataFrame, heads: DataFrame) -> DataFrame:
@@ -372,8 +483,8 @@ def _tested(probes: DataFrame, heads: DataFrame) -> DataFrame:
     placed = probes.select("_h", F.col("_x.k").alias("_k"), F.col("_x.longer").alias("_longer"), F.col("_x.own").alias("_own")).withColumn(
         "_p", F.pmod("_k", F.lit(bits)))
     met = placed.join(blocks, F.shiftright("_p", 12) == F.col("_block"))
-    hit = F.expr("getbit(get(CASE WHEN _own THEN _several ELSE _all END, CAST(_p >> 6 & 63 AS INT)), CAST(_p & 63 AS INT)) = 1")
-    return met.filter(hit).select("_h", "_k", "_longer")
+    word = F.expr("get(CASE WHEN _own THEN _several ELSE _all END, CAST(_p >> 6 & 63 AS INT))")
+    return met.filter(word.bitwiseAND(_key_mask()) == _key_mask()).select("_h", "_k", "_longer")
 
 
 def near_lines(
@@ -385,52 +496,60 @@ def near_lines(
     same stage that makes them.  Narrow key rows (two numbers each) then meet in one join: the index is reduced to the
     first line of a key by a combinable aggregate, so no key holds more than one row there, and a hot line only
     lengthens the probing side, which Spark can split.  Lines whose key has a line before them are tested against that
-    first one; most near lines are settled by it.  What is left meets all lines of its key if these are few; larger
+    first one; most near lines are settled by it.  What is left meets all lines of its key if these are not too many; larger
     keys are split by the segments of what remains of their lines, as often as ``MOST_SPLITS``, before all are compared.
+    Letter counts, made once per line, decide within the joins which pairs go on to the texts.
     """
+    spark = docs.sparkSession
+    since = staged_tables(spark)
     every = sorted({e for _, _, e in bands(max_edits)})
+    near = within_band(F.col("_a"), F.col("_b"), max_edits)
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        return staged(_matching(staged(pairs, "line-pairs"), texts, near), "line-settled")
+
     lines = staged(lines_of(docs, id_col, text_col, min_chars).groupBy("_h").agg(F.min("_line").alias("_line")), "line-distinct")
     index = _indexed(lines, max_edits).select("_h", F.col("_x.k").alias("_k"))
     first = staged(index.groupBy("_k").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")), "line-heads")
     probes = _tested(_probing(lines, max_edits), first)
-    matched = staged(probes.join(first, "_k").filter(
-        F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))).distinct(), "line-matched")
+    matched = staged(probes.join(first, "_k").filter(_before()).distinct(), "line-matched")
     # All lines of the keys that matched, then the texts of all of them: a fraction of the lines.
     keys = staged(matched.filter("_lo <> _hi").select("_k").distinct(), "line-keys")
     members = staged(index.join(if_small(keys), "_k", "left_semi").distinct(), "line-members")
     wanted = staged(matched.select("_h").unionByName(matched.select(F.col("_lo").alias("_h"))).unionByName(
         members.select("_h")).distinct(), "line-wanted")
-    texts = staged(lines.join(if_small(wanted), "_h", "left_semi").select("_h", "_line"), "line-texts")
-    settled = staged(_matching(staged(matched.select("_h", "_lo").distinct(), "line-pairs"), texts, max_edits), "line-settled")
-    # Open probes with the text that is still to be compared, and the index lines of their keys.
-    open_rows = matched.filter("_lo <> _hi").join(settled, "_h", "left_anti").select("_k", "_h").distinct()
-    left = _probing(open_rows.join(texts, "_h").select(F.col("_k").alias("_g"), "_h", "_line"), max_edits)
-    left = staged(left.filter("_x.k = _g").select("_g", "_h", "_e", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line")), "line-left")
-    right = members.join(left.select(F.col("_g").alias("_k")).distinct(), "_k", "left_semi").join(texts, "_h").select(
-        F.col("_k").alias("_g"), "_h", "_line")
-    right = staged(_indexed(right, max_edits).filter("_x.k = _g").select("_g", "_h", "_e", _rest("_line").alias("_line")), "line-right")
-    found = [settled]
+    texts = staged(lines.join(if_small(wanted), "_h", "left_semi").select("_h", "_line").withColumns(_whole_codes(F.col("_line"))), "line-texts")
+    found = [matching(_allowed_pairs(matched, texts, max_edits))]
+    # Open probes, and the index lines of their keys.
+    left = staged(matched.filter("_lo <> _hi").join(found[0], "_h", "left_anti").select(
+        F.col("_k").alias("_g"), "_h", "_longer").distinct(), "line-left")
+    right = staged(members.join(left.select(F.col("_g").alias("_k")).distinct(), "_k", "left_semi").select(
+        F.col("_k").alias("_g"), "_h"), "line-right")
     for turn in range(MOST_SPLITS + 1):
-        sizes = right.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-        small = sizes if turn == MOST_SPLITS else sizes.filter(F.col("_n") <= SMALL_KEY)
-        pairs = left.join(small, "_g").select("_g", "_h", "_longer").join(
-            right.select("_g", F.col("_h").alias("_lo")), "_g").filter(
-            F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h")))
-        found.append(staged(_matching(staged(pairs.select("_h", "_lo").distinct(), "line-pairs"), texts, max_edits), "line-settled"))
-        large = sizes.filter(F.col("_n") > SMALL_KEY).select("_g")
-        if turn == MOST_SPLITS or large.isEmpty():
+        sizes = staged(right.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "line-sizes")
+        large = sizes.filter(F.lit(turn < MOST_SPLITS) & (F.col("_n") > SMALL_KEY)).select("_g")
+        last = large.isEmpty()
+        rows = left.join(sizes.select("_g"), "_g", "left_semi").join(large, "_g", "left_anti")
+        found.append(matching(_allowed(rows.select("_g", "_h", "_longer"), right.select(F.col("_g").alias("_og"), F.col("_h").alias("_lo")), texts, max_edits)))
+        if last:
             break
+        if not turn:
+            # With the text that is still to be compared.
+            part = left.drop("_longer").join(large, "_g", "left_semi").join(texts.select("_h", "_line"), "_h")
+            left = _probing(part, max_edits).filter("_x.k = _g").select(
+                "_g", "_h", "_e", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line"))
+            part = right.join(large, "_g", "left_semi").join(texts.select("_h", "_line"), "_h")
+            right = _indexed(part, max_edits).filter("_x.k = _g").select("_g", "_h", "_e", _rest("_line").alias("_line"))
         part = _index_rows(right.join(large, "_g", "left_semi"), F.col("_g"), F.col("_e"), _of_edits(_segments, every))
         right = staged(part.select(F.col("_x.k").alias("_g"), "_h", "_e", _rest("_line").alias("_line")), "line-right")
         part = left.join(large, "_g", "left_semi").join(found[-1], "_h", "left_anti").select("_g", "_h", "_e", "_line")
         part = _probe_rows(part, F.col("_g"), _of_edits(probe_codes, every))
         part = part.select(F.col("_x.k").alias("_g"), "_h", "_e", F.col("_x.longer").alias("_longer"), _rest("_line").alias("_line"))
         heads = right.groupBy("_g").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
-        part = staged(part.join(heads, "_g").filter(
-            F.when(F.col("_longer"), F.col("_lo") != F.col("_h")).otherwise(F.col("_lo") < F.col("_h"))), "line-left")
-        found.append(staged(_matching(staged(part.select("_h", "_lo").distinct(), "line-pairs"), texts, max_edits), "line-settled"))
+        part = staged(part.join(heads, "_g").filter(_before()), "line-left")
+        found.append(matching(_allowed_pairs(part, texts, max_edits)))
         left = staged(part.filter("_lo <> _hi").join(found[-1], "_h", "left_anti").drop("_lo", "_hi"), "line-left")
-    return reduce(DataFrame.unionByName, found).distinct()
+    return staged_alone(reduce(DataFrame.unionByName, found).distinct(), "line-near", since)
 
 
 def _rest(text: str) -> Column:
@@ -453,6 +572,7 @@ def repeated_lines(
     Null and empty texts have no lines; a null id counts as the last; rows that repeat an id are one document here: what
     goes from one goes from the other.  An empty table gives an empty table.
     """
+    since = staged_tables(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col, min_chars)
     places = lines.select("_h", F.hash("_line").alias("_m"), F.length("_line").alias("_size"), "_id", "_no").distinct()
     places = staged(places, "line-places")
@@ -470,7 +590,7 @@ def repeated_lines(
         whole = places.groupBy("_id").agg(F.sum("_size").alias("_all"))
         lost = lost.alias("l").join(whole.alias("w"), F.col("l._id").eqNullSafe(F.col("w._id"))).filter(
             F.col("_lost") <= F.lit(copy_share) * F.col("_all")).select("l._id", "exact", "near")
-    return lost.select("_id", "exact", "near", F.sort_array(F.concat("exact", "near")).alias("drop"))
+    return staged_alone(lost.select("_id", "exact", "near", F.sort_array(F.concat("exact", "near")).alias("drop")), "line-lost", since)
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,6 @@ from wattshare.llm.secret_scan import secrets
 from wattshare.llm.sharding import sharded
 from wattshare.llm.toxicity import fit_lexicon, held_out, score_toxicity
 from wattshare.llm.vector_dedup import near_vectors
-from wattshare.session import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,7 +92,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    dropped = staged(repeated_lines(docs, copy_share=None), "op5-dropped")
+    dropped = repeated_lines(docs, copy_share=None)
     counts = dropped.select(
         F.col("_id").alias("doc_id"), F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"))
     counts = counts.withColumnRenamed("doc_id", "_counted")

@@ -16,7 +16,7 @@ from wattshare.llm.mixing import mixture
 from wattshare.llm.packing import packed_pieces
 from wattshare.llm.queries import table, tokenizer_path
 from wattshare.llm.toxicity import fit_lexicon, score_column
-from wattshare.session import staged
+from wattshare.session import staged, staged_alone, staged_tables
 
 #: Score from which a document is rejected.
 REJECTED = 0.5
@@ -67,7 +67,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     as the last; an empty table gives an empty table.
     """
     texts = docs.select(row_key().alias("key"), "text")
-    found = staged(near_duplicates(texts, id_col="key"), "stage-near")
+    since = staged_tables(spark)
+    found = staged_alone(near_duplicates(texts, id_col="key"), "stage-near", since)
     extra = staged(found.filter((F.col("n_shingles") > 0) & (F.col("key") != F.col("component_id"))).select(
         F.col("key").alias("gone")).distinct(), "stage-gone")
     kept = _boxed(docs).join(if_small(extra), F.col("key") == F.col("gone"), "left_anti")
@@ -86,7 +87,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without words are never begun; rows equal in id and text are one document; a null source is a source
     of its own; an empty table gives an empty table.
     """
-    mixed = staged(mixture(docs.select(row_key().alias("key"), "text", "source"), id_col="key").select("key", "positions"), "stage-mix")
+    since = staged_tables(spark)
+    mixed = staged_alone(
+        mixture(docs.select(row_key().alias("key"), "text", "source"), id_col="key").select("key", "positions"), "stage-mix", since)
     begun = staged(mixed.select(
         F.col("key").alias("begun"), F.posexplode("positions").alias("reading", "position")), "stage-begun")
     keyed = _boxed(docs)

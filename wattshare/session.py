@@ -91,3 +91,18 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     _staged_by(spark).append(path)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_tables(spark: SparkSession) -> int:
+    """How many staged tables there are now, as ``release`` and ``staged_alone`` take it."""
+    return len(_staged_by(spark))
+
+
+def staged_alone(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``staged``, after which the tables staged after the first ``since`` go: nothing but ``df`` may be made of them."""
+    spark = df.sparkSession
+    kept = staged(df, label)
+    path = _staged_by(spark).pop()
+    release(spark, since)
+    _staged_by(spark).append(path)
+    return kept
